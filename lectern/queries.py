@@ -1,4 +1,602 @@
-"""Queries over the driver's tables, each with its SQL."""
+"""Queries over the driver's tables, each with the SQL that its rows are held against.
+
+documents stand for a project's files: source is the file, and doc_id less the
+file's least doc_id plus 1 is the page. benchmark texts are questions, and the
+documents that contain them the expected pages. In the vector queries every row
+of embeddings whose id is divisible by 20 is a question, and rows of its label
+are correct. User turns of conversations are questions, the next turn's text the
+answer.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lectern.functions import text as fn
+from lectern.operators import boilerplate, chunking, cleaning, evaluation, generation, groundtruth, layout, relational, vectors
+from lectern.sources import store
+from lectern.streaming import ingest
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, source_file, page, text."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    first = docs.groupBy("source").agg(F.min("doc_id").alias("first"))
+    return docs.join(first, "source").select("doc_id", F.col("source").alias("source_file"), (F.col("doc_id") - F.col("first") + 1).alias("page"), "text")
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, source_file, page, chunk_no, chunk, n_tokens, position."""
+    rows = chunking.windows(pages(spark, d).withColumn("clean", fn.collapse(F.col("text"))).drop("text"))
+    return rows.withColumn("position", F.col("doc_id") * 10_000 + F.col("chunk_no"))
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """User turns with the turn that follows: conv_id, turn, question, answer."""
+    c = table(spark, d, "conversations")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    return c.where("role = 'user'").join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.col("text").alias("question"), "answer")
+
+
+def vector_questions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    v = table(spark, d, "embeddings")
+    return v.where("vec_id % 20 = 0").withColumn("qid", F.col("vec_id")), v
+
+
+def vector_hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Questions and their five nearest other rows with a match flag."""
+    q, v = vector_questions(spark, d)
+    top = vectors.knn(q, v, 5, "qid", "vec_id", exclude_self=True)
+    top = top.join(v.select(F.col("vec_id").alias("id"), "label"), "id").join(q.select("qid", F.col("label").alias("asked")), "qid")
+    return q, top.withColumn("match", F.col("label") == F.col("asked"))
+
+
+PG = "pg AS (SELECT d.doc_id, d.source AS source_file, d.doc_id - m.m + 1 AS page, d.text FROM documents d JOIN (SELECT source, min(doc_id) AS m FROM documents GROUP BY source) m ON d.source = m.source)"
+CH = PG + r""", cl AS (SELECT doc_id, source_file, page, trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean FROM pg),
+tk AS (SELECT doc_id, source_file, page, string_split(clean, ' ') AS t FROM cl WHERE clean <> ''),
+cn AS (SELECT doc_id, source_file, page, t, unnest(range(0, greatest(1, CAST(ceil((len(t) - 40) / 180.0) AS BIGINT)))) AS chunk_no FROM tk),
+ch AS (SELECT doc_id, source_file, page, CAST(chunk_no AS INTEGER) AS chunk_no, array_to_string(t[chunk_no * 180 + 1 : chunk_no * 180 + 220], ' ') AS chunk, CAST(len(t[chunk_no * 180 + 1 : chunk_no * 180 + 220]) AS INTEGER) AS n_tokens, doc_id * 10000 + chunk_no AS position FROM cn)"""
+QA = "qa AS (SELECT q.conv_id, q.turn, q.text AS question, a.text AS answer FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user')"
+DIST = "list_sum(list_transform(range(1, 65), lambda i: (CAST(q.embedding[i] AS DOUBLE) - CAST(v.embedding[i] AS DOUBLE)) ** 2))"
+DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(v.embedding[i] AS DOUBLE)))"
+KNN = f"s AS (SELECT q.vec_id AS qid, q.label AS asked, v.vec_id AS id, v.label, {DIST} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rank FROM s)"
+HIT = KNN.replace("WHERE q.vec_id % 20 = 0", "WHERE q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id") + ", h AS (SELECT qid, min(rank) FILTER (WHERE label = asked AND rank <= 5) AS fr FROM r GROUP BY qid)"
+SIM = f"s AS (SELECT q.vec_id AS qid, q.label AS asked, v.vec_id AS id, v.label, {DOT} AS sim FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id), best AS (SELECT qid, max(sim) FILTER (WHERE label = asked) AS correct, max(sim) FILTER (WHERE label <> asked) AS incorrect FROM s GROUP BY qid)"
+
+
+# --- chunking -----------------------------------------------------------------
+
+
+@query(f"WITH {CH} SELECT doc_id, source_file, page, chunk_no, chunk, n_tokens FROM ch")
+def chunk_windows(spark, d):
+    return chunks(spark, d).drop("position")
+
+
+@query(f"WITH {CH} SELECT source_file, page, count(*) AS n FROM ch GROUP BY ALL")
+def chunk_counts_per_page(spark, d):
+    return chunks(spark, d).groupBy("source_file", "page").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {CH} SELECT source_file, count(*) AS chunks, max(page) AS pages FROM ch GROUP BY 1")
+def per_file_stats(spark, d):
+    return store.stats(chunks(spark, d))
+
+
+@query(r"SELECT doc_id, CAST(length(trim(coalesce(text, ''), E' \t\n\x0b\x0c\r')) AS BIGINT) AS n_chars FROM documents WHERE length(trim(coalesce(text, ''), E' \t\n\x0b\x0c\r')) < 20")
+def doc_length_guard(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_file"), F.lit(1).cast("bigint").alias("page"), "text")
+    return chunking.guard(docs)[1].select(F.col("source_file").cast("bigint").alias("doc_id"), "n_chars")
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean FROM documents")
+def ws_collapse(spark, d):
+    return table(spark, d, "documents").select("doc_id", fn.collapse(F.col("text")).alias("clean"))
+
+
+@query("SELECT vec_id, CASE vec_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 2 THEN 'audio' WHEN 3 THEN 'text' WHEN 4 THEN 'image' END AS modality FROM embeddings")
+def modality_dispatch(spark, d):
+    names = F.array(*map(F.lit, ["a.PDF", "b.jpeg", "c.m4a", "d.txt", "x/e.v2.TIFF", "f.docx"]))
+    return table(spark, d, "embeddings").select("vec_id", fn.modality(F.get(names, (F.col("vec_id") % 6).cast("int"))).alias("modality"))
+
+
+# --- boilerplate ----------------------------------------------------------------
+
+LINES = PG + ", ln AS (SELECT doc_id, unnest(string_split(rtrim(text, chr(10)), chr(10))) AS line, unnest(range(1, len(string_split(rtrim(text, chr(10)), chr(10))) + 1)) AS no FROM pg), tr AS (SELECT doc_id, no, line, trim(line, E' \\t\\x0b\\x0c\\r\\n') AS t FROM ln)"
+
+
+@query(
+    "WITH "
+    + LINES
+    + r"""SELECT count(*) FILTER (WHERE regexp_matches(t, '[^\s@]+@[^\s@]+\.[A-Za-z]{2,}')) AS email, count(*) FILTER (WHERE regexp_matches(t, '(?i)orcid')) AS orcid,
+count(*) FILTER (WHERE len(regexp_extract_all(t, '\b(?:[A-Z]\.\s*){1,3}[A-Z][a-z]+')) >= 2 AND len(regexp_extract_all(t, '\S+')) <= 20) AS initials, doc_id FROM tr GROUP BY doc_id"""
+)
+def boilerplate_line_flags(spark, d):
+    rows = pages(spark, d).select("doc_id", F.transform(boilerplate.lines_of(F.col("text")), fn.line_flags).alias("f"))
+    count = lambda k: F.size(F.filter("f", lambda x: x[k])).cast("bigint").alias(k)
+    return rows.select("doc_id", count("email"), count("orcid"), count("initials"))
+
+
+@query()
+def page1_boilerplate(spark, d):
+    """First pages after C6; the pattern needs more than RE2 has, so a test holds it against a loop."""
+    return pages(spark, d).where("page = 1").select("doc_id", boilerplate.strip_boilerplate(F.col("text")).alias("text"))
+
+
+@query()
+def name_run_islands(spark, d):
+    rows = pages(spark, d).select("doc_id", boilerplate.flagged(F.col("text")).alias("f"))
+    return rows.select("doc_id", F.size(F.filter("f", lambda x: x["name"])).alias("name_lines"), F.coalesce(F.array_max(F.transform("f", lambda x: x["run"])), F.lit(0)).alias("longest_run"))
+
+
+@query(
+    r"""SELECT doc_id, regexp_matches(coalesce(text, ''), '^\s*$') OR regexp_matches(coalesce(text, ''), '^[\s()0-9,]+$')
+OR (length(text) - length(replace(text, '|', '')) > 10 AND len(regexp_extract_all(text, '[A-Za-z]{3,}')) < 8) AS degenerate FROM documents"""
+)
+def degenerate_flags(spark, d):
+    return table(spark, d, "documents").select("doc_id", fn.degenerate(F.col("text")).alias("degenerate"))
+
+
+@query(
+    """WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10))), E' \\t\\x0b\\x0c\\r\\n') AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
+c AS (SELECT doc_id, x, count(*) AS n, min(i) AS i FROM l WHERE x <> '' GROUP BY doc_id, x),
+b AS (SELECT doc_id, sum(n) AS lines, arg_max(struct_pack(n := n, x := x), [n, -i]) AS top FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(lines >= 8 AND top.n >= 8 AND length(top.x) <= 20, false) AS repeated FROM documents d LEFT JOIN b USING (doc_id)"""
+)
+def repeated_line_flags(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.coalesce(fn.repeated_short_line(F.col("text")), F.lit(False)).alias("repeated"))
+
+
+@query()
+def ocr_layout(spark, d):
+    """Words of each document laid out as boxes, read back in reading order."""
+    corner = lambda x, y: F.array(x.cast("double"), y.cast("double"))
+    box = lambda w, i: F.struct(F.array(corner(i % 7 * 50, F.floor(i / 7) * 40 + i % 3), corner(i % 7 * 50 + 40, F.floor(i / 7) * 40 + i % 3), corner(i % 7, F.floor(i / 7)), corner(i % 7, F.floor(i / 7))).alias("box"), w.alias("text"), F.lit(1.0).alias("confidence"))
+    rows = table(spark, d, "benchmark").select("item_id", F.transform(fn.words(F.col("text")), box).alias("r"))
+    return rows.select("item_id", layout.reorder_by_layout(F.col("r")).alias("text"))
+
+
+# --- vectors ------------------------------------------------------------------------
+
+HASHED = CH + """, w AS (SELECT position, unnest(string_split(lower(chunk), ' ')) AS tok FROM ch), b AS (SELECT position, CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % 64 AS k, count(*) AS n FROM w WHERE tok <> '' GROUP BY ALL),
+nm AS (SELECT position, sqrt(sum(n * n)) AS z FROM b GROUP BY 1), e AS (SELECT b.position, k, n / z AS x FROM b JOIN nm USING (position))"""
+
+
+@query(f"WITH {HASHED} SELECT position, CAST(count(*) AS INTEGER) AS filled, round(sum((k + 1) * x), 6) AS checksum FROM e GROUP BY position")
+def hash_embed(spark, d):
+    rows = vectors.embed(chunks(spark, d).select("position", "chunk"), "chunk")
+    weighted = F.aggregate(F.transform("embedding", lambda x, k: x * (k + 1)), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("position", F.size(F.filter("embedding", lambda x: x > 0)).alias("filled"), F.round(weighted, 6).alias("checksum"))
+
+
+def top_chunks(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
+    index = vectors.embed(chunks(spark, d).select("position", "source_file", "page", "chunk_no", "chunk"), "chunk")
+    asked = vectors.embed(table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), fn.collapse(F.col("text")).alias("question")), "question")
+    top = vectors.knn(asked, index, k, "qid", "position", metric="l2")
+    return top.join(chunks(spark, d).select(F.col("position").alias("id"), "source_file", "page", "chunk_no", "chunk"), "id")
+
+
+@query()
+def question_topk(spark, d):
+    """The flagship: the five chunks nearest to each question. Ties under the stand-in embedder are frequent, so a test holds it against brute force."""
+    return top_chunks(spark, d).select("qid", "rank", "source_file", "page", "chunk_no", F.bround("score", 6).alias("distance"))
+
+
+@query(f"WITH {KNN} SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS distance FROM r WHERE rank <= 5")
+def knn_l2_topk(spark, d):
+    q, v = vector_questions(spark, d)
+    return vectors.knn(q, v, 5, "qid", "vec_id").select("qid", "id", "rank", F.round("score", 5).alias("distance"))
+
+
+@query(f"WITH s AS (SELECT q.vec_id AS qid, v.vec_id AS id, {DOT} AS sim FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS rank FROM s) SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(sim, 5) AS cosine FROM r WHERE rank <= 5")
+def knn_cosine_topk(spark, d):
+    q, v = vector_questions(spark, d)
+    return vectors.knn(q, v, 5, "qid", "vec_id", metric="cosine").select("qid", "id", "rank", F.round("score", 5).alias("cosine"))
+
+
+@query(f"WITH {KNN}, p AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rank FROM s WHERE label = asked) SELECT qid, id, CAST(rank AS INTEGER) AS rank FROM p WHERE rank <= 3")
+def knn_per_partition(spark, d):
+    q, v = vector_questions(spark, d)
+    return vectors.knn(q, v, 3, "qid", "vec_id", same="label").select("qid", "id", "rank")
+
+
+@query(f"WITH {KNN} SELECT count(*) AS probes, count(*) FILTER (WHERE qid = id) AS found FROM r WHERE rank = 1")
+def self_search(spark, d):
+    q, v = vector_questions(spark, d)
+    return vectors.knn(q, v, 1, "qid", "vec_id").agg(F.count(F.lit(1)).alias("probes"), F.count_if(F.col("qid") == F.col("id")).alias("found"))
+
+
+@query("WITH n AS (SELECT sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) ** 2))) AS z FROM embeddings) SELECT round(min(z), 5) AS least, round(max(z), 5) AS most FROM n")
+def vector_norms(spark, d):
+    n = vectors.norm(F.col("embedding"))
+    return table(spark, d, "embeddings").agg(F.round(F.min(n), 5).alias("least"), F.round(F.max(n), 5).alias("most"))
+
+
+# --- evaluation -----------------------------------------------------------------------
+
+
+@query(f"WITH {HIT}, k AS (SELECT unnest([1, 3, 5]) AS k) SELECT CAST(k AS INTEGER) AS k, count(*) FILTER (WHERE fr <= k) AS hits, count(*) AS total, count(*) FILTER (WHERE fr <= k) / count(*) AS recall FROM h, k GROUP BY k")
+def recall_at_k(spark, d):
+    q, top = vector_hits(spark, d)
+    return evaluation.recall(evaluation.ranks(top, q))
+
+
+@query(f"WITH {HIT} SELECT qid, CAST(fr AS INTEGER) AS first_correct_rank, coalesce(fr <= 1, false) AS hit_at_1, coalesce(fr <= 3, false) AS hit_at_3, coalesce(fr <= 5, false) AS hit_at_5 FROM h")
+def first_correct_rank(spark, d):
+    q, top = vector_hits(spark, d)
+    return evaluation.ranks(top, q)
+
+
+@query(f"WITH {HIT} SELECT round_even(avg(coalesce(1.0 / fr, 0)), 4) AS mrr FROM h")
+def mrr(spark, d):
+    q, top = vector_hits(spark, d)
+    return evaluation.ranks(top, q).agg(F.bround(F.avg(evaluation.reciprocal(F.col("first_correct_rank"))), 4).alias("mrr"))
+
+
+@query(f"WITH {HIT} SELECT qid FROM h WHERE coalesce(fr > 5, true)")
+def misses(spark, d):
+    q, top = vector_hits(spark, d)
+    return evaluation.ranks(top, q).where("not hit_at_5").select("qid")
+
+
+def diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    q, v = vector_questions(spark, d)
+    return vectors.extremes(q, v, "qid", "vec_id", "label").withColumn("gap", F.col("correct") - F.col("incorrect"))
+
+
+@query(f"WITH {SIM} SELECT qid, round(correct, 5) AS correct, round(incorrect, 5) AS incorrect, round(correct - incorrect, 4) AS gap FROM best")
+def best_correct_vs_top_incorrect(spark, d):
+    return diagnostics(spark, d).select("qid", F.round("correct", 5).alias("correct"), F.round("incorrect", 5).alias("incorrect"), F.round("gap", 4).alias("gap"))
+
+
+@query(f"WITH {SIM} SELECT qid, count(*) FILTER (WHERE sim > correct + 1e-12) AS n_above FROM s JOIN best USING (qid) GROUP BY qid")
+def chunks_above_correct(spark, d):
+    q, v = vector_questions(spark, d)
+    best = vectors.extremes(q, v, "qid", "vec_id", "label").select("qid", "correct")
+    return vectors.count_above(q.join(best, "qid"), v, "qid", "vec_id", "correct")
+
+
+def gaps(spark: SparkSession, d: str) -> DataFrame:
+    q, top = vector_hits(spark, d)
+    return diagnostics(spark, d).join(evaluation.ranks(top, q), "qid").withColumn("hit", F.col("hit_at_5").cast("double"))
+
+
+@query(f"WITH {HIT}, {SIM.replace('s AS', 's2 AS').replace('FROM s ', 'FROM s2 ')}, g AS (SELECT correct - incorrect AS gap, CAST(coalesce(fr <= 5, false) AS DOUBLE) AS hit FROM best JOIN h USING (qid)) SELECT round(CASE WHEN stddev_pop(hit) = 0 THEN NULL ELSE covar_pop(gap, hit) / (stddev_pop(gap) * stddev_pop(hit)) END, 4) AS correlation FROM g")
+def gap_correlation(spark, d):
+    return gaps(spark, d).agg(F.round(evaluation.pearson("gap", "hit"), 4).alias("correlation"))
+
+
+@query(f"WITH {HIT}, {SIM.replace('s AS', 's2 AS').replace('FROM s ', 'FROM s2 ')} SELECT coalesce(fr <= 5, false) AS hit, count(*) AS n, round(avg(correct - incorrect), 4) AS mean_gap FROM best JOIN h USING (qid) GROUP BY 1")
+def hit_miss_means(spark, d):
+    return gaps(spark, d).groupBy(F.col("hit_at_5").alias("hit")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("gap"), 4).alias("mean_gap"))
+
+
+@query(
+    f"WITH {HIT}, p AS (SELECT qid, id, label, asked, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rank FROM s WHERE label = asked), o AS (SELECT qid, min(rank) FILTER (WHERE rank <= 5) AS sr FROM p GROUP BY qid) "
+    "SELECT h.qid, CAST(CASE WHEN fr <= 5 THEN fr END AS INTEGER) AS full_rank, CAST(sr AS INTEGER) AS single_rank, CAST(coalesce(CASE WHEN fr <= 5 THEN fr END, 99) - coalesce(sr, 99) AS BIGINT) AS rank_improvement, sr IS NOT NULL AND (fr IS NULL OR fr > 5 OR fr > sr) AS cross_document_interference FROM h JOIN o ON h.qid = o.qid"
+)
+def single_vs_full(spark, d):
+    q, top = vector_hits(spark, d)
+    _, v = vector_questions(spark, d)
+    own = vectors.knn(q, v, 5, "qid", "vec_id", same="label", exclude_self=True).withColumn("match", F.lit(True))
+    return evaluation.compare_single(evaluation.ranks(top, q), evaluation.ranks(own, q))
+
+
+def expected(spark: SparkSession, d: str) -> DataFrame:
+    """item_id, doc_id, source_file, page of the documents that contain a benchmark text."""
+    docs = pages(spark, d)
+    found = groundtruth.occurrences(docs, table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
+    return found.select(F.col("anchor_id").alias("item_id"), F.col("row_id").alias("doc_id")).join(docs.select("doc_id", "source_file", "page"), "doc_id")
+
+
+EX = "ex AS (SELECT b.item_id, b.text AS anchor, pg.doc_id, pg.source_file, pg.page, pg.text FROM benchmark b JOIN pg ON contains(pg.text, b.text) WHERE b.text <> '')"
+
+
+@query(f"WITH {CH}, {EX}, a AS (SELECT source_file, page, count(*) AS n FROM ch GROUP BY ALL) SELECT item_id, ex.doc_id, coalesce(n, 0) AS chunks_available FROM ex LEFT JOIN a ON a.source_file = ex.source_file AND a.page = ex.page")
+def chunks_available(spark, d):
+    return evaluation.available(expected(spark, d), chunks(spark, d), ["source_file", "page"]).select("item_id", "doc_id", "chunks_available")
+
+
+@query(
+    """WITH n AS (SELECT quality = 1 AS r, toxic = 1 AS a FROM labels), b AS (SELECT * FROM (VALUES (true, true, 'both correct'), (true, false, 'retrieval only'), (false, true, 'answer only'), (false, false, 'both wrong')) t(r, a, bucket))
+SELECT bucket, count(n.r) AS n, count(n.r) / (SELECT CAST(count(*) AS DOUBLE) FROM n) AS share FROM b LEFT JOIN n ON n.r = b.r AND n.a = b.a GROUP BY bucket"""
+)
+def outcome_buckets(spark, d):
+    rows = table(spark, d, "labels").select((F.col("quality") == 1).alias("r"), (F.col("toxic") == 1).alias("a"))
+    return evaluation.buckets(rows, "r", "a")
+
+
+@query("SELECT event_type, round(sum(value), 2) AS amount, round(sum(value) / (SELECT sum(value) FROM events), 6) AS share FROM events GROUP BY 1")
+def stage_shares(spark, d):
+    return evaluation.shares(table(spark, d, "events"), "event_type", "value").select("event_type", F.round("amount", 2).alias("amount"), F.round("share", 6).alias("share"))
+
+
+@query(
+    f"""WITH {QA}, m AS (SELECT length(question) / 100.0 AS ae, length(answer) / 100.0 AS ap, CAST(length(question) % 2 AS INTEGER) AS ax FROM qa)
+SELECT 'a' AS method, round(avg(ae + ap), 6) AS mean_total_sec, avg(ax) AS mean_exact_match FROM m"""
+)
+def method_summary(spark, d):
+    n = lambda c: F.length(c) / F.lit(100.0)
+    rows = questions(spark, d).select(n("question").alias("a_extraction_time_sec"), n("answer").alias("a_pipeline_time_sec"), (F.length("question") % 2).alias("a_exact_match"), F.lit(0.5).alias("a_token_f1"), F.lit(None).cast("double").alias("a_manual_quality"))
+    return evaluation.method_summary(rows, ["a"]).select("method", F.round("mean_total_sec", 6).alias("mean_total_sec"), "mean_exact_match")
+
+
+# --- grading ----------------------------------------------------------------------------
+
+
+@query()
+def normalise_answer(spark, d):
+    return questions(spark, d).select("conv_id", "turn", fn.normalise_answer(F.col("answer")).alias("answer"))
+
+
+@query()
+def numbers_in(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(fn.numbers_in(F.col("text"))).alias("n"))
+
+
+N2_SQL = r"trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH {QA}, t AS (SELECT conv_id, turn, list_filter(string_split({N2_SQL.format('question')}, ' '), lambda x: x <> '') AS e, list_filter(string_split({N2_SQL.format('answer')}, ' '), lambda x: x <> '') AS g FROM qa),
+o AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(e), lambda w: least(len(list_filter(e, lambda x: x = w)), len(list_filter(g, lambda x: x = w))))), 0) AS c FROM t)
+SELECT conv_id, turn, round(CASE WHEN c = 0 THEN 0 ELSE 2.0 * c / (len(e) + len(g)) END, 6) AS f1 FROM o"""
+)
+def token_f1(spark, d):
+    rows = questions(spark, d).select("conv_id", "turn", fn.tokens(fn.normalise_metric(F.col("question"))).alias("e"), fn.tokens(fn.normalise_metric(F.col("answer"))).alias("g"))
+    return rows.select("conv_id", "turn", F.round(fn.token_f1(F.col("e"), F.col("g")), 6).alias("f1"))
+
+
+@query(f"WITH {QA} SELECT conv_id, turn, CAST(contains({N2_SQL.format('answer')}, {N2_SQL.format('substr(question, 1, 4)')}) AS INTEGER) AS hit FROM qa")
+def containment_match(spark, d):
+    return questions(spark, d).select("conv_id", "turn", fn.contained(F.substring("question", 1, 4), F.col("answer")).alias("hit"))
+
+
+@query(f"WITH {QA} SELECT conv_id, turn, greatest(CAST(contains({N2_SQL.format('answer')}, {N2_SQL.format('substr(question, 1, 4)')}) AS INTEGER), CAST(contains({N2_SQL.format('answer')}, {N2_SQL.format('substr(question, 6, 3)')}) AS INTEGER)) AS best FROM qa")
+def best_over_answers(spark, d):
+    answers = F.array(F.substring("question", 1, 4), F.substring("question", 6, 3))
+    return questions(spark, d).select("conv_id", "turn", fn.best_over(answers, lambda a: fn.contained(a, F.col("answer"))).alias("best"))
+
+
+@query()
+def judge_signals(spark, d):
+    return fn.judge(questions(spark, d), "question", "answer").select("conv_id", "turn", "exact_match", "expected_in_answer", "answer_in_expected", "token_f1", "all_expected_numbers_present", "correct", "needs_human_review")
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '([0-9])\s*([.,:])\s*([0-9])', '\1\2\3', 'g'), '([$#])\s+([0-9])', '\1\2', 'g') AS fixed FROM documents")
+def fix_number_spacing(spark, d):
+    return table(spark, d, "documents").select("doc_id", fn.fix_number_spacing(F.col("text")).alias("fixed"))
+
+
+@query(f"WITH {QA}, n AS (SELECT len(list_filter(regexp_split_to_array(coalesce(answer, ''), '\\s+'), lambda x: x <> '')) AS n FROM qa) SELECT CASE WHEN n = 0 THEN 'empty' WHEN n = 1 THEN 'single word' WHEN n <= 5 THEN 'short phrase' WHEN n <= 15 THEN 'sentence' ELSE 'long answer' END AS class, count(*) AS n, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM n) AS share FROM n GROUP BY 1")
+def answer_class(spark, d):
+    rows = questions(spark, d).select(fn.answer_class(F.size(fn.words(F.col("answer")))).alias("class"))
+    return cleaning.value_counts(rows, "class")
+
+
+@query(f"WITH {PG} SELECT DISTINCT CASE WHEN source_file IS NULL THEN 'unknown file' ELSE source_file || ' — page ' || page END AS label FROM pg")
+def source_labels(spark, d):
+    return pages(spark, d).select(fn.source_label(F.col("source_file"), F.col("page")).alias("label")).distinct()
+
+
+@query("SELECT conv_id, bool_or(contains(lower(text), 'the') OR contains(lower(text), 'der')) AS any_hit, bool_and(contains(lower(text), 'the') OR contains(lower(text), 'der')) AS consistent FROM conversations GROUP BY 1")
+def key_phrase_consistency(spark, d):
+    hit = fn.key_phrase(F.col("text"), ["the", "der"])
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.bool_or(hit).alias("any_hit"), F.bool_and(hit).alias("consistent"))
+
+
+# --- generation -----------------------------------------------------------------------------
+
+
+@query()
+def allocate_budget(spark, d):
+    """Each conversation's turns as chunks of a context of 300 words."""
+    lengths = F.transform(F.sort_array(F.collect_list(F.struct("turn", F.size(fn.words(F.col("text"))).alias("n")))), lambda x: x["n"])
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(lengths.alias("lengths"))
+    return c.select("conv_id", "lengths", generation.allocate_budget(F.col("lengths"), F.lit(300)).alias("taken"))
+
+
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    top = top_chunks(spark, d, 3).groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "chunk"))), lambda x: x["chunk"]).alias("chunks"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    return generation.budget_context(asked.join(top, "qid"), "question", "chunks")
+
+
+@query()
+def budget_context(spark, d):
+    return answers(spark, d).select("qid", "context", F.size(F.split("context", " ")).alias("n_tokens"))
+
+
+@query(f"WITH {QA} SELECT conv_id, turn, 'Question: ' || question || chr(10) || 'Context: ' || answer || chr(10) || 'Answer:' AS prompt FROM qa")
+def prompt_build(spark, d):
+    return questions(spark, d).select("conv_id", "turn", generation.prompt(F.col("question"), F.col("answer")).alias("prompt"))
+
+
+@query()
+def answer_questions(spark, d):
+    out = generation.generate(answers(spark, d).select("qid", "question", "context"))
+    return out.select("qid", generation.answered(fn.fix_number_spacing(F.col("answer"))).alias("answer"))
+
+
+@query(f"WITH {KNN} SELECT qid, 'label ' || label AS source_label, CAST(min(rank) AS INTEGER) AS first_rank FROM r WHERE rank <= 5 GROUP BY ALL")
+def distinct_sources(spark, d):
+    q, v = vector_questions(spark, d)
+    top = vectors.knn(q, v, 5, "qid", "vec_id").join(v.select(F.col("vec_id").alias("id"), "label"), "id")
+    return generation.distinct_sources(top.withColumn("source_label", F.concat(F.lit("label "), F.col("label").cast("string"))))
+
+
+# --- self-checks and ground truth ---------------------------------------------------------------
+
+
+@query("SELECT vec_id, label, 'left' AS side FROM embeddings WHERE false")
+def roundtrip_diff(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", "label")
+    return groundtruth.consistent(rows, rows.repartition(4, "label"))
+
+
+@query("SELECT source, min(doc_id) AS first_position FROM documents GROUP BY 1")
+def doc_boundaries(spark, d):
+    return groundtruth.boundaries(table(spark, d, "documents"), "source", "doc_id")
+
+
+@query()
+def probe_sample(spark, d):
+    return groundtruth.probes(table(spark, d, "documents"), "doc_id", "source")
+
+
+@query(
+    rf"""WITH b AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM benchmark)
+SELECT item_id, array_to_string(w[greatest(0, len(w) // 2 - 7) + 1 : greatest(0, len(w) // 2 - 7) + 15], ' ') AS mid FROM b"""
+)
+def mid_slice(spark, d):
+    return table(spark, d, "benchmark").select("item_id", groundtruth.mid_slice(fn.words(F.col("text"))).alias("mid"))
+
+
+@query(
+    rf"""WITH {QA}, t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(answer), '\s+'), lambda x: x <> '') AS w, list_distinct(list_filter(regexp_split_to_array(lower(question), '\s+'), lambda x: x <> '')) AS a FROM qa),
+s AS (SELECT *, unnest(range(0, greatest(len(w) - 15, 0) + 1)) AS st FROM t), o AS (SELECT conv_id, turn, w, st, len(list_intersect(w[st + 1 : st + 15], a)) AS n FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, st) AS k FROM o)
+SELECT conv_id, turn, array_to_string(w[st + 1 : st + 15], ' ') AS best, CAST(n AS INTEGER) AS best_overlap FROM r WHERE k = 1"""
+)
+def best_answer_window(spark, d):
+    rows = questions(spark, d).select("conv_id", "turn", fn.words(F.lower("answer")).alias("w"), fn.words(F.lower("question")).alias("a"))
+    return groundtruth.best_window(rows, "w", "a", "best").select("conv_id", "turn", "best", "best_overlap")
+
+
+@query(
+    f"""WITH {PG}, {EX}, p AS (SELECT item_id, doc_id, anchor, text, strpos(text, anchor) AS pos FROM ex),
+q AS (SELECT *, pos + length(anchor) AS e, strpos(reverse(substr(text, 1, pos - 1)), ' .') AS bk, strpos(substr(text, pos + length(anchor)), '. ') AS ah FROM p),
+z AS (SELECT *, CASE WHEN bk > 0 THEN pos - bk - 1 END AS l, CASE WHEN ah > 0 THEN e + ah - 1 END AS r FROM q)
+SELECT item_id, doc_id, CASE WHEN r - l < 600 THEN substr(text, l + 2, r - l - 1) ELSE substr(text, greatest(pos - 180, 1), least(e + 179, length(text)) - greatest(pos - 180, 1) + 1) END AS sentence FROM z"""
+)
+def sentence_lift(spark, d):
+    rows = expected(spark, d).select("item_id", "doc_id").join(table(spark, d, "benchmark").select("item_id", F.col("text").alias("anchor")), "item_id").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return rows.select("item_id", "doc_id", groundtruth.lift_sentence(F.col("text"), F.col("anchor")).alias("sentence"))
+
+
+@query(f"WITH {PG}, {EX} SELECT item_id, count(*) AS n_places, min(doc_id) AS first_doc FROM ex GROUP BY 1")
+def anchor_ambiguity(spark, d):
+    return expected(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_places"), F.min("doc_id").alias("first_doc"))
+
+
+@query(f"WITH {PG}, {EX} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ex)")
+def exclusion_antijoin(spark, d):
+    return groundtruth.unused(table(spark, d, "documents").select("doc_id"), expected(spark, d).select("doc_id"), ["doc_id"])
+
+
+@query(
+    f"""WITH {PG}, {EX}, u AS (SELECT DISTINCT doc_id FROM ex), n AS (SELECT source_file, max(page) - 20 AS n_pages FROM pg GROUP BY 1)
+SELECT pg.doc_id, CASE WHEN u.doc_id IS NOT NULL THEN 'in use' WHEN n_pages IS NULL OR page > n_pages THEN 'out of range' WHEN NOT contains(text, 'the ') THEN 'not found' END AS reason FROM pg LEFT JOIN u ON u.doc_id = pg.doc_id LEFT JOIN n ON n.source_file = pg.source_file"""
+)
+def reject_reasons(spark, d):
+    rows = pages(spark, d)
+    used = expected(spark, d).select("doc_id").distinct().withColumn("used", F.lit(True))
+    n = rows.groupBy("source_file").agg((F.max("page") - 20).alias("n_pages"))
+    joined = rows.join(used, "doc_id", "left").join(n, "source_file", "left")
+    return joined.select("doc_id", groundtruth.rejected_reason(F.col("used").isNotNull(), F.col("page"), F.col("n_pages"), F.contains("text", F.lit("the "))).alias("reason"))
+
+
+@query(f"WITH {PG}, {EX} SELECT source_file, count(*) AS n, list_sort(list(DISTINCT page)) AS pages FROM ex GROUP BY 1")
+def candidate_rollup(spark, d):
+    return groundtruth.rollup(expected(spark, d))
+
+
+# --- dataset cleaning ------------------------------------------------------------------------------
+
+
+@query(
+    rf"""WITH {QA}, t AS (SELECT coalesce(answer, '') AS a, turn % 3 AS k FROM qa), i AS (SELECT count(*) AS total, count(*) FILTER (WHERE trim(a) = '') AS empty, count(*) FILTER (WHERE regexp_matches(a, '[^\x00-\x7F]')) AS non_ascii,
+count(*) FILTER (WHERE len(list_filter(regexp_split_to_array(a, '\s+'), lambda x: x <> '')) > 20) AS long, count(*) FILTER (WHERE regexp_matches(a, '^[0-9 .,%]+$')) AS "numeric", count(*) FILTER (WHERE k > 1) AS multiple_answers, count(*) FILTER (WHERE regexp_matches(a, '\s\s')) AS white_space, count(*) - count(DISTINCT a) AS duplicate FROM t)
+SELECT issue, n, 100.0 * n / total AS percent FROM (UNPIVOT i ON empty, non_ascii, long, "numeric", multiple_answers, white_space, duplicate INTO NAME issue VALUE n)"""
+)
+def issue_audit(spark, d):
+    return cleaning.audit(questions(spark, d).withColumn("num_answers", F.col("turn") % 3))
+
+
+CLEAN = QA + r""", c AS (SELECT conv_id * 1000 + turn AS row_id, trim(regexp_replace(regexp_replace(question, '[^\x00-\x7F]+', '', 'g'), '\s+', ' ', 'g')) AS question_clean, lower(trim(regexp_replace(regexp_replace(answer, '[^\x00-\x7F]+', '', 'g'), '\s+', ' ', 'g'))) AS answer_clean FROM qa)"""
+
+
+@query(f"WITH {CLEAN} SELECT question_clean, answer_clean, min(row_id) AS row_id FROM c WHERE answer_clean <> '' AND len(string_split(answer_clean, ' ')) <= 20 GROUP BY ALL")
+def clean_pipeline(spark, d):
+    return cleaning.cleaned(questions(spark, d).withColumn("row_id", F.col("conv_id") * 1000 + F.col("turn")))
+
+
+@query(
+    f"""WITH {CLEAN}, f AS (SELECT *, answer_clean <> '' AS x, len(string_split(answer_clean, ' ')) <= 20 AS y FROM c)
+SELECT unnest(['rows', 'filled', 'short', 'distinct']) AS step, unnest([count(*), count(*) FILTER (WHERE x), count(*) FILTER (WHERE x AND y), count(DISTINCT CASE WHEN x AND y THEN struct_pack(q := question_clean, a := answer_clean) END)]) AS n FROM f"""
+)
+def removed_rows(spark, d):
+    return cleaning.removed(questions(spark, d))
+
+
+@query(f"WITH {QA}, n AS (SELECT len(list_filter(regexp_split_to_array(answer, '\\s+'), lambda x: x <> '')) AS n FROM qa) SELECT count(*) AS n, round_even(avg(n), 2) AS mean, round_even(stddev_samp(n), 2) AS std, CAST(min(n) AS INTEGER) AS least, round_even(quantile_cont(n, 0.25), 2) AS q1, round_even(quantile_cont(n, 0.5), 2) AS median, round_even(quantile_cont(n, 0.75), 2) AS q3, CAST(max(n) AS INTEGER) AS most FROM n")
+def describe_lengths(spark, d):
+    return cleaning.describe(questions(spark, d).select(F.size(fn.words(F.col("answer"))).alias("words")), "words")
+
+
+@query(f"WITH {QA}, n AS (SELECT len(list_filter(regexp_split_to_array(answer, '\\s+'), lambda x: x <> '')) AS n FROM qa) SELECT CAST(least(n, 30) AS INTEGER) AS bin, count(*) AS n FROM n GROUP BY 1")
+def length_histogram(spark, d):
+    return cleaning.histogram(questions(spark, d).select(F.size(fn.words(F.col("answer"))).alias("words")), "words", 30)
+
+
+@query(f"WITH {QA} SELECT (list_filter(regexp_split_to_array(lower(question), '\\s+'), lambda x: x <> ''))[1] AS word, count(*) AS n FROM qa GROUP BY 1 HAVING word IS NOT NULL ORDER BY n DESC, word LIMIT 8")
+def top_starters(spark, d):
+    return cleaning.starters(questions(spark, d), "question")
+
+
+@query("SELECT count(DISTINCT text) AS texts, count(DISTINCT source) AS sources FROM documents")
+def distinct_values(spark, d):
+    return table(spark, d, "documents").agg(F.count_distinct(F.xxhash64("text"), F.md5(F.encode("text", "utf-8"))).alias("texts"), F.count_distinct("source").alias("sources"))
+
+
+@query()
+def project_signature(spark, d):
+    files = table(spark, d, "documents").select(F.col("source").alias("project"), F.col("doc_id").cast("string").alias("name"), F.lit("2024-01-01").cast("timestamp").alias("modified"), F.col("n_chars").alias("length"))
+    return store.signature(files)
+
+
+# --- beyond the reference -----------------------------------------------------------------------------
+
+
+@query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
+def pricing_summary(spark, d):
+    return relational.pricing_summary(table(spark, d, "lineitem"))
+
+
+@query("SELECT c_mktsegment, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+def segment_revenue(spark, d):
+    return relational.segment_revenue(*(table(spark, d, t) for t in ("customer", "orders", "lineitem")))
+
+
+@query("SELECT r_name, c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY CUBE (r_name, c_mktsegment)")
+def region_cube(spark, d):
+    return relational.region_cube(*(table(spark, d, t) for t in ("region", "nation", "customer")))
+
+
+@query("SELECT event_id, user_id, click FROM (SELECT event_id, user_id, event_type, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS click FROM events) WHERE event_type = 'error'")
+def last_event_before(spark, d):
+    return relational.last_event_before(table(spark, d, "events"))
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    """The stream's plan run over the table as a batch."""
+    return ingest.event_windows(table(spark, d, "events")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
