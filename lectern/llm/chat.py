@@ -33,17 +33,17 @@ def pair(user: str, assistant: str, system: str | None = None) -> str:
     return f"concat({head}, array(named_struct('role', 'user', 'text', {user}), named_struct('role', 'assistant', 'text', {assistant})))"
 
 
-#: Layout: (its field paths as the fingerprint has them, its JSON schema, turns as SQL over the parsed record r).
+#: Layout: (its field paths as the fingerprint has them: { opens an object, [ an array, > ends either; its JSON schema, turns as SQL over the parsed record r).
 MAPPINGS: dict[str, tuple[str, str, str]] = {
-    "turn": ("<role: , text: >", "role string, text string", "array(named_struct('role', r.role, 'text', r.text))"),
-    "messages": ("<messages: [<content: , role: >]>", "messages array<struct<role:string,content:string>>", "transform(r.messages, m -> named_struct('role', m.role, 'text', m.content))"),
-    "from_value": ("<conversations: [<from: , value: >]>", "conversations array<struct<`from`:string,value:string>>", "transform(r.conversations, m -> named_struct('role', CASE m.`from` WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE m.`from` END, 'text', m.value))"),
-    "instruction": ("<instruction: , output: >", "instruction string, output string", pair("r.instruction", "r.output")),
-    "instruction_input": ("<input: , instruction: , output: >", "instruction string, input string, output string", pair("concat_ws('\\n\\n', r.instruction, nullif(r.input, ''))", "r.output")),
-    "prompt_response": ("<prompt: , response: >", "prompt string, response string", pair("r.prompt", "r.response")),
-    "prompt_completion": ("<completion: , prompt: >", "prompt string, completion string", pair("r.prompt", "r.completion")),
-    "system_prompt": ("<prompt: , response: , system: >", "system string, prompt string, response string", pair("r.prompt", "r.response", "r.system")),
-    "question": ("<answer: , question: >", "question string, answer string", pair("r.question", "r.answer")),
+    "turn": ("{role: , text: >", "role string, text string", "array(named_struct('role', r.role, 'text', r.text))"),
+    "messages": ("{messages: [{content: , role: >>>", "messages array<struct<role:string,content:string>>", "transform(r.messages, m -> named_struct('role', m.role, 'text', m.content))"),
+    "from_value": ("{conversations: [{from: , value: >>>", "conversations array<struct<`from`:string,value:string>>", "transform(r.conversations, m -> named_struct('role', CASE m.`from` WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE m.`from` END, 'text', m.value))"),
+    "instruction": ("{instruction: , output: >", "instruction string, output string", pair("r.instruction", "r.output")),
+    "instruction_input": ("{input: , instruction: , output: >", "instruction string, input string, output string", pair("concat_ws('\\n\\n', r.instruction, nullif(r.input, ''))", "r.output")),
+    "prompt_response": ("{prompt: , response: >", "prompt string, response string", pair("r.prompt", "r.response")),
+    "prompt_completion": ("{completion: , prompt: >", "prompt string, completion string", pair("r.prompt", "r.completion")),
+    "system_prompt": ("{prompt: , response: , system: >", "system string, prompt string, response string", pair("r.prompt", "r.response", "r.system")),
+    "question": ("{answer: , question: >", "question string, answer string", pair("r.question", "r.answer")),
 }
 
 
@@ -51,8 +51,7 @@ def field_paths(record: str | Column) -> Column:
     """A record's nested field paths in the order of their names, without types; null for what isn't JSON."""
     shape = F.schema_of_variant(F.try_parse_json(record))
     shape = F.regexp_replace(shape, "\\b(STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DATE|TIMESTAMP(_NTZ)?|DECIMAL\\([0-9, ]+\\))(?=[,>]|$)", "")
-    shape = F.regexp_replace(shape, "OBJECT<", "<")
-    return F.regexp_replace(F.regexp_replace(shape, "ARRAY<(<[^\\[\\]]*>)>", "[$1]"), "ARRAY<>", "[]")
+    return F.replace(F.replace(shape, F.lit("OBJECT<"), F.lit("{")), F.lit("ARRAY<"), F.lit("["))
 
 
 def fingerprint(record: str | Column) -> Column:
