@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lectern.functions.text import collapse
 from lectern.operators.boilerplate import strip_boilerplate
 
-SIZE, OVERLAP, LEAST_CHARS = 220, 40, 20
+SIZE, OVERLAP, LEAST_CHARS, NO_FILE = 220, 40, 20, "\x00"
 
 
 def as_pages(rows: DataFrame, default_source: str | None = None) -> DataFrame:
@@ -29,6 +29,8 @@ def document_lengths(pages: DataFrame) -> DataFrame:
     left, right = n - F.length(F.ltrim(t, ws)), n - F.length(F.rtrim(t, ws))
     filled = left < n
     first, last = F.min(F.when(filled, F.col("page"))), F.max(F.when(filled, F.col("page")))
+    own = {"source_file": F.coalesce("source_file", F.lit(NO_FILE)), "page": F.coalesce("page", F.lit(0))}  # unpaged text is one page; rows without a file are one document
+    pages = pages.withColumns(own)
     ends = pages.withColumns({"n": n, "left": left, "right": right, "filled": filled}).groupBy("source_file").agg(
         first.alias("first"), last.alias("last"),
         F.min(F.when(F.col("filled"), F.struct("page", "left"))).alias("head"),
@@ -36,13 +38,13 @@ def document_lengths(pages: DataFrame) -> DataFrame:
     )
     inside = pages.withColumn("n", n).join(ends, "source_file").where(F.col("page").between(F.col("first"), F.col("last")))
     sums = inside.groupBy("source_file").agg((F.sum("n") + F.count(F.lit(1)) - 1 - F.first("head.left") - F.first("tail.right")).alias("n_chars"))
-    return ends.select("source_file").join(sums, "source_file", "left").select("source_file", F.coalesce("n_chars", F.lit(0)).cast("bigint").alias("n_chars"))
+    return ends.select("source_file").join(sums, "source_file", "left").select(F.nullif("source_file", F.lit(NO_FILE)).alias("source_file"), F.coalesce("n_chars", F.lit(0)).cast("bigint").alias("n_chars"))
 
 
 def guard(pages: DataFrame, least: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
     """Pages of documents that are long enough, and the rejected documents."""
     short = document_lengths(pages).where(F.col("n_chars") < least)
-    return pages.join(short, "source_file", "left_anti"), short
+    return pages.join(short.withColumnRenamed("source_file", "__short"), F.col("source_file").eqNullSafe(F.col("__short")), "left_anti"), short
 
 
 def window_count(n: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:

@@ -41,6 +41,8 @@ def test_guard_uses_joined_text(spark):
     want = {s: len(" ".join(t or "" for q, _, t in rows if q == s).strip()) for s in "abc"}
     assert {r.source_file: r.n_chars for r in chunking.document_lengths(pages).collect()} == want
     kept, short = chunking.guard(pages)
+    loose = spark.createDataFrame([(None, None, "t" * 30), ("d", None, "u" * 19)], "source_file string, page bigint, text string")
+    assert [r.text[0] for r in chunking.guard(loose)[0].collect()] == ["t"]
     assert {r.source_file for r in kept.collect()} == {"b"} and {r.source_file for r in short.collect()} == {"a", "c"}
 
 
@@ -95,7 +97,7 @@ def test_boilerplate(spark):
     out = value(spark, boilerplate.strip_boilerplate(F.col("t")), t=text)
     assert out == "A Title Of The Paper\nplain words go on here\nmore text in lower case\nand a last line of text\nanother line of text\nfinal words here"
     assert value(spark, boilerplate.strip_boilerplate(F.col("t")), t="Title\na@b.org\nc@d.org\ne@f.org") == "Title\na@b.org\nc@d.org\ne@f.org"
-    two = "Title Line\nJane Doe\nJohn Roe\n\nMary Major\nsome text"
+    two = "A title with lower case words\nJane Doe\nJohn Roe\n\nMary Major\nsome text"
     assert value(spark, boilerplate.strip_boilerplate(F.col("t")), t=two) == two
 
 
