@@ -268,6 +268,17 @@ def test_near_duplicates_odd_tables(spark, odd):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 2, 3, 4, 5, 6]
 
 
+def test_near_duplicates_without_ids(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(5, a, "x"), (None, a + " more", "x"), (9, b, "x"), (None, b + " more", "x"), (None, a, "x"), (None, "alone", "x"), (None, "alone", "x"), (9, b, "y"), (9, b, "y")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, h string")
+    got = sorted(((r.doc_id or 0, r.class_id or 0, r.n_copies) for r in dartminhash.classes(df).collect()))
+    assert got == sorted([(5, 5, 2), (0, 5, 1), (9, 9, 3), (0, 9, 1), (0, 5, 2), (0, 0, 2), (0, 0, 2), (9, 9, 3), (9, 9, 3)])
+    kept = dartminhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "alone"), (5, a), (9, b)]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
