@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lectern.llm._shared import body, small_batches
+from lectern.llm._shared import body, freeing, small_batches
 
 SPECIAL = "<|endoftext|>"
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -83,9 +83,9 @@ class ChunkCoder:
                 if first is None:
                     kept = (chunk, None, "")
                 elif last is None:
-                    kept = (chunk[: first.start()], (), chunk[first.start() :])
+                    kept = (chunk[: first.start()], array("I"), chunk[first.start() :])
                 else:
-                    kept = (chunk[: first.start()], self.coder.encode_ordinary(chunk[first.start() : last.start()]), chunk[last.start() :])
+                    kept = (chunk[: first.start()], array("I", self.coder.encode_ordinary(chunk[first.start() : last.start()])), chunk[last.start() :])
             else:
                 self.reused += 1
             if self.held > self.limit // 2:
@@ -161,7 +161,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple
                 names.append("ids")
             yield pa.RecordBatch.from_arrays([*columns, pa.array(digest, pa.string()), pa.array(decoded, pa.string()), pa.array(exact, pa.bool_())], names=[*names, "ids_sha256", "decoded_sha256", "exact"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(freeing(run), schema)
 
 
 def decode_ids(rows: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -175,7 +175,7 @@ def decode_ids(rows: DataFrame, path: str, ids: str = "ids", out: str = "text")
             texts = [None if x is None else coder.decode(array("I", x)).decode("utf-8", "replace") for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(freeing(run), schema)
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lectern.llm._shared import body, small_batches
+from lectern.llm._shared import body, freeing, small_batches
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -118,7 +118,7 @@ def scan_documents(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
             names = [*keep, "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.string())] * redact, names=names + ["redacted"] * redact)
 
-    return docs.select(*keep, body(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, body(text).alias("__text")).mapInArrow(freeing(run), schema)
 
 
 def op6_secrets(spark, sf_dir: str) -> DataFrame:

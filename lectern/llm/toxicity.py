@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lectern.llm._shared import body, small_batches
+from lectern.llm._shared import body, freeing, small_batches
 
 SAMPLE_ROWS, MAX_STEMS, LEAST_BOUND, SHORTEST, LONGEST = 20_000, 4_000, 1.5, 3, 7
 WORD = re.compile(r"[^\W\d_]+")
@@ -129,7 +129,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Gramma
             part = keys[at : at + 20_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([counts[k][s] for s in part], pa.int64()) for k in (1, 0))], names=["stem", "bad", "good"])
 
-    table = sample.mapInArrow(stems, "stem string, bad bigint, good bigint").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    table = sample.mapInArrow(freeing(stems), "stem string, bad bigint, good bigint").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     kept = table.where("bad >= 4 and (stem = '' or bad > good)").orderBy(F.when(F.col("stem") == "", 0).otherwise(1), F.expr("ln((bad + 0.5) / (good + 0.5)) - 1.64 * sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))").desc(), "stem").limit(MAX_STEMS).collect()
     totals = next(((r.bad, r.good) for r in kept if r.stem == ""), None)
     if not totals or not min(totals):
@@ -148,7 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Gramma
             f = np.array([grammar.features(t) for t in batch.column(0).to_pylist()], float).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([*(pa.array(f[:, k]) for k in range(4)), batch.column(1).cast(pa.int64())], names=["a", "b", "c", "d", "y"])
 
-    small = sample.mapInArrow(measure, "a double, b double, c double, d double, y bigint").groupBy(*(F.round(x, 2).alias(x) for x in "abcd"), (F.col("y") > 0).alias("y")).count().collect()  # at most SAMPLE_ROWS rows
+    small = sample.mapInArrow(freeing(measure), "a double, b double, c double, d double, y bigint").groupBy(*(F.round(x, 2).alias(x) for x in "abcd"), (F.col("y") > 0).alias("y")).count().collect()  # at most SAMPLE_ROWS rows
     grammar.curve = logistic(np.array([[1, r.a, r.b, r.c, r.d] for r in small]), np.array([float(r.y) for r in small]), np.array([float(r["count"]) for r in small]))
     return grammar
 
@@ -177,7 +177,7 @@ def score_documents(docs: DataFrame, grammar: Grammar, keep: tuple[str, ...] = (
             scores = [own.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*keep, "toxicity"])
 
-    return docs.select(*keep, body().alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, body().alias("__text")).mapInArrow(freeing(run), schema)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
