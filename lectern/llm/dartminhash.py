@@ -11,11 +11,12 @@ its limit and throws on.
 
 Exactly equal texts are one node from the start. ROWS coordinates make a band;
 nodes that share a band's key meet in a bucket, where each is paired with the
-bucket's least and greatest node, not with every other. Pairs are checked exactly
-(weighted Jaccard of at least THRESHOLD). Members that agree with neither are
-bucketed again, by the keys of two bands together, which similar texts share and
-others hardly do, in up to ROUNDS rounds in all; only bands in which a node met
-another are combined, as no pair of texts shares any other. Classes are the
+bucket's least and greatest node, and one that agrees with neither with the
+node of most links there. Pairs are checked exactly (weighted Jaccard of at least
+THRESHOLD). Where a bucket's nodes are still of several components, all of them
+go to an exact join: two sets that reach THRESHOLD share one of their rarest
+strips, the smaller among 1/9 of its own and the larger among 1/5. So each pair
+that shares a bucket is of one component or was found unlike. Classes are the
 connected components of the links, found by least-label propagation with pointer
 jumping over written tables.
 
@@ -39,7 +40,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.llm._shared import as_bytes, body, freeing, materialize, mix, small_batches, unit
 
-SHINGLE, THRESHOLD, K, ROWS, ROUNDS = 5, 0.8, 64, 4, 3
+SHINGLE, THRESHOLD, K, ROWS = 5, 0.8, 64, 4
+#: Cells of the counts that tell rare strips from frequent ones.
+CELLS = 2**18
 #: Nodes of texts that no id holds are named by numbers from here on, so that ids, which are less, name a class first.
 UNNAMED = 2**62
 
@@ -186,59 +189,107 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def ends_of_buckets(entries: DataFrame) -> DataFrame:
-    """Entries (band, key, id, text) whose bucket has others, with the bucket's least and greatest node."""
+    """Entries (band, key, id) whose bucket has others, with the bucket's least and greatest node."""
     buckets = entries.groupBy("band", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     return entries.join(buckets, ["band", "key"])
 
 
-def two_bands(alone: DataFrame, met: DataFrame) -> DataFrame:
-    """Entries by two bands together, for members left over in one of the two; only bands in which the node met another count.
+def both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-    A text has at most K / ROWS bands, which bounds the arrays.
-    """
-    own = met.groupBy("id", "text").agg(F.collect_list(F.struct("band", "key")).alias("own"))
-    left = alone.groupBy("id", "text").agg(F.collect_set("band").alias("open"))
-    some = lambda x, y: F.array_contains("open", x["band"]) | F.array_contains("open", y["band"])
-    after = lambda x: F.filter("own", lambda y: (y["band"] > x["band"]) & some(x, y))
-    keys = F.flatten(F.transform("own", lambda x: F.transform(after(x), lambda y: F.xxhash64(x["band"], x["key"], y["band"], y["key"]))))
-    return left.join(own, ["id", "text"]).select(F.lit(-1).alias("band"), F.explode(keys).alias("key"), "id", "text")
+
+def most_linked(met: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs of members that agree with neither end of their bucket, and its member of most links."""
+    links = both_ways(near)
+    alone = met.where("id > lo and id < hi")
+    for end in ("lo", "hi"):
+        alone = alone.join(links.select(F.col("a").alias("id"), F.col("b").alias(end)), ["id", end], "left_anti")
+    degree = links.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    hubs = met.join(degree, "id").groupBy("band", "key").agg(F.max(F.struct("n", "id"))["id"].alias("hub"))
+    pairs = alone.join(hubs, ["band", "key"]).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    return pairs.where("a < b").distinct()
+
+
+def mixed(met: DataFrame, label: DataFrame) -> DataFrame:
+    """id and label of all members of buckets in which several components meet."""
+    at = met.select("band", "key", "id").join(label, "id", "left").select("band", "key", "id", F.coalesce("label", "id").alias("label"))
+    several = at.groupBy("band", "key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
+    return at.join(several, ["band", "key"], "left_semi").select("id", "label").distinct()
+
+
+def cell_counts(sets: DataFrame) -> np.ndarray:
+    """How many strips of the sets fall in each cell, by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            n += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4") % CELLS, minlength=CELLS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["cell", "n"])
+
+    got = sets.select("s").mapInArrow(freeing(run), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[got["cell"].to_numpy()] = got["n"].to_numpy()
+    return counts
+
+
+def rare_strips(sets: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
+    """strip, id, label, size, place: the strips of each set, in one order for all and rare ones first, that a set as small as the threshold allows must meet; first: whether a larger set must meet it too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rare, size = [], np.zeros(batch.num_rows, np.int64)
+            for k, s in enumerate(batch.column(2).to_pylist()):
+                x = np.frombuffer(s, "<u4")
+                size[k] = len(x)
+                rare.append(x[np.lexsort((x, counts[x % CELLS]))][: len(x) - int(np.ceil(threshold * len(x) - 1e-9)) + 1])
+            n = np.fromiter(map(len, rare), np.int64, len(rare))
+            row = np.repeat(np.arange(len(rare)), n)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            first = place <= size[row] - np.ceil(2 * threshold / (1 + threshold) * size[row] - 1e-9)
+            strip = np.concatenate([*rare, np.zeros(0, "<u4")]).astype(np.int64)
+            columns = [pa.array(strip), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(size[row]), pa.array(place), pa.array(first)]
+            yield pa.RecordBatch.from_arrays(columns, names=["strip", "id", "label", "size", "place", "first"])
+
+    schema = "strip bigint, id bigint, label bigint, size bigint, place bigint, first boolean"
+    return sets.select("id", "label", "s").mapInArrow(freeing(run), schema)
+
+
+def rare_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b) of sets (id, label, s) of different labels that may reach the threshold; none that reaches it is left out."""
+    strips = materialize(rare_strips(sets, cell_counts(sets), threshold), "rare")
+    several = strips.groupBy("strip").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
+    strips = strips.join(several, "strip", "left_semi")
+    x, y = strips.where("first").alias("x"), strips.alias("y")
+    ordered = "(x.size < y.size or x.size = y.size and x.id < y.id) and x.label <> y.label"
+    # From the first strip that two sets share, in the order, there are enough left in both.
+    enough = f"x.size >= {threshold} * y.size - 1e-6 and least(x.size - x.place, y.size - y.place) * {1 + threshold} >= {threshold} * (x.size + y.size) - 1e-6"
+    pairs = x.join(y, F.expr(f"x.strip = y.strip and {ordered} and {enough}"))
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def links(nodes: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Checked links (a, b), a < b, between nodes (id, h, bands)."""
-    entries = nodes.where("bands is not null").select("id", F.xxhash64("h").alias("text"), F.posexplode("bands").alias("band", "key"))
+    entries = nodes.where("bands is not null").select("id", F.posexplode("bands").alias("band", "key"))
     met = materialize(ends_of_buckets(entries), "buckets")
-    known, sets = None, None
-    for turn in range(ROUNDS):
-        pair = lambda c: F.struct(F.least("id", c).alias("a"), F.greatest("id", c).alias("b"))
-        pairs = met.select(F.explode(F.array(pair("lo"), pair("hi"))).alias("p")).select("p.a", "p.b").where("a < b").distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        if sets is None:
-            wanted = met.select("id").distinct().join(nodes.select("id", "h"), "id")
-            texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), unnamed(digest())).alias("id"), digest().alias("h"), body().alias("t"))
-            # A node is its class's least id, so only that row's text is read; further rows of that id and text give the same set.
-            sets = materialize(strip_sets(texts.join(wanted, ["id", "h"], "left_semi")).groupBy("id").agg(F.max("s").alias("s")), "strips")
-        checked = materialize(similar(pairs, sets, threshold), "links")
-        known = checked if known is None else materialize(known.unionByName(checked), "links")
-        near = known.where("near")
-        one_way = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        alone = met.where("id > lo and id < hi")
-        for end in ("lo", "hi"):
-            alone = alone.join(one_way.select(F.col("a").alias("id"), F.col("b").alias(end)), ["id", end], "left_anti")
-        alone = alone.select("band", "key", "id", "text")
-        if turn == 0:
-            alone = two_bands(alone, met)
-        if turn + 1 < ROUNDS:
-            met = materialize(ends_of_buckets(alone), "buckets")
-            if met.isEmpty():
-                break
-    return near.select("a", "b")
+    pair = lambda c: F.struct(F.least("id", c).alias("a"), F.greatest("id", c).alias("b"))
+    pairs = met.select(F.explode(F.array(pair("lo"), pair("hi"))).alias("p")).select("p.a", "p.b").where("a < b").distinct()
+    wanted = met.select("id").distinct().join(nodes.select("id", "h"), "id")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), unnamed(digest())).alias("id"), digest().alias("h"), body().alias("t"))
+    # A node is its class's least id, so only that row's text is read; further rows of that id and text give the same set.
+    sets = materialize(strip_sets(texts.join(wanted, ["id", "h"], "left_semi")).groupBy("id").agg(F.max("s").alias("s")), "strips")
+    ends = materialize(similar(pairs, sets, threshold), "links")
+    more = most_linked(met, ends.where("near")).join(ends, ["a", "b"], "left_anti")
+    known = materialize(ends.unionByName(similar(more, sets, threshold)), "links")
+    near = known.where("near").select("a", "b")
+    left = materialize(mixed(met, components(near)), "mixed")
+    rest = rare_pairs(sets.join(left, "id"), threshold).join(known, ["a", "b"], "left_anti")
+    return near.unionByName(similar(rest, sets, threshold).where("near").select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """id and label (the least id of its component), of all ids in edges."""
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    both = materialize(both_ways(edges), "edges")
     label = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label")), "labels")
     while True:
         reach = both.join(label.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("seen"))

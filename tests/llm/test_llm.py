@@ -252,6 +252,36 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got[len(texts) - 1].n_copies == 3
 
 
+def classes_by_all_pairs(texts):
+    """The least place of each text's class."""
+    sets, parent = [weighted(t) for t in texts], list(range(len(texts)))
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for a in range(len(texts)):
+        for b in range(a):
+            shared = sum((sets[a] & sets[b]).values())
+            if shared >= 0.8 * (sets[a].total() + sets[b].total() - shared):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i in range(len(texts))}
+
+
+def edited(words, n, r):
+    out = list(words)
+    for k in r.sample(range(len(words) // 10), n):
+        out[10 * k + 5] = f"e{r.random()}"
+    return " ".join(out)
+
+
+def test_near_duplicates_of_a_middle_id(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(404)]
+    copies = [edited(words, 8, r) for _ in range(100)]
+    texts = copies[:50] + [" ".join(words)] + copies[50:]
+    want = classes_by_all_pairs(texts)
+    assert set(want.values()) == {0}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {x.doc_id: x.class_id for x in dartminhash.classes(df).collect()} == want
+
+
 def test_signatures_estimate_weighted_similarity():
     a, b = [f"{i} {i + 1} {i + 2} {i + 3} {i + 4} " * (1 + i % 3) for i in range(300)], [f"{i} {i + 1} {i + 2} {i + 3} {i + 4} " * (1 + i % 3) for i in range(90, 390)]
     x, y = "".join(a), "".join(b)
