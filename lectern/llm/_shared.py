@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,15 +13,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+BATCH_BYTES = 16 << 20
 SPACE = "[\\x20\\x09-\\x0D]+"
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which the driver and all executors see; one of our own only where it is unset."""
+    """The folder of spark.checkpoint.dir, which the driver and all executors see; one of our own only where it is unset and all run in one process on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = f"file:///tmp/checkpoints/lectern-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
         spark.sparkContext.setCheckpointDir(root)
     return root
 
@@ -41,7 +46,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts the lineage, and a lost executor costs no more than a read."""
     path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lectern_path = path
+    return out
+
+
+def remove_table(df: DataFrame) -> None:
+    """Removes a table of materialize() that no later step reads."""
+    remove(df.sparkSession, df._lectern_path)
 
 
 @atexit.register
@@ -54,11 +66,15 @@ def _clean() -> None:
             return
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches by rows, so that a run of very long texts stays within a Python worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Arrow batches of at most so many rows and BATCH_BYTES, so that a run of very long texts stays within a Python worker's memory.
+
+    Plans read the session's settings when they run, so these stay set; smaller ones are kept.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        held = int(spark._jsparkSession.sessionState().conf().getConfString(f"spark.sql.execution.arrow.{key}", str(2**31 - 1)))
+        if not 0 < held <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

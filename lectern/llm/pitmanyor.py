@@ -1,32 +1,38 @@
-"""Hierarchical Pitman-Yor language model, seated by Gibbs sampling.
-
-A word restaurant seats every training token; its base measure spells the word
-with letter restaurants of contexts of three letters, whose parents are those of
-two, one and no letters (contexts with the same end share a parent) and at the
-root a uniform letter. A table opened in a restaurant is a customer of its
-parent.
-
-A Gibbs sweep draws anew, for every dish of every restaurant, the number of its
-tables given all other seats: the seats of one dish are a block whose weight is
-(strength + discount x tables)^t x parent^t x S(c, t), with generalised Stirling
-numbers S. For up to EXACT customers the block is drawn from that law; beyond,
-the customers that follow are seated in growing steps with the law's first two
-moments. The word restaurant is sampled where its words lie, by hash-driven
-draws, so a task that runs again draws the same; the letter restaurants have at
-most 65^4 dishes whatever the corpus, and are sampled on the driver. After the
-burn-in, each sweep's predictive probability is a sample; the score uses their
-mean.
-
-A token that training never saw is the one event "unknown word", as it is for
-the base: its probability is that of a new table whose dish is spelled unlike any
-known word. So the probabilities of the known words and of it sum to 1.
-
-Scoring: the HEAD most frequent words are broadcast; counts of all other words
-of a document go by a shuffle join to the word table. No word is dropped.
+"""Hierarchical Pitman-Yor language model over word contexts, seated by Gibbs sampling.
+
+A restaurant for each context, the word before, seats the tokens that follow it.
+Each of the HEAD most frequent words is a context; all others share CLASSES
+contexts by hash. All contexts share one parent, the restaurant of words without
+a context, whose base measure is diffuse: each of its tables is a word of its
+own, and a new table is a word that training never saw. That is the one event
+"unknown word", as it is for the base, so the probabilities of the known words
+and of it sum to 1 in every context. A table opened in a context is a customer of
+the parent.
+
+The sampler is a blocked Gibbs sampler whose steps are draws from exact laws. Given the
+seats, a context's gamma variable g ~ Gamma(strength / discount + its tables) and
+the parent's shares beta ~ Dirichlet(customers - discount, ..., strength +
+discount x words) are drawn. Given these, the dishes of all contexts are
+independent: c customers of a word take t tables with weight S(c, t) x (discount
+x g x beta)^t, S being generalised Stirling numbers. seat() draws t for every count:
+from the recursion's table to EXACT, beyond it from a convergent series or, where
+tables are many, a saddle point. So no table of a dish's own enters its own law.
+Each sweep after the burn-in is a sample, and a score uses the mean of the
+samples' predictive probabilities.
+
+Pairs (word, context) lie in buckets by hash: those of a head word by the pair,
+all others by the word, so a frequent word is spread over buckets, and what a
+rare one needs is in one. A sweep is one pass over the pairs of two customers or
+more; contexts and head words, bounded in number, are summed and sent back. Texts
+go to the buckets as sorted, packed postings (word, context, document of a block,
+count), and the sums of each block's documents come back.
+
+Words outside the head are named by 62-bit hashes; a word whose name meets another's is
+named by a second hash, found while words are counted, so counts are exact.
 
 Cases: null text is empty, which is the end token alone; a null doc_id trains (it isn't held out); repeated rows
-are scored each and train each; very long texts are counted word by word; with
-no training row every word is unknown, with probability 1 under the model; an
+are scored each and train each; a very long text is a block of its own; with
+no training row every word is unknown, with probability 1; an
 empty table gives an empty one; only doc_id and text are read.
 """
 
@@ -35,155 +41,141 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lectern.llm._shared import as_bytes, body, materialize, mix, small_batches, unit
-
-LETTERS, END = 65, 26
-ORDER = 4
-EXACT, SWEEPS, BURN_IN, INNER, HEAD, FLUSH = 40, 3, 1, 4, 150_000, 400_000
-BLOCK, BLOCK_BYTES = 20_000, 1 << 20
-
-
-def letter_table() -> tuple[np.ndarray, np.ndarray]:
-    """Letter of each byte, and log10 of the share that a byte has of its letter."""
-    of = np.full(256, 30)
-    of[ord("a") : ord("z") + 1] = np.arange(26)
-    of[ord(" ")] = END
-    of[ord("0") : ord("9") + 1] = 27
-    of[ord(".")], of[ord(",")] = 28, 29
-    of[0x80:0xC0] = 33 + (np.arange(0x80, 0xC0) & 31)
-    of[0xC0:] = 32
-    of[0xC3] = 31
-    return of, -np.log10(np.bincount(of, minlength=LETTERS)[of])
-
-
-LETTER_OF, SHARE_OF = letter_table()
-
-
-def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys of the four-letter windows of all words (a word's end is a letter), the place of each window's key among them, the word of each window, and each word's byte shares."""
-    raw = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    letter = LETTER_OF[raw]
-    n = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    word = np.repeat(np.arange(len(words)), n)
-    place = np.arange(len(raw)) - np.repeat(np.cumsum(n) - n, n)
-    key = letter.copy()
-    for back in range(1, ORDER):
-        before = np.concatenate([np.full(min(back, len(letter)), END), letter[:-back]])
-        key += np.where(place >= back, before, END) * LETTERS**back
-    keys, at = np.unique(key, return_inverse=True)
-    return keys, at, word, np.bincount(word, SHARE_OF[raw], len(words))
-
-
-@lru_cache(maxsize=16)
-def stirling(discount: float) -> np.ndarray:
-    """log S(c, t) for c, t up to EXACT."""
-    s = np.full((EXACT + 1, EXACT + 1), -np.inf)
+from lectern.llm._shared import as_bytes, body, freeing, materialize, mix, remove_table, small_batches
+
+HEAD, CLASSES = 1 << 17, 1 << 12
+CONTEXTS = HEAD + CLASSES
+SWEEPS, BURN_IN, STRENGTH = 6, 2, 1.0
+EXACT, SERIES, FLUSH = 1024, 8.0, 400_000
+BLOCK_BYTES, BUCKET_TOKENS, MOST_BUCKETS, HELD_DOCS = 6 << 20, 1 << 19, 1 << 16, 1 << 21
+TAIL = 1 << 62
+
+
+# --- seating ---------------------------------------------------------------------------
+
+
+@lru_cache(maxsize=8)
+def stirling(discount: float, most: int = EXACT) -> np.ndarray:
+    """log S(c, t) for c, t up to most."""
+    s = np.full((most + 1, most + 1), -np.inf)
     s[0, 0] = 0
-    for c in range(EXACT):
-        t = np.arange(1, EXACT + 1)
+    t = np.arange(1, most + 1)
+    for c in range(most):
         with np.errstate(divide="ignore"):
             s[c + 1, 1:] = np.logaddexp(s[c, :-1], np.log(np.maximum(c - discount * t, 0)) + s[c, 1:])
     return s
 
 
-def seat(c: np.ndarray, room: np.ndarray, parent: np.ndarray, discount: float, seed: np.ndarray) -> np.ndarray:
-    """Tables of each dish: c customers, room = strength + discount x the restaurant's other tables, the parent's probability, 64-bit seeds."""
+def lgamma(x) -> np.ndarray:
+    x = np.asarray(x, float)
+    shift = np.zeros_like(x)
+    for k in range(7):
+        shift = shift + np.log(x + k)
+    y = x + 7
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+
+
+def series(c: np.ndarray, t: np.ndarray, d: float, x: float) -> np.ndarray:
+    """log S(c, t) by the alternating sum over j of binomial(t, j) x gamma(c - jd) / gamma(-jd); x: the largest t / c^d."""
+    j, ratio = 1, 0.0
+    while j < 20 or ratio > -40:  # terms fall once j passes their peak
+        j += 1
+        ratio = j * np.log(max(x, 1e-9)) + float(lgamma(1 + j * d) - lgamma(1 + j))
+        if j > 400:
+            break
+    j = np.arange(1, j + 1)
+    j = j[j * d < c.min() - 1]
+    c, t, j = c[:, None], t[:, None].astype(float), j[None]
+    some = j <= t
+    size = np.where(some, lgamma(t + 1) - lgamma(np.where(some, t - j, 0) + 1) - lgamma(j + 1) + lgamma(c - j * d) - lgamma(c) + lgamma(1 + j * d), -np.inf)
+    top = size.max(axis=1, keepdims=True)
+    total = (np.exp(size - top) * np.where(j % 2 == 1, 1.0, -1.0) * np.sin(np.pi * ((j * d) % 2)) / np.pi).sum(axis=1)
+    c, t = c[:, 0], t[:, 0]
+    return np.log(np.maximum(total, 1e-300)) + top[:, 0] + lgamma(c) - lgamma(t + 1) - t * np.log(d)
+
+
+def saddle(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log S(c, t) by the saddle point of ((1 - (1 - x)^d) / d)^t x^-c."""
+    t = t.astype(float)
+    lo, hi = np.full(len(c), -40.0), np.full(len(c), 6.0)
+    for _ in range(64):
+        mid = (lo + hi) / 2
+        y = np.exp(-np.exp(mid))  # 1 - x
+        g = (1 - y) * y ** (d - 1) * d / np.maximum(-np.expm1(-d * np.exp(mid)), 1e-300)
+        less = t * g < c
+        lo, hi = np.where(less, mid, lo), np.where(less, hi, mid)
+    q = np.exp((lo + hi) / 2)
+    y, x, f = np.exp(-q), -np.expm1(-q), -np.expm1(-d * q) / d
+    g = x * y ** (d - 1) / f
+    spread = np.maximum(t * (g + x * x * (1 - d) * y ** (d - 2) / f - g * g), 1e-12)
+    m = np.maximum(c - t, 1.0)
+    out = lgamma(c + 1.0) - lgamma(t + 1) + t * np.log(f) - c * np.log(x) - 0.5 * np.log(2 * np.pi * spread)
+    out += 0.5 * np.log(2 * np.pi * m) + m * np.log(m) - m - lgamma(m + 1)  # what Stirling's formula leaves of the customers who opened no table
+    return np.where(t >= c, 0.0, out)
+
+
+def log_stirling(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log S(c, t) for counts beyond the table; -inf where no such seating is."""
+    out = np.full(len(c), -np.inf)
+    some = np.flatnonzero((t >= 1) & (t <= c))
+    x = t[some] / c[some].astype(float) ** d
+    near = (1 - d) * d ** (d / (1 - d)) * x ** (1 / (1 - d)) <= SERIES
+    at = some[near][np.argsort(x[near], kind="stable")]
+    for part in np.array_split(at, max(1, len(at) // 2_000)):
+        if len(part):
+            out[part] = series(c[part], t[part], d, float((t[part] / c[part].astype(float) ** d).max()))
+    if (~near).any():
+        out[some[~near]] = saddle(c[some[~near]], t[some[~near]], d)
+    return out
+
+
+def seat_many(c: np.ndarray, z: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
+    """seat() beyond the table: the law is log-concave, so its mode is found by halving and the draw is made among the tables within nine deviations of it."""
+    logp = lambda at, t: log_stirling(c[at], t, d) + t * np.log(z[at])
+    every = np.arange(len(c))
+    lo, hi = np.ones(len(c), np.int64), np.minimum(c, np.ceil(2 + 2 * z / d)).astype(np.int64)
+    while (lo < hi).any():
+        at = np.flatnonzero(lo < hi)
+        mid = (lo[at] + hi[at]) // 2
+        rises = logp(at, mid + 1) > logp(at, mid)
+        lo[at], hi[at] = np.where(rises, mid + 1, lo[at]), np.where(rises, hi[at], mid)
+    at_mode, beside = logp(every, lo), np.fmax(logp(every, np.maximum(lo - 1, 1)), logp(every, np.minimum(lo + 1, c)))
+    width = np.ceil(9 / np.sqrt(np.maximum(at_mode - beside, 1e-9))).clip(12, 4 * np.sqrt(lo) + 40).astype(np.int64) if len(c) else lo
+    out = np.ones(len(c), np.int64)
+    for k in every:
+        t = np.arange(max(1, lo[k] - width[k]), min(c[k], lo[k] + width[k]) + 1)
+        p = log_stirling(np.full(len(t), c[k]), t, d) + t * np.log(z[k])
+        p = np.cumsum(np.exp(p - p.max()))
+        out[k] = t[min(int(np.searchsorted(p, u[k] * p[-1])), len(t) - 1)]
+    return out
+
+
+def seat(c: np.ndarray, z: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
+    """Tables of each dish, t with weight S(c, t) x z^t: c customers, discount d, u uniform draws."""
     t = (c > 0).astype(np.int64)
-    law, pull = stirling(discount), np.log(np.maximum(room * parent, 1e-300))
-    first = np.minimum(c, EXACT)
-    u = unit(mix(seed + np.uint64(0xA0761D6478BD642F)))
-    for size in range(2, EXACT + 1):
-        at = np.flatnonzero(first == size)
-        for part in np.array_split(at, max(1, len(at) // 200_000)):
-            if len(part):
-                steps = np.arange(1, size + 1)
-                rise = np.concatenate([[0.0], np.cumsum(np.log1p(discount * steps[:-1] / max(float(np.median(room[part])), 1.0)))])
-                z = pull[part, None] * steps + rise + law[size, 1 : size + 1]
-                z = np.cumsum(np.exp(z - z.max(axis=1, keepdims=True)), axis=1)
-                t[part] = 1 + (z < u[part, None] * z[:, -1:]).sum(axis=1).clip(0, size - 1)
-    at, done, k = np.flatnonzero(c > EXACT), EXACT, 1
-    while len(at):
-        step = np.minimum(c[at] - done, max(1, done // 8))
-        new = (room[at] + discount * t[at]) * parent[at]
-        p = new / (new + done - discount * t[at])
-        mean = step * p
-        h = mix(seed[at] + np.uint64(k * 0xE7037ED1A0B428DB % 2**64))
-        g = np.sqrt(-2 * np.log(unit(h))) * np.cos(2 * np.pi * unit(mix(h)))
-        t[at] += np.clip(np.floor(mean + np.where(mean > 4, np.sqrt(mean * (1 - p)) * g, 0) + unit(mix(h + np.uint64(1)))), 0, step).astype(np.int64)
-        done, k = done + max(1, done // 8), k + 1
-        at = at[c[at] > done]
+    law, pull = stirling(d), np.log(np.maximum(z, 1e-300))
+    order = np.argsort(c, kind="stable")
+    sizes, first = np.unique(c[order], return_index=True)
+    for size, rows in zip(sizes.tolist(), np.split(order, first[1:]), strict=True):
+        if not 2 <= size <= EXACT:
+            continue
+        step = np.arange(1, size + 1)
+        for part in np.array_split(rows, -(-len(rows) * size // 2_000_000)):
+            p = pull[part, None] * step + law[size, 1 : size + 1]
+            p = np.cumsum(np.exp(p - p.max(axis=1, keepdims=True)), axis=1)
+            t[part] = 1 + (p < u[part, None] * p[:, -1:]).sum(axis=1).clip(0, size - 1)
+    many = np.flatnonzero(c > EXACT)
+    if len(many):
+        t[many] = seat_many(c[many], np.maximum(z[many], 1e-300), d, u[many])
     return t
 
 
-def discount_of(c: np.ndarray) -> float:
-    once, twice = float((c == 1).sum()), float((c == 2).sum())
-    return float(np.clip(once / (once + 2 * twice), 0.1, 0.95)) if once else 0.5
-
-
-class Letters:
-    """Letter restaurants of contexts of 3, 2, 1 and 0 letters; a dish's key is its context and letter to the base LETTERS."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, sweep: int = 0, strength: float = 1.0):
-        self.keys, self.strength = keys, strength
-        self.c: list[np.ndarray] = [counts.astype(np.int64)]
-        self.at = [keys]
-        self.t = [(self.c[0] > 0).astype(np.int64)]
-        for level in range(1, ORDER):
-            size = LETTERS ** (ORDER - level)
-            c = np.bincount(self.at[-1] % size, self.t[-1], size).astype(np.int64)
-            self.at.append(np.arange(size))
-            self.c.append(c)
-            self.t.append((c > 0).astype(np.int64))
-        self.d = [discount_of(c) for c in self.c]
-        for k in range(INNER):
-            for level in range(ORDER):
-                self.reseat(level, sweep * INNER + k)
-        self.tail = self.prob(1)  # of every letter after every two
-        rest = LETTERS ** (ORDER - 1)
-        context = keys // LETTERS
-        self.direct = (self.c[0] - self.d[0] * self.t[0]) / (strength + np.bincount(context, self.c[0], rest))[context]
-        self.share = (strength + self.d[0] * np.bincount(context, self.t[0], rest)) / (strength + np.bincount(context, self.c[0], rest))
-
-    def prob(self, level: int) -> np.ndarray:
-        """Predictive probabilities of all dishes of a level; beyond the last, the uniform letter."""
-        if level == ORDER:
-            return np.full(1, 1 / LETTERS)
-        at, c, t, d = self.at[level], self.c[level], self.t[level], self.d[level]
-        context = at // LETTERS
-        n = LETTERS ** (ORDER - 1 - level)
-        customers, tables = np.bincount(context, c, n)[context], np.bincount(context, t, n)[context]
-        parent = self.prob(level + 1)
-        return (np.maximum(c - d * t, 0) + (self.strength + d * tables) * parent[at % len(parent)]) / (self.strength + customers)
-
-    def reseat(self, level: int, sweep: int) -> None:
-        at, c, d = self.at[level], self.c[level], self.d[level]
-        context, n = at // LETTERS, LETTERS ** (ORDER - 1 - level)
-        parent = self.prob(level + 1)
-        room = self.strength + d * (np.bincount(context, self.t[level], n)[context] - self.t[level])
-        self.t[level] = seat(c, room, parent[at % len(parent)], d, mix(at.astype(np.uint64) + np.uint64((sweep + 1) * 1_000_003 + level)))
-        if level + 1 < ORDER:
-            size = LETTERS ** (ORDER - 1 - level)
-            self.c[level + 1] = np.bincount(at % size, self.t[level], size).astype(np.int64)
-            self.t[level + 1] = np.minimum(np.maximum(self.t[level + 1], self.c[level + 1] > 0), self.c[level + 1])
-
-    def packed(self) -> tuple:
-        return self.keys, self.direct, self.share, self.tail
-
-
-def spelling_log10(model: tuple, key: np.ndarray, of: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
-    """log10 probability of each word's letters; key, of and word as spelled() has them."""
-    keys, direct, share, tail = model
-    p = share[key // LETTERS] * tail[key % len(tail)]
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        p = p + np.where(keys[at] == key, direct[at], 0.0)
-    return np.bincount(word, np.log10(p)[of], n)
+# --- words, blocks and buckets --------------------------------------------------------------
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -195,196 +187,471 @@ def tokens_of(text: bytes) -> list[bytes]:
     return [*text.lower().split(), b""]
 
 
+def names(word: bytes) -> tuple[int, int]:
+    """Two independent names of a word."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word) >> 2 | TAIL, xxhash.xxh3_64_intdigest(word) >> 2 | TAIL
+
+
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """w and its count c, of all tokens of the training rows."""
+    """name, second and c, the count in training, of the tokens of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            words, counts = [*seen.keys()], [*seen.values()]
-            for at in range(0, len(words), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 50_000], pa.binary()), pa.array(counts[at : at + 50_000], pa.int64())], names=["w", "c"])
+            both = np.array([names(w) for w in seen], np.int64).reshape(-1, 2)
+            counts = np.fromiter(seen.values(), np.int64, len(seen))
+            for at in range(0, len(counts), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in (both[:, 0], both[:, 1], counts)], names=["name", "second", "c"])
             seen.clear()
 
         for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                seen.update(tokens_of(text))
+            for text, held in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                if held:
+                    seen.update(dict.fromkeys(tokens_of(text), 0))
+                else:
+                    seen.update(tokens_of(text))
                 if len(seen) > FLUSH:
                     yield from flush()
         yield from flush()
 
-    rows = docs.where(~held_out()).select(body().alias("t"))
-    return rows.mapInArrow(run, "w binary, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
+    rows = docs.select(body().alias("t"), held_out().alias("held"))
+    return rows.mapInArrow(freeing(run), "name bigint, second bigint, c bigint").repartition("name").groupBy("name", "second").agg(F.sum("c").alias("c"))
+
+
+class Codes(dict):
+    """Codes of words: a head word's rank, else its name; emptied when it holds many."""
 
+    def __init__(self, rank: dict[int, int], doubled: frozenset[int]):
+        super().__init__()
+        self.rank, self.doubled = rank, doubled
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches joined to blocks of BLOCK words or BLOCK_BYTES: the sampler's steps are by block, and draws don't depend on it."""
-    own: list[pa.RecordBatch] = []
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        name, second = names(word)
+        name = second if name in self.doubled else name
+        code = self[word] = self.rank.get(name, name)
+        return code
+
+
+def context_of(w: np.ndarray) -> np.ndarray:
+    return np.where(w < HEAD, w, HEAD + (mix(w.astype(np.uint64)) % np.uint64(CLASSES)).astype(np.int64))
+
+
+def bucket_of(w: np.ndarray, u: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(np.where(w < HEAD, w * CONTEXTS + u + 1, w).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def coded(texts: list[bytes], codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's document, code and context; the end stands before a text's first token."""
+    parts = [np.fromiter(map(codes.__getitem__, t), np.int64, len(t)) for t in map(tokens_of, texts)]
+    n = np.fromiter(map(len, parts), np.int64, len(parts))
+    w = np.concatenate([*parts, np.zeros(0, np.int64)])
+    before = np.concatenate([[codes[b""]], w[:-1]]) if len(w) else w
+    before[(np.cumsum(n) - n)[n > 0]] = codes[b""]
+    return np.repeat(np.arange(len(texts)), n), w, context_of(before)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Rows in blocks of about BLOCK_BYTES of text."""
+    own, held = [], 0
     for batch in batches:
-        own.append(batch)
-        if sum(x.num_rows for x in own) >= BLOCK or sum(x.nbytes for x in own) >= BLOCK_BYTES:
-            yield pa.concat_batches(own)
-            own = []
+        size = np.diff(np.frombuffer(batch.column(text).cast(pa.large_binary()).buffers()[1], np.int64)[batch.column(text).offset :][: batch.num_rows + 1]) if batch.num_rows else []
+        start = 0
+        for k, n in enumerate(size):
+            held += int(n)
+            if held >= BLOCK_BYTES:
+                own.append(batch.slice(start, k + 1 - start))
+                yield pa.concat_batches(own)
+                own, held, start = [], 0, k + 1
+        if start < batch.num_rows:
+            own.append(batch.slice(start))
     if own:
         yield pa.concat_batches(own)
 
 
-def seeds(words: list[bytes]) -> np.ndarray:
-    import xxhash
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit values, the first as differences, byte by byte and compressed: sorted columns shrink most."""
+    import zstandard
 
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    a = np.array([np.diff(columns[0], prepend=0), *(c.view(np.int64) if c.dtype == np.float64 else c for c in columns[1:])], np.int64)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.reshape(-1).view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
-def word_tables(model: tuple, room: float, discount: float, c, key, of, word, share, seed, sweep: int) -> np.ndarray:
-    """Tables of words in one sweep; the same wherever it is computed. One customer has one table, so only other words are spelled."""
-    tables, more = np.ones(len(c), np.int64), c > 1
-    n, place = int(more.sum()), np.cumsum(more) - 1
-    if n:
-        mine = more[word]
-        spelling = 10 ** np.maximum(spelling_log10(model, key, of[mine], place[word[mine]], n) + share[more], -300)
-        tables[more] = seat(c[more], np.full(n, room), spelling, discount, mix(seed[more] + np.uint64(sweep * 7_919)))
-    return tables
+def unpack(data: bytes, columns: int) -> np.ndarray:
+    import zstandard
 
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    a = raw.T.copy().reshape(-1).view(np.int64).reshape(columns, -1)
+    a[0] = np.cumsum(a[0])
+    return a
 
-class Model:
-    """States (letters, tables of the word restaurant) after each sweep; words' counts stay in their table."""
 
-    def __init__(self, discount: float, strength: float, customers: int):
-        self.discount, self.strength, self.customers = discount, strength, customers
-        self.letters: list[tuple] = []
-        self.tables: list[int] = []
-        self.unseen: dict[int, float] = {}
+def dealt(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Packed columns by bucket; rows keep their order."""
+    order = np.argsort(bucket, kind="stable")
+    at, first = np.unique(bucket[order], return_index=True)
+    for b, rows in zip(at.tolist(), np.split(order, first[1:]), strict=True):
+        yield b, pack(*(c[rows] for c in columns))
 
-    def room(self, k: int) -> float:
-        return self.strength + self.discount * self.tables[k]
 
-    def kept(self) -> range:
-        return range(BURN_IN + 1, len(self.letters))
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows one at a time, with whether their first column's value begins a run."""
+    last = None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield row[0] != last, row
+            last = row[0]
 
-    def unknown_log10(self) -> float:
-        """log10 probability of an unknown word, likewise."""
-        return float(np.log10(np.mean([self.room(k) / (self.strength + self.customers) * self.unseen[k] for k in self.kept()])))
 
-    def log10(self, words: list[bytes], c: np.ndarray) -> np.ndarray:
-        """log10 of the mean predictive probability over the samples."""
-        key, of, word, share = spelled(words)
-        seed, total = seeds(words), np.zeros(len(words))
-        kept = self.kept()
-        for k in kept:
-            t = word_tables(self.letters[k - 1], self.room(k - 1), self.discount, c, key, of, word, share, seed, k)
-            spelling = 10 ** np.maximum(spelling_log10(self.letters[k], key, of, word, len(c)) + share, -300)
-            total += (np.maximum(c - self.discount * t, 0) + self.room(k) * spelling) / (self.strength + self.customers)
-        return np.log10(total / len(kept))
+def table_of(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], names=[n for n, _ in schema])
 
 
-def gather_letters(vocab: DataFrame, model: Model | None, sweep: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Letter customers that the words' tables send (keys, counts), and the number of tables: one table a word at first, else a Gibbs sweep of the word restaurant."""
-    state = vocab.sparkSession.sparkContext.broadcast(None if model is None else (model.letters[-1], model.room(-1), model.discount))
+# --- counts -----------------------------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
-            words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            keys, at, word, share = spelled(words)
-            t = np.ones(len(c), np.int64) if state.value is None else word_tables(*state.value, c, keys, at, word, share, seeds(words), sweep)
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *keys.tolist()], pa.int64()), pa.array([int(t.sum()), *np.bincount(at, t[word]).astype(np.int64).tolist()], pa.int64())], names=["k", "n"])
 
-    out = vocab.mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()  # at most 65^4 + 1 rows
-    rows = np.array(sorted((r.k, r.n) for r in out if r.k >= 0), np.int64).reshape(-1, 2)
-    return rows[:, 0], rows[:, 1], sum(r.n for r in out if r.k < 0)
+def bucket_row(bucket: int, blobs: list[bytes]) -> tuple:
+    """A bucket's pairs (w, u, c), its state, sums by code, and counts of pairs and words."""
+    w, u, n = np.concatenate([unpack(b, 3) for b in blobs], axis=1)
+    word, wi = np.unique(w, return_inverse=True)
+    key, at = np.unique(wi * CONTEXTS + u, return_inverse=True)
+    c, wi, u = np.bincount(at, n).astype(np.int64), key // CONTEXTS, key % CONTEXTS
+    w = word[wi]
+    many = c >= 2
+    alone, several = np.bincount(wi[~many], minlength=len(word)), np.bincount(wi[many], minlength=len(word))
+    tail = word >= HEAD
+    kept = tail & (several > 0)
+    rest = tail & (several == 0)
+    code, place = np.unique(np.concatenate([u, CONTEXTS + w[w < HEAD]]), return_inverse=True)
+    of_u, of_w = place[: len(u)], place[len(u) :]
+    n = len(code)
+    sums = np.bincount(of_u, ~many, n) + np.bincount(of_w, ~many[w < HEAD], n), np.bincount(of_u, many, n) + np.bincount(of_w, many[w < HEAD], n), np.bincount(of_u, c, n)
+    state = pack(w[many], u[many], c[many], np.ones(int(many.sum()), np.int64), np.zeros(int(many.sum()), np.int64))
+    words = pack(word[kept], alone[kept])
+    met = (alone + several)[tail]
+    return (bucket, pack(w, u, c), state, words, pack(code, *(s.astype(np.int64) for s in sums)), int((c == 1).sum()), int((c == 2).sum()), int((met == 1).sum()), int((met == 2).sum()), int(rest.sum()), int(alone[rest].sum()), int(met.sum()))
 
 
-def known_mass(vocab: DataFrame, model: Model) -> dict[int, float]:
-    """For each kept sample, the probability that a spelled word is a known one."""
-    letters = vocab.sparkSession.sparkContext.broadcast({k: model.letters[k] for k in model.kept()})
+PAIRS = [("bucket", pa.int64()), ("pairs", pa.binary()), ("state", pa.binary()), ("words", pa.binary()), ("sums", pa.binary()), *((x, pa.int64()) for x in ("n1", "n2", "w1", "w2", "rest", "rest_customers", "tail_customers"))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
-            words = batch.column(0).to_pylist()
-            key, of, word, share = spelled(words)
-            sums = [float((10 ** np.maximum(spelling_log10(m, key, of, word, len(words)) + share, -300)).sum()) for m in letters.value.values()]
-            yield pa.RecordBatch.from_arrays([pa.array([*letters.value], pa.int64()), pa.array(sums)], names=["k", "p"])
 
-    return {r.k: min(r.p, 1 - 1e-9) for r in vocab.mapInArrow(run, "k bigint, p double").groupBy("k").agg(F.sum("p").alias("p")).collect()}  # a row for each sample
+def as_schema(columns: list[tuple[str, pa.DataType]]) -> str:
+    kinds = {pa.int64(): "bigint", pa.binary(): "binary", pa.float64(): "double"}
+    return ", ".join(f"{n} {kinds[t]}" for n, t in columns)
+
 
+def pair_table(docs: DataFrame, buckets: int, words) -> DataFrame:
+    """A row for each bucket of training pairs."""
 
-def train(vocab: DataFrame, strength: float = 10.0, sweeps: int = SWEEPS) -> tuple[Model, int]:
-    """The sampled model, and the number of distinct training tokens."""
-    customers, distinct, once, twice = vocab.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    discount = float(np.clip(once / (once + 2 * twice), 0.1, 0.95)) if once else 0.5
-    model = Model(discount, strength, customers or 0)
-    for sweep in range(sweeps + 1):
-        keys, counts, tables = gather_letters(vocab, model if sweep else None, sweep)
-        model.letters.append(Letters(keys, counts, sweep).packed())
-        model.tables.append(tables)
-    mass = known_mass(vocab, model)
-    model.unseen = {k: 1 - mass.get(k, 0.0) for k in model.kept()}
-    return model, distinct
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes(*words.value)
+        for block in blocks(batches, 0):
+            _, w, u = coded(as_bytes(block.column(0)), codes)
+            word, wi = np.unique(w, return_inverse=True)
+            key, n = np.unique(wi * CONTEXTS + u, return_counts=True)
+            w, u = word[key // CONTEXTS], key % CONTEXTS
+            yield table_of(list(dealt(bucket_of(w, u, buckets), w, u, n)), [("bucket", pa.int64()), ("x", pa.binary())])
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, blobs = None, []
+        for fresh, (bucket, x) in runs(batches):
+            if fresh and blobs:
+                yield table_of([bucket_row(at, blobs)], PAIRS)
+                blobs = []
+            at = bucket
+            blobs.append(x)
+        if blobs:
+            yield table_of([bucket_row(at, blobs)], PAIRS)
 
-def word_scores(vocab: DataFrame, model: Model, distinct: int) -> DataFrame:
-    """w, c, base and model: both log10 probabilities."""
-    state = vocab.sparkSession.sparkContext.broadcast(model)
+    rows = docs.where(~held_out()).select(body().alias("t")).mapInArrow(freeing(count), "bucket bigint, x binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(freeing(merge), as_schema(PAIRS))
+
+
+def summed(table: DataFrame, columns: int) -> np.ndarray:
+    """(columns, CONTEXTS + HEAD) sums over all buckets, from packed sums by code: at most CONTEXTS + HEAD rows come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = state.value
-        for batch in blocks(batches):
-            c = batch.column(1).to_numpy()
-            base = np.log10((c + 1.0) / (own.customers + 1.0 * (distinct + 1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base), pa.array(own.log10(batch.column(0).to_pylist(), c))], names=["w", "c", "base", "model"])
+        total = np.zeros((columns, CONTEXTS + HEAD), np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                a = unpack(x, columns + 1)
+                total[:, a[0]] += a[1:]
+        at = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(t[at]) for t in total)], names=["code", *(f"s{k}" for k in range(columns))])
 
-    return vocab.mapInArrow(run, "w binary, c bigint, base double, model double")
+    names_ = [f"s{k}" for k in range(columns)]
+    got = table.select("sums").mapInArrow(run, "code bigint, " + ", ".join(f"{n} bigint" for n in names_)).groupBy("code").agg(*(F.sum(n).alias(n) for n in names_)).toArrow()
+    out = np.zeros((columns, CONTEXTS + HEAD), np.int64)
+    out[:, got["code"].to_numpy()] = [got[n].to_numpy() for n in names_]
+    return out
 
 
-_heads: dict[str, tuple] = {}
+# --- sampling ---------------------------------------------------------------------------------
 
 
-def score_documents(docs: DataFrame, scores: DataFrame, model: Model, distinct: int) -> DataFrame:
+def discount_of(once: float, twice: float) -> float:
+    return float(np.clip(once / (once + 2 * twice), 0.1, 0.9)) if once else 0.5
+
+
+def generator(*key: int) -> np.random.Generator:
+    return np.random.Generator(np.random.Philox(key=np.array(key, np.uint64)))
+
+
+class Model:
+    """What the samples share and hold: discounts of contexts (d) and of the parent (d0), tokens, words, customers by context, and by sample the contexts' rooms, head words' and all customers of the parent."""
+
+    def __init__(self, tokens: int, distinct: int):
+        self.tokens, self.distinct, self.d, self.d0 = tokens, distinct, 0.5, 0.5
+        self.customers = np.zeros(CONTEXTS)
+        self.rooms: list[np.ndarray] = []
+        self.head: list[np.ndarray] = []
+        self.total: list[float] = []
+
+    def keep(self, tables: np.ndarray, head: np.ndarray) -> None:
+        self.rooms.append(STRENGTH + self.d * tables)
+        self.head.append(head)
+        self.total.append(STRENGTH + float(tables.sum()))
+
+    def base(self, customers: list[np.ndarray]) -> np.ndarray:
+        """(words, samples) probabilities without a context, of words with so many customers in each sample."""
+        return np.stack([(c - self.d0) / n for c, n in zip(customers, self.total, strict=True)], axis=1)
+
+    def unknown(self) -> np.ndarray:
+        return (STRENGTH + self.d0 * self.distinct) / np.array(self.total) if self.distinct else np.ones(len(self.total))
+
+
+STATE = [("bucket", pa.int64()), ("state", pa.binary()), ("words", pa.binary()), ("sums", pa.binary()), ("gamma", pa.float64())]
+
+
+def reseated(row: tuple, sweep: int, d: float, d0: float, g: np.ndarray, share: np.ndarray, total: float, kept: int) -> tuple:
+    """A bucket's row after a sweep. Draws depend on bucket and sweep alone, so a task that runs again draws the same."""
+    bucket, state, words, *_ = row
+    w, u, c, t, held = unpack(state, 5)
+    word, alone, *history = unpack(words, 2 + max(kept, 0))
+    tail = w >= HEAD
+    wi = np.searchsorted(word, w[tail])
+    customers = alone + np.bincount(wi, t[tail], len(word)).astype(np.int64)
+    draws = generator(bucket, sweep)
+    gamma = draws.standard_gamma(customers - d0) if sweep else customers - d0
+    beta = np.where(tail, 0.0, share[np.where(tail, 0, w)])
+    beta[tail] = gamma[wi]
+    t = seat(c, d * g[u] * beta / total, d, draws.random(len(c)))
+    customers = alone + np.bincount(wi, t[tail], len(word)).astype(np.int64)
+    ahead = float(generator(bucket, sweep + 1).standard_gamma(customers - d0).sum())
+    if kept >= 0:
+        held, history = held + t, [*history, customers]
+    code, place = np.unique(np.concatenate([u, CONTEXTS + w[~tail]]), return_inverse=True)
+    sums = np.bincount(place, np.concatenate([t, t[~tail]]), len(code)).astype(np.int64)
+    return bucket, pack(w, u, c, t, held), pack(word, alone, *history), pack(code, sums), ahead
+
+
+def train(docs: DataFrame, vocab: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> tuple[Model, DataFrame, DataFrame, object, int]:
+    """The sampled model, the pairs, the pairs' last state, the words' codes (broadcast) and the number of buckets."""
+    sc = docs.sparkSession.sparkContext
+    tokens, distinct = vocab.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    model = Model(tokens or 0, distinct)
+    # The head: all words from the least count, on a fine scale, that no more than HEAD words reach.
+    scale = F.floor(F.log2("c") * 256)
+    steps = sorted(((r.step, r.n) for r in vocab.where("c > 0").groupBy(scale.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # at most 64 x 256 rows
+    held = np.cumsum([n for _, n in steps])
+    least = next((s for (s, _), n in zip(reversed(steps), held[::-1], strict=True) if n <= HEAD), None)
+    doubled = frozenset(r.name for r in vocab.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name").collect())  # one pair is expected among three billion words
+    name = F.when(F.col("name").isin(list(doubled)), F.col("second")).otherwise(F.col("name")) if doubled else F.col("name")
+    top = [] if least is None else sorted((-r.c, r.name) for r in vocab.where((F.col("c") > 0) & (scale >= int(least))).select(name.alias("name"), "c").collect())
+    words = sc.broadcast(({n: k for k, (_, n) in enumerate(top)}, doubled))
+    counts = np.zeros(HEAD, np.int64)
+    counts[: len(top)] = [-c for c, _ in top]
+    buckets = int(min(max(model.tokens // BUCKET_TOKENS, 1), MOST_BUCKETS))
+    pairs = materialize(pair_table(docs, buckets, words), "pairs")
+    alone, several, customers = summed(pairs, 3)
+    n1, n2, w1, w2, rest, rest_customers, tail_customers = (x or 0 for x in pairs.agg(*(F.sum(x) for x in ("n1", "n2", "w1", "w2", "rest", "rest_customers", "tail_customers"))).first())
+    head = (alone + several)[CONTEXTS:]
+    model.d, model.d0 = discount_of(n1, n2), discount_of(w1 + int((head == 1).sum()), w2 + int((head == 2).sum()))
+    model.customers, model.counts = customers[:CONTEXTS].astype(float), counts
+    state, gone = pairs.select("bucket", "state", "words", "sums", F.lit(0.0).alias("gamma")), None
+    tables, ahead = (alone + several)[:CONTEXTS], 0.0
+    schema = as_schema(STATE)
+    for sweep in range(sweeps):
+        draws = generator(2**63, sweep)
+        g = draws.standard_gamma(STRENGTH / model.d + tables)
+        if sweep:
+            share = np.where(head > 0, draws.standard_gamma(np.maximum(head - model.d0, 1e-9)), 0.0)
+            new, others = draws.standard_gamma(STRENGTH + model.d0 * model.distinct), draws.standard_gamma(rest_customers - model.d0 * rest) if rest else 0.0
+            total = float(share.sum() + ahead + new + others)
+        else:
+            share, total = np.where(head > 0, head - model.d0, 0.0), STRENGTH + float(tables.sum())
+        kept = sweep - burn_in
+        sent = sc.broadcast((model.d, model.d0, g, share, total))
+
+        def run(batches: Iterator[pa.RecordBatch], sweep=sweep, kept=kept, sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    yield table_of([reseated(row, sweep, *sent.value, kept)], STATE)
+
+        state, before = materialize(state.mapInArrow(freeing(run), schema), "seats"), gone
+        gone = state
+        if before is not None:
+            remove_table(before)
+        now = summed(state, 1)[0]
+        tables, head = (alone[:CONTEXTS] + now[:CONTEXTS]), alone[CONTEXTS:] + now[CONTEXTS:]
+        ahead = state.agg(F.sum("gamma")).first()[0] or 0.0
+        sent.unpersist()
+        if kept >= 0:
+            model.keep(tables, head)
+    return model, pairs, state, words, buckets
+
+
+# --- scores -------------------------------------------------------------------------------------
+
+
+class Bucket:
+    """Probabilities of a bucket's pairs, and of its words in contexts that they never followed."""
+
+    def __init__(self, model: Model, rooms: np.ndarray, pairs: bytes | None, state: bytes | None, words: bytes | None):
+        self.model, self.rooms = model, rooms
+        w, u, c = unpack(pairs, 3) if pairs else np.zeros((3, 0), np.int64)
+        self.word, wi = np.unique(w, return_inverse=True)
+        self.tokens = np.bincount(wi, c, len(self.word)).astype(np.int64)
+        samples = len(model.total)
+        customers = [np.bincount(wi, minlength=len(self.word)) for _ in range(samples)]  # a word of single pairs alone has as many customers as pairs
+        seats = np.ones(len(c)) * samples
+        self.key = wi * CONTEXTS + u
+        if state:
+            sw, su, _, _, held = unpack(state, 5)
+            seats[np.searchsorted(self.key, np.searchsorted(self.word, sw) * CONTEXTS + su)] = held
+            code, _, *history = unpack(words, 2 + samples)
+            at = np.searchsorted(self.word, code)
+            for k in range(samples):
+                customers[k][at] = history[k]
+        head = self.word < HEAD
+        for k in range(samples):
+            customers[k][head] = model.head[k][self.word[head]]
+        self.base = model.base(customers)
+        self.seen = np.log10((c - model.d * seats / samples + (rooms[u] * self.base[wi]).mean(axis=1)) / (STRENGTH + model.customers[u]))
+
+    def log10(self, w: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of the mean predictive probability of w after u, and the count of w in training where w is a word outside the head."""
+        n = len(self.word)
+        wi = np.minimum(np.searchsorted(self.word, w), max(n - 1, 0))
+        known = (self.word[wi] == w) if n else np.zeros(len(w), bool)
+        key = wi * CONTEXTS + u
+        at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
+        out = np.zeros(len(w))
+        hit = known & (self.key[at] == key) if n else known
+        out[hit] = self.seen[at[hit]]
+        miss = np.flatnonzero(~hit)
+        base = np.repeat(self.model.unknown()[None], len(miss), axis=0)
+        own = known[miss]
+        base[own] = self.base[wi[miss[own]]]
+        head = ~own & (w[miss] < HEAD)  # a head word that no pair of this bucket has
+        base[head] = self.model.base([h[w[miss[head]]] for h in self.model.head])
+        out[miss] = np.log10((self.rooms[u[miss]] * base).mean(axis=1) / (STRENGTH + self.model.customers[u[miss]]))
+        return out, np.where(known, self.tokens[wi] if n else 0, 0)
+
+
+PARTS = [("bucket", pa.int64()), ("kind", pa.int64()), ("block", pa.int64()), ("x", pa.binary()), ("y", pa.binary())]
+SCORES = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
+META, PAIR, SEATS, POSTED = -1, 0, 1, 2
+
+
+def score_documents(docs: DataFrame, model: Model, pairs: DataFrame, state: DataFrame, words, buckets: int) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score for each row of docs."""
-    unknown_base, unknown_model = -float(np.log10(model.customers + distinct + 1)), model.unknown_log10()
-    head = scores.orderBy(F.desc("c"), "w").limit(HEAD).toArrow()
-    sent = docs.sparkSession.sparkContext.broadcast((head["w"].to_pylist(), *(head[x].to_numpy() for x in ("c", "base", "model"))))
-    name = f"{id(sent)}-{sent.id if hasattr(sent, 'id') else scores.semanticHash()}"
+    sc = docs.sparkSession.sparkContext
+    shared = sc.broadcast((model, np.stack(model.rooms, axis=1)))
+    none = np.log10(model.tokens + model.distinct + 1.0)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        codes, counts = Codes(*words.value), shared.value[0].counts
+        place = TaskContext.get().partitionId() << 32
+        for k, block in enumerate(blocks(batches, 1)):
+            doc, w, u = coded(as_bytes(block.column(1)), codes)
+            docs_ = block.num_rows
+            head = w < HEAD
+            base = np.bincount(doc[head], np.log10(counts[w[head]] + 1.0) - none, docs_)
+            meta = pack(np.arange(docs_), np.asarray(block.column(0).is_valid()).astype(np.int64), np.asarray(block.column(0).fill_null(0)), np.bincount(doc, minlength=docs_), np.bincount(doc[head], minlength=docs_), base)
+            word, wi = np.unique(w, return_inverse=True)
+            key, n = np.unique((wi * CONTEXTS + u) * docs_ + doc, return_counts=True) if len(w) and len(word) * CONTEXTS * docs_ < 2**62 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            w, u, doc = word[key // (CONTEXTS * docs_)], key // docs_ % CONTEXTS, key % docs_
+            bucket = bucket_of(w, u, buckets)
+            rows = [(b, POSTED, place + k, x, None) for b, x in dealt(bucket, w, u, doc, n)]
+            yield table_of([((place + k) % buckets, META, place + k, meta, None), *rows], PARTS)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, rooms = shared.value
+        parts: dict[int, np.ndarray] = {}
+        held, bucket, found, seats = 0, None, None, (None, None)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _heads:
-            _heads.clear()
-            words, c, base, model = sent.value
-            _heads[name] = ({w: i for i, w in enumerate(words)}, (c > 0).astype(np.int64), base, model)
-        place, known, base, model = _heads[name]
-        for batch in batches:
-            ids, hs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            own: list[tuple] = []
-            tail_id, tail_h, tail_w, tail_n = [], [], [], []
-            for i, h, text in zip(ids, hs, as_bytes(batch.column(2)), strict=True):
-                tokens = tokens_of(text)
-                at = np.fromiter(map(place.get, tokens, repeat(-1)), np.int64, len(tokens))
-                a = at[at >= 0]
-                own.append((i, h, len(tokens), int(known[a].sum()), float(base[a].sum()), float(model[a].sum())))
-                rare = Counter(tokens[x] for x in np.flatnonzero(at < 0).tolist())
-                tail_w.extend(rare.keys()), tail_n.extend(rare.values()), tail_id.extend(repeat(i, len(rare))), tail_h.extend(repeat(h, len(rare)))
-            k, nothing = len(own), len(tail_w)
-            columns = list(zip(*own, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*columns[0], *tail_id], pa.int64()),
-                    pa.array([*columns[1], *tail_h], pa.int64()),
-                    pa.array([*(b" %d" % h for h in columns[1]), *tail_w], pa.binary()),  # words hold no space: no match, and dealt evenly
-                    pa.array([*[0] * k, *tail_n], pa.int64()),
-                    pa.array([*[1] * k, *[0] * nothing], pa.int64()),
-                    *(pa.array([*columns[j], *[0] * nothing], pa.int64() if j < 4 else pa.float64()) for j in (2, 3, 4, 5)),
-                ],
-                names=["doc_id", "h", "w", "n", "copies", "tokens", "known", "base", "model"],
-            )
-
-    rows = docs.select("doc_id", F.xxhash64(body()).alias("h"), body().alias("t"))
-    counted = rows.mapInArrow(run, "doc_id bigint, h bigint, w binary, n bigint, copies bigint, tokens bigint, known bigint, base double, model double")
-    table = scores.select("w", F.lit(1).alias("wk"), F.col("base").alias("wb"), F.col("model").alias("wm"))
-    met = counted.join(table, "w", "left")
-    part = lambda own, word, none: F.sum(F.col(own) + F.col("n") * F.coalesce(F.col(word), F.lit(none)))
-    sums = met.groupBy("doc_id", "h").agg(F.sum("copies").alias("copies"), F.sum("tokens").alias("tokens"), part("known", "wk", 0).alias("known"), part("base", "wb", unknown_base).alias("base"), part("model", "wm", unknown_model).alias("model"))
-    one = sums.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "copies", "tokens", "known", "base", "model")
-    return one.select("doc_id", *((F.col(x) / F.col("copies")).cast("bigint").alias(y) for x, y in (("tokens", "n_tokens"), ("known", "n_known"))), (F.col("base") / F.col("copies")).alias("base_score"), (F.col("model") / F.col("copies")).alias("score"))
+        def flush() -> Iterator[pa.RecordBatch]:
+            for block, a in parts.items():
+                at = np.flatnonzero(a.any(axis=0))
+                yield table_of([(block, POSTED, pack(at, a[0, at].astype(np.int64), a[1, at], a[2, at]))], [("block", pa.int64()), ("kind", pa.int64()), ("x", pa.binary())])
+            parts.clear()
+
+        for fresh, (_, kind, block, x, y) in runs(batches):
+            if fresh:
+                bucket, found, seats = None, None, (None, None)
+            if kind == META:
+                yield table_of([(block, META, x)], [("block", pa.int64()), ("kind", pa.int64()), ("x", pa.binary())])
+            elif kind == PAIR:
+                found = x
+            elif kind == SEATS:
+                seats = x, y
+            else:
+                bucket = bucket or Bucket(own, rooms, found, *seats)
+                w, u, doc, n = unpack(x, 4)
+                value, count = bucket.log10(w, u)
+                tail = w >= HEAD
+                if block not in parts or parts[block].shape[1] <= doc.max():
+                    grown = np.zeros((3, int(doc.max()) + 1))
+                    if block in parts:
+                        grown[:, : parts[block].shape[1]] = parts[block]
+                    held += grown.shape[1]
+                    parts[block] = grown
+                a = parts[block]
+                size = a.shape[1]
+                a[0] += np.bincount(doc[tail], n[tail] * (count[tail] > 0), size)
+                a[1] += np.bincount(doc[tail], n[tail] * (np.log10(count[tail] + 1.0) - none), size)
+                a[2] += np.bincount(doc, n * value, size)
+                if held > HELD_DOCS:
+                    yield from flush()
+                    held = 0
+        yield from flush()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, meta = None, None
+
+        def out() -> pa.RecordBatch:
+            valid, ids, n, known, base = meta
+            return pa.RecordBatch.from_arrays([pa.array(ids, mask=valid == 0), pa.array(n), pa.array(known + total[0].astype(np.int64)), pa.array(base + total[1]), pa.array(total[2])], names=[x for x, _ in SCORES])
+
+        for fresh, (_, kind, x) in runs(batches):
+            if fresh and meta is not None:
+                yield out()
+            if kind == META:
+                _, valid, ids, n, known, base = unpack(x, 6)
+                meta, total = (valid, ids, n, known, base.view(np.float64)), np.zeros((3, len(ids)))
+            else:
+                at, known, base, value = unpack(x, 4)
+                total[:, at] += [known, base.view(np.float64), value.view(np.float64)]
+        if meta is not None:
+            yield out()
+
+    blank = F.lit(None).cast("binary")
+    zero = F.lit(0).cast("bigint")
+    kind = lambda k: F.lit(k).cast("bigint").alias("kind")
+    posted = docs.select(F.col("doc_id").cast("bigint"), body().alias("t")).mapInArrow(freeing(post), as_schema(PARTS))
+    held = pairs.select("bucket", kind(PAIR), zero.alias("block"), F.col("pairs").alias("x"), blank.alias("y"))
+    seats = state.select("bucket", kind(SEATS), zero.alias("block"), F.col("state").alias("x"), F.col("words").alias("y"))
+    rows = posted.unionAll(held).unionAll(seats).repartition("bucket").sortWithinPartitions("bucket", "kind", "block")
+    sums = rows.mapInArrow(freeing(score), "block bigint, kind bigint, x binary").repartition("block").sortWithinPartitions("block", "kind")
+    return sums.mapInArrow(freeing(add), as_schema(SCORES))
 
 
 def perplexity(scored: DataFrame, score: str = "score") -> DataFrame:
@@ -392,10 +659,14 @@ def perplexity(scored: DataFrame, score: str = "score") -> DataFrame:
     return scored.groupBy("held_out").agg(F.sum("n_tokens").alias("n_tokens"), F.pow(F.lit(10.0), -F.sum(score) / F.sum("n_tokens")).alias("perplexity"))
 
 
-def op2_lm(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    small_batches(spark, 512)
+def model_documents(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> tuple[DataFrame, Model]:
+    """Scores of all rows under the model of those that aren't held out, and the model."""
+    small_batches(docs.sparkSession, 512)
     vocab = materialize(vocabulary(docs), "vocabulary")
-    model, distinct = train(vocab)
-    scored = score_documents(docs, materialize(word_scores(vocab, model, distinct), "words"), model, distinct)
-    return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.customers).cast("bigint").alias("train_tokens"), "base_score", "score")
+    model, pairs, state, words, buckets = train(docs, vocab, sweeps, burn_in)
+    return score_documents(docs, model, pairs, state, words, buckets), model
+
+
+def op2_lm(spark, sf_dir: str) -> DataFrame:
+    scored, model = model_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
