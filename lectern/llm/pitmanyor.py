@@ -51,8 +51,8 @@ from lectern.llm._shared import as_bytes, body, freeing, materialize, mix, remov
 HEAD, CLASSES = 1 << 17, 1 << 12
 CONTEXTS = HEAD + CLASSES
 SWEEPS, BURN_IN, STRENGTH = 6, 2, 1.0
-EXACT, SERIES, FLUSH = 1024, 8.0, 400_000
-BLOCK_BYTES, BUCKET_TOKENS, MOST_BUCKETS, HELD_DOCS = 6 << 20, 1 << 19, 1 << 16, 1 << 21
+EXACT, SMALL, SERIES, FLUSH = 1024, 16, 8.0, 400_000
+BLOCK_BYTES, BLOCK_ROWS, BUCKET_TOKENS, MOST_BUCKETS, HELD_DOCS = 6 << 20, 1 << 14, 1 << 19, 1 << 16, 1 << 21
 TAIL = 1 << 62
 
 
@@ -159,11 +159,20 @@ def seat(c: np.ndarray, z: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
     """Tables of each dish, t with weight S(c, t) x z^t: c customers, discount d, u uniform draws."""
     t = (c > 0).astype(np.int64)
     law, pull = stirling(d), np.log(np.maximum(z, 1e-300))
-    order = np.argsort(c, kind="stable")
+    order = np.argsort(np.minimum(c, EXACT + 1).astype(np.uint16), kind="stable")
     sizes, first = np.unique(c[order], return_index=True)
     for size, rows in zip(sizes.tolist(), np.split(order, first[1:]), strict=True):
         if not 2 <= size <= EXACT:
             continue
+        if size <= SMALL:  # a polynomial in z
+            terms, power, total = [], z[rows], 0.0
+            for weight in np.exp(law[size, 1 : size + 1]).tolist():
+                total = total + weight * power
+                terms.append(total)
+                power = power * z[rows]
+            left = u[rows] * total
+            t[rows] = 1 + sum((x < left).astype(np.int64) for x in terms[:-1])
+            continue
         step = np.arange(1, size + 1)
         for part in np.array_split(rows, -(-len(rows) * size // 2_000_000)):
             p = pull[part, None] * step + law[size, 1 : size + 1]
@@ -182,16 +191,29 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 7 == 2, F.lit(False))
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    """Lower-case (A-Z) words and the end, which is the empty word."""
-    return [*text.lower().split(), b""]
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Tokens of each text, words, and each token's place among them: lower-case (A-Z) words, and after each text the end, which is the empty word."""
+    import pyarrow.compute as pc
+
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, cut = parts.flatten(), parts.offsets.to_numpy()
+    found = flat.dictionary_encode()
+    words = [*as_bytes(found.dictionary), b""]
+    filled = pc.binary_length(flat).to_numpy() > 0  # white space at a text's ends leaves empty strings
+    n = np.diff(np.concatenate([[0], np.cumsum(filled)])[cut - cut[0]])
+    at = np.full(int(n.sum()) + len(n), len(words) - 1)
+    inner = np.ones(len(at), bool)
+    inner[np.cumsum(n + 1) - 1] = False
+    at[inner] = found.indices.to_numpy()[filled]
+    return n + 1, words, at
 
 
-def names(word: bytes) -> tuple[int, int]:
-    """Two independent names of a word."""
+def names(words: list[bytes], second: bool = False) -> np.ndarray:
+    """Names of words; the second ones don't depend on the first."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(word) >> 2 | TAIL, xxhash.xxh3_64_intdigest(word) >> 2 | TAIL
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest if second else xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return (hashed >> np.uint64(2) | np.uint64(TAIL)).astype(np.int64)
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -201,101 +223,130 @@ def vocabulary(docs: DataFrame) -> DataFrame:
         seen: Counter = Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            both = np.array([names(w) for w in seen], np.int64).reshape(-1, 2)
-            counts = np.fromiter(seen.values(), np.int64, len(seen))
-            for at in range(0, len(counts), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in (both[:, 0], both[:, 1], counts)], names=["name", "second", "c"])
+            columns = names(seen), names(seen, True), np.fromiter(seen.values(), np.int64, len(seen))
+            for at in range(0, len(seen), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in columns], names=["name", "second", "c"])
             seen.clear()
 
-        for batch in batches:
-            for text, held in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                if held:
-                    seen.update(dict.fromkeys(tokens_of(text), 0))
-                else:
-                    seen.update(tokens_of(text))
-                if len(seen) > FLUSH:
-                    yield from flush()
+        for block in blocks(batches, 0):
+            n, words, at = tokens_of(block.column(0))
+            trains = np.repeat(~np.asarray(block.column(1)), n)
+            for word, count in zip(words, np.bincount(at, trains, len(words)).astype(np.int64).tolist(), strict=True):
+                seen[word] += count
+            if len(seen) > FLUSH:
+                yield from flush()
         yield from flush()
 
     rows = docs.select(body().alias("t"), held_out().alias("held"))
     return rows.mapInArrow(freeing(run), "name bigint, second bigint, c bigint").repartition("name").groupBy("name", "second").agg(F.sum("c").alias("c"))
 
 
-class Codes(dict):
-    """Codes of words: a head word's rank, else its name; emptied when it holds many."""
+class Codes:
+    """Codes of words: a head word's rank, else its name, the second one if the first is another word's too."""
 
-    def __init__(self, rank: dict[int, int], doubled: frozenset[int]):
-        super().__init__()
-        self.rank, self.doubled = rank, doubled
+    def __init__(self, head: np.ndarray, doubled: np.ndarray):
+        self.order = np.argsort(head)
+        self.head, self.doubled = head[self.order], doubled
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        name, second = names(word)
-        name = second if name in self.doubled else name
-        code = self[word] = self.rank.get(name, name)
-        return code
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        out = names(words)
+        if len(self.doubled):
+            out = np.where(np.isin(out, self.doubled), names(words, True), out)
+        if len(self.head):
+            at = np.minimum(np.searchsorted(self.head, out), len(self.head) - 1)
+            out = np.where(self.head[at] == out, self.order[at], out)
+        return out
 
 
 def context_of(w: np.ndarray) -> np.ndarray:
     return np.where(w < HEAD, w, HEAD + (mix(w.astype(np.uint64)) % np.uint64(CLASSES)).astype(np.int64))
 
 
+def indexed(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words outside the head, and small numbers of all: a head word's own, then those of the others in order."""
+    tail = np.flatnonzero(w >= HEAD)
+    word, place = np.unique(w[tail], return_inverse=True)
+    at = w.copy()
+    at[tail] = HEAD + place
+    return word, at
+
+
+def worded(word: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Codes of the numbers that indexed() gives."""
+    out, tail = at.copy(), at >= HEAD
+    out[tail] = word[at[tail] - HEAD]
+    return out
+
+
 def bucket_of(w: np.ndarray, u: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(np.where(w < HEAD, w * CONTEXTS + u + 1, w).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def coded(texts: list[bytes], codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def coded(texts: pa.Array, codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each token's document, code and context; the end stands before a text's first token."""
-    parts = [np.fromiter(map(codes.__getitem__, t), np.int64, len(t)) for t in map(tokens_of, texts)]
-    n = np.fromiter(map(len, parts), np.int64, len(parts))
-    w = np.concatenate([*parts, np.zeros(0, np.int64)])
-    before = np.concatenate([[codes[b""]], w[:-1]]) if len(w) else w
-    before[(np.cumsum(n) - n)[n > 0]] = codes[b""]
-    return np.repeat(np.arange(len(texts)), n), w, context_of(before)
+    n, words, at = tokens_of(texts)
+    of = codes(words)
+    w = of[at]
+    before = np.concatenate([of[-1:], w[:-1]])[: len(w)]
+    before[np.cumsum(n) - n] = of[-1]
+    return np.repeat(np.arange(len(n)), n), w, context_of(before)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """Rows in blocks of about BLOCK_BYTES of text."""
-    own, held = [], 0
+    """Rows in blocks of about BLOCK_BYTES of text and at most BLOCK_ROWS rows."""
+    own, held, rows = [], 0, 0
     for batch in batches:
         size = np.diff(np.frombuffer(batch.column(text).cast(pa.large_binary()).buffers()[1], np.int64)[batch.column(text).offset :][: batch.num_rows + 1]) if batch.num_rows else []
         start = 0
         for k, n in enumerate(size):
-            held += int(n)
-            if held >= BLOCK_BYTES:
+            held, rows = held + int(n), rows + 1
+            if held >= BLOCK_BYTES or rows == BLOCK_ROWS:
                 own.append(batch.slice(start, k + 1 - start))
                 yield pa.concat_batches(own)
-                own, held, start = [], 0, k + 1
+                own, held, rows, start = [], 0, 0, k + 1
         if start < batch.num_rows:
             own.append(batch.slice(start))
     if own:
         yield pa.concat_batches(own)
 
 
+def narrowed(column: np.ndarray) -> np.ndarray:
+    if column.dtype == np.float64 or not len(column):
+        return column
+    least, most = int(column.min()), int(column.max())
+    return column.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= least and most <= np.iinfo(t).max))
+
+
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of 64-bit values, the first as differences, byte by byte and compressed: sorted columns shrink most."""
+    """Columns, the first as differences, in the least width, byte by byte and compressed: sorted columns shrink most."""
     import zstandard
 
-    a = np.array([np.diff(columns[0], prepend=0), *(c.view(np.int64) if c.dtype == np.float64 else c for c in columns[1:])], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.reshape(-1).view(np.uint8).reshape(-1, 8).T).tobytes())
+    columns = [narrowed(c) for c in (np.diff(columns[0], prepend=0), *columns[1:])]
+    head = f"{len(columns[0])} {' '.join(c.dtype.str for c in columns)}\n".encode()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(c.view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns))
 
 
-def unpack(data: bytes, columns: int) -> np.ndarray:
+def unpack(data: bytes) -> list[np.ndarray]:
     import zstandard
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    a = raw.T.copy().reshape(-1).view(np.int64).reshape(columns, -1)
-    a[0] = np.cumsum(a[0])
-    return a
+    head, _, raw = zstandard.ZstdDecompressor().decompress(data).partition(b"\n")
+    n, *kinds = head.decode().split(" ")
+    n, at, out = int(n), 0, []
+    for kind in map(np.dtype, kinds):
+        column = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n).T.copy().reshape(-1).view(kind)
+        out.append(column if kind.kind == "f" else column.astype(np.int64))
+        at += n * kind.itemsize
+    out[0] = np.cumsum(out[0])
+    return out
 
 
 def dealt(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Packed columns by bucket; rows keep their order."""
-    order = np.argsort(bucket, kind="stable")
-    at, first = np.unique(bucket[order], return_index=True)
-    for b, rows in zip(at.tolist(), np.split(order, first[1:]), strict=True):
-        yield b, pack(*(c[rows] for c in columns))
+    order = np.argsort(bucket.astype(np.uint16), kind="stable")  # at most 2^16 buckets
+    cut = np.concatenate([[0], np.cumsum(np.bincount(bucket))])
+    columns = [c[order] for c in columns]
+    for b in np.flatnonzero(np.diff(cut)).tolist():
+        yield b, pack(*(c[cut[b] : cut[b + 1]] for c in columns))
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -317,7 +368,7 @@ def table_of(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.Rec
 
 def bucket_row(bucket: int, blobs: list[bytes]) -> tuple:
     """A bucket's pairs (w, u, c), its state, sums by code, and counts of pairs and words."""
-    w, u, n = np.concatenate([unpack(b, 3) for b in blobs], axis=1)
+    w, u, n = (np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True))
     word, wi = np.unique(w, return_inverse=True)
     key, at = np.unique(wi * CONTEXTS + u, return_inverse=True)
     c, wi, u = np.bincount(at, n).astype(np.int64), key // CONTEXTS, key % CONTEXTS
@@ -351,10 +402,10 @@ def pair_table(docs: DataFrame, buckets: int, words) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(*words.value)
         for block in blocks(batches, 0):
-            _, w, u = coded(as_bytes(block.column(0)), codes)
-            word, wi = np.unique(w, return_inverse=True)
-            key, n = np.unique(wi * CONTEXTS + u, return_counts=True)
-            w, u = word[key // CONTEXTS], key % CONTEXTS
+            _, w, u = coded(block.column(0), codes)
+            word, at = indexed(w)
+            key, n = np.unique(at * CONTEXTS + u, return_counts=True)
+            w, u = worded(word, key // CONTEXTS), key % CONTEXTS
             yield table_of(list(dealt(bucket_of(w, u, buckets), w, u, n)), [("bucket", pa.int64()), ("x", pa.binary())])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,13 +430,14 @@ def summed(table: DataFrame, columns: int) -> np.ndarray:
         total = np.zeros((columns, CONTEXTS + HEAD), np.int64)
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                a = unpack(x, columns + 1)
-                total[:, a[0]] += a[1:]
+                code, *sums = unpack(x)
+                for own, part in zip(total, sums, strict=True):
+                    own[code] += part
         at = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(t[at]) for t in total)], names=["code", *(f"s{k}" for k in range(columns))])
 
     names_ = [f"s{k}" for k in range(columns)]
-    got = table.select("sums").mapInArrow(run, "code bigint, " + ", ".join(f"{n} bigint" for n in names_)).groupBy("code").agg(*(F.sum(n).alias(n) for n in names_)).toArrow()
+    got = table.where("sums is not null").select("sums").mapInArrow(run, "code bigint, " + ", ".join(f"{n} bigint" for n in names_)).groupBy("code").agg(*(F.sum(n).alias(n) for n in names_)).toArrow()
     out = np.zeros((columns, CONTEXTS + HEAD), np.int64)
     out[:, got["code"].to_numpy()] = [got[n].to_numpy() for n in names_]
     return out
@@ -425,29 +477,33 @@ class Model:
         return (STRENGTH + self.d0 * self.distinct) / np.array(self.total) if self.distinct else np.ones(len(self.total))
 
 
+SUMS = -1  #: the bucket of a task's sums
 STATE = [("bucket", pa.int64()), ("state", pa.binary()), ("words", pa.binary()), ("sums", pa.binary()), ("gamma", pa.float64())]
 
 
-def reseated(row: tuple, sweep: int, d: float, d0: float, g: np.ndarray, share: np.ndarray, total: float, kept: int) -> tuple:
-    """A bucket's row after a sweep. Draws depend on bucket and sweep alone, so a task that runs again draws the same."""
-    bucket, state, words, *_ = row
-    w, u, c, t, held = unpack(state, 5)
-    word, alone, *history = unpack(words, 2 + max(kept, 0))
-    tail = w >= HEAD
+def reseated(row: tuple, sweep: int, d: float, d0: float, g: np.ndarray, share: np.ndarray, total: float, kept: int, sums: np.ndarray) -> tuple[tuple, float]:
+    """A bucket's row after a sweep, whose tables it adds to sums, and the sum of its words' next gamma draws.
+
+    Draws depend on bucket and sweep alone, so a task that runs again draws the same.
+    """
+    bucket, state, words = row[:3]
+    w, u, c, t, held = unpack(state)
+    word, alone, *history = unpack(words)
+    tail = np.flatnonzero(w >= HEAD)
+    head = np.flatnonzero(w < HEAD)
     wi = np.searchsorted(word, w[tail])
     customers = alone + np.bincount(wi, t[tail], len(word)).astype(np.int64)
     draws = generator(bucket, sweep)
     gamma = draws.standard_gamma(customers - d0) if sweep else customers - d0
-    beta = np.where(tail, 0.0, share[np.where(tail, 0, w)])
-    beta[tail] = gamma[wi]
+    beta = np.zeros(len(w))
+    beta[head], beta[tail] = share[w[head]], gamma[wi]
     t = seat(c, d * g[u] * beta / total, d, draws.random(len(c)))
     customers = alone + np.bincount(wi, t[tail], len(word)).astype(np.int64)
-    ahead = float(generator(bucket, sweep + 1).standard_gamma(customers - d0).sum())
     if kept >= 0:
         held, history = held + t, [*history, customers]
-    code, place = np.unique(np.concatenate([u, CONTEXTS + w[~tail]]), return_inverse=True)
-    sums = np.bincount(place, np.concatenate([t, t[~tail]]), len(code)).astype(np.int64)
-    return bucket, pack(w, u, c, t, held), pack(word, alone, *history), pack(code, sums), ahead
+    sums[:CONTEXTS] += np.bincount(u, t, CONTEXTS).astype(np.int64)
+    sums[CONTEXTS:] += np.bincount(w[head], t[head], HEAD).astype(np.int64)
+    return (bucket, pack(w, u, c, t, held), pack(word, alone, *history), None, 0.0), float(generator(bucket, sweep + 1).standard_gamma(customers - d0).sum())
 
 
 def train(docs: DataFrame, vocab: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> tuple[Model, DataFrame, DataFrame, object, int]:
@@ -463,7 +519,7 @@ def train(docs: DataFrame, vocab: DataFrame, sweeps: int = SWEEPS, burn_in: int
     doubled = frozenset(r.name for r in vocab.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name").collect())  # one pair is expected among three billion words
     name = F.when(F.col("name").isin(list(doubled)), F.col("second")).otherwise(F.col("name")) if doubled else F.col("name")
     top = [] if least is None else sorted((-r.c, r.name) for r in vocab.where((F.col("c") > 0) & (scale >= int(least))).select(name.alias("name"), "c").collect())
-    words = sc.broadcast(({n: k for k, (_, n) in enumerate(top)}, doubled))
+    words = sc.broadcast((np.array([n for _, n in top], np.int64), np.array(sorted(doubled), np.int64)))
     counts = np.zeros(HEAD, np.int64)
     counts[: len(top)] = [-c for c, _ in top]
     buckets = int(min(max(model.tokens // BUCKET_TOKENS, 1), MOST_BUCKETS))
@@ -489,11 +545,16 @@ def train(docs: DataFrame, vocab: DataFrame, sweeps: int = SWEEPS, burn_in: int
         sent = sc.broadcast((model.d, model.d0, g, share, total))
 
         def run(batches: Iterator[pa.RecordBatch], sweep=sweep, kept=kept, sent=sent) -> Iterator[pa.RecordBatch]:
+            sums, gamma = np.zeros(CONTEXTS + HEAD, np.int64), 0.0
             for batch in batches:
                 for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    yield table_of([reseated(row, sweep, *sent.value, kept)], STATE)
+                    row, ahead = reseated(row, sweep, *sent.value, kept, sums)
+                    gamma += ahead
+                    yield table_of([row], STATE)
+            code = np.flatnonzero(sums)
+            yield table_of([(SUMS, None, None, pack(code, sums[code]), gamma)], STATE)
 
-        state, before = materialize(state.mapInArrow(freeing(run), schema), "seats"), gone
+        state, before = materialize(state.where(F.col("bucket") != SUMS).mapInArrow(freeing(run), schema), "seats"), gone
         gone = state
         if before is not None:
             remove_table(before)
@@ -514,7 +575,7 @@ class Bucket:
 
     def __init__(self, model: Model, rooms: np.ndarray, pairs: bytes | None, state: bytes | None, words: bytes | None):
         self.model, self.rooms = model, rooms
-        w, u, c = unpack(pairs, 3) if pairs else np.zeros((3, 0), np.int64)
+        w, u, c = unpack(pairs) if pairs else np.zeros((3, 0), np.int64)
         self.word, wi = np.unique(w, return_inverse=True)
         self.tokens = np.bincount(wi, c, len(self.word)).astype(np.int64)
         samples = len(model.total)
@@ -522,9 +583,9 @@ class Bucket:
         seats = np.ones(len(c)) * samples
         self.key = wi * CONTEXTS + u
         if state:
-            sw, su, _, _, held = unpack(state, 5)
+            sw, su, _, _, held = unpack(state)
             seats[np.searchsorted(self.key, np.searchsorted(self.word, sw) * CONTEXTS + su)] = held
-            code, _, *history = unpack(words, 2 + samples)
+            code, _, *history = unpack(words)
             at = np.searchsorted(self.word, code)
             for k in range(samples):
                 customers[k][at] = history[k]
@@ -571,14 +632,17 @@ def score_documents(docs: DataFrame, model: Model, pairs: DataFrame, state: Data
         codes, counts = Codes(*words.value), shared.value[0].counts
         place = TaskContext.get().partitionId() << 32
         for k, block in enumerate(blocks(batches, 1)):
-            doc, w, u = coded(as_bytes(block.column(1)), codes)
+            doc, w, u = coded(block.column(1), codes)
             docs_ = block.num_rows
             head = w < HEAD
             base = np.bincount(doc[head], np.log10(counts[w[head]] + 1.0) - none, docs_)
             meta = pack(np.arange(docs_), np.asarray(block.column(0).is_valid()).astype(np.int64), np.asarray(block.column(0).fill_null(0)), np.bincount(doc, minlength=docs_), np.bincount(doc[head], minlength=docs_), base)
-            word, wi = np.unique(w, return_inverse=True)
-            key, n = np.unique((wi * CONTEXTS + u) * docs_ + doc, return_counts=True) if len(w) and len(word) * CONTEXTS * docs_ < 2**62 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            w, u, doc = word[key // (CONTEXTS * docs_)], key // docs_ % CONTEXTS, key % docs_
+            word, at = indexed(w)
+            pair, doc = np.divmod(np.sort((at * CONTEXTS + u) * docs_ + doc), docs_)
+            first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])]))
+            n, pair, doc = np.diff(first, append=len(pair)), pair[first], doc[first]
+            at, u = np.divmod(pair, CONTEXTS)
+            w = worded(word, at)
             bucket = bucket_of(w, u, buckets)
             rows = [(b, POSTED, place + k, x, None) for b, x in dealt(bucket, w, u, doc, n)]
             yield table_of([((place + k) % buckets, META, place + k, meta, None), *rows], PARTS)
@@ -605,7 +669,7 @@ def score_documents(docs: DataFrame, model: Model, pairs: DataFrame, state: Data
                 seats = x, y
             else:
                 bucket = bucket or Bucket(own, rooms, found, *seats)
-                w, u, doc, n = unpack(x, 4)
+                w, u, doc, n = unpack(x)
                 value, count = bucket.log10(w, u)
                 tail = w >= HEAD
                 if block not in parts or parts[block].shape[1] <= doc.max():
@@ -635,11 +699,11 @@ def score_documents(docs: DataFrame, model: Model, pairs: DataFrame, state: Data
             if fresh and meta is not None:
                 yield out()
             if kind == META:
-                _, valid, ids, n, known, base = unpack(x, 6)
-                meta, total = (valid, ids, n, known, base.view(np.float64)), np.zeros((3, len(ids)))
+                _, valid, ids, n, known, base = unpack(x)
+                meta, total = (valid, ids, n, known, base), np.zeros((3, len(ids)))
             else:
-                at, known, base, value = unpack(x, 4)
-                total[:, at] += [known, base.view(np.float64), value.view(np.float64)]
+                at, known, base, value = unpack(x)
+                total[:, at] += [known, base, value]
         if meta is not None:
             yield out()
 
@@ -648,7 +712,7 @@ def score_documents(docs: DataFrame, model: Model, pairs: DataFrame, state: Data
     kind = lambda k: F.lit(k).cast("bigint").alias("kind")
     posted = docs.select(F.col("doc_id").cast("bigint"), body().alias("t")).mapInArrow(freeing(post), as_schema(PARTS))
     held = pairs.select("bucket", kind(PAIR), zero.alias("block"), F.col("pairs").alias("x"), blank.alias("y"))
-    seats = state.select("bucket", kind(SEATS), zero.alias("block"), F.col("state").alias("x"), F.col("words").alias("y"))
+    seats = state.where(F.col("bucket") != SUMS).select("bucket", kind(SEATS), zero.alias("block"), F.col("state").alias("x"), F.col("words").alias("y"))
     rows = posted.unionAll(held).unionAll(seats).repartition("bucket").sortWithinPartitions("bucket", "kind", "block")
     sums = rows.mapInArrow(freeing(score), "block bigint, kind bigint, x binary").repartition("block").sortWithinPartitions("block", "kind")
     return sums.mapInArrow(freeing(add), as_schema(SCORES))
