@@ -1,10 +1,10 @@
 """Near-duplicate detection with DartMinHash signatures and banded joining.
 
 A text is the weighted set of its five-word shingles, the weight being the count.
-Each shingle owns a region, one strip for each unit of weight; a hashed Poisson
-process throws darts into a strip, in the order of their rank, until the text's
+Each shingle owns a region of ranks and weights, cut at the powers of two; a hashed Poisson
+process throws darts into each part, in the order of their rank, until the text's
 rank limit, which shrinks as its weight grows, so about k ln k darts are made
-whatever the length. A dart's hash names one of K coordinates; the earliest dart
+whatever the length. A dart counts if it falls below the shingle's weight. Its hash names one of K coordinates; the earliest dart
 of each coordinate is kept. Two texts agree on a coordinate with the probability
 of their weighted Jaccard similarity. A text with an empty coordinate doubles
 its limit and throws on.
@@ -13,20 +13,21 @@ Exactly equal texts are one node from the start. ROWS coordinates make a band;
 nodes that share a band's key meet in a bucket, where each is paired with the
 bucket's least and greatest node, and one that agrees with neither with the
 node of most links there. Pairs are checked exactly (weighted Jaccard of at least
-THRESHOLD). Where a bucket's nodes are still of several components, all of them
+THRESHOLD, over 64-bit shingles). Where a bucket's nodes are still of several components, all of them
 go to an exact join: two sets that reach THRESHOLD share one of their rarest
 strips, the smaller among 1/9 of its own and the larger among 1/5. So each pair
 that shares a bucket is of one component or was found unlike. Classes are the
 connected components of the links, found by least-label propagation with pointer
-jumping over written tables.
+jumping over written tables. Texts travel only if they share a bucket: a bounded bit
+table of their digests, a filter that lets some others through, is broadcast first.
 
 Result: a row for each document with class_id (the least doc_id of its class),
 n_copies (rows with its text) and n_links (checked links of its text).
 
 Cases: null text is empty; texts of one to four words are one shingle; texts
-without a word are near only to equal texts; ties go to the least id; a row with
-a null doc_id has a class by its text, named by the least id there, or null; texts
-that share a doc_id are one node whose links are pooled; repeated rows repeat; an
+without a word are near only to equal texts; a class is named by the least id that
+any of its rows has, null if none has one; different texts that
+share a doc_id are nodes of their own; repeated rows repeat; an
 empty table gives an empty one; only doc_id and text are read.
 """
 
@@ -43,24 +44,14 @@ from lectern.llm._shared import as_bytes, body, freeing, materialize, mix, small
 SHINGLE, THRESHOLD, K, ROWS = 5, 0.8, 64, 4
 #: Cells of the counts that tell rare strips from frequent ones.
 CELLS = 2**18
-#: Nodes of texts that no id holds are named by numbers from here on, so that ids, which are less, name a class first.
-UNNAMED = 2**62
+#: Bits of the table that says which texts share a bucket: rows of 64 bits, so at most 131,072 rows are broadcast.
+FILTER_BITS = 2**23
 
 
 def digest() -> Column:
     return F.md5(F.encode(body(), "utf-8"))
 
 
-def unnamed(h: Column | str) -> Column:
-    """The node of a text that no id holds, by its digest."""
-    return F.lit(UNNAMED) + F.xxhash64(h).bitwiseAND(F.lit(UNNAMED - 1))
-
-
-def named(c: str) -> Column:
-    """The id, null for a node of a text that no id holds."""
-    return F.when(F.col(c) < UNNAMED, F.col(c))
-
-
 class WordHashes(dict):
     """64-bit hashes of words; emptied when it holds many."""
 
@@ -73,8 +64,8 @@ class WordHashes(dict):
         return h
 
 
-def strips(texts: list[bytes], words: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """The documents' places and the hashes of their unit strips: one for each occurrence of a shingle."""
+def shingles(texts: list[bytes], words: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The documents' places, the hashes of their distinct shingles, in order, and their counts."""
     hashed = [np.fromiter(map(words.__getitem__, t.lower().split()), np.uint64) for t in texts]
     n = np.array([len(h) for h in hashed])
     flat = np.concatenate([*hashed, np.zeros(SHINGLE, np.uint64)])
@@ -91,30 +82,46 @@ def strips(texts: list[bytes], words: WordHashes) -> tuple[np.ndarray, np.ndarra
     doc, sh = doc[order], sh[order]
     fresh = np.ones(len(doc), bool)
     fresh[1:] = (doc[1:] != doc[:-1]) | (sh[1:] != sh[:-1])
-    start = np.maximum.accumulate(np.where(fresh, np.arange(len(doc)), 0))
-    nth = (np.arange(len(doc)) - start).astype(np.uint64)
-    return doc, np.where(nth == 0, sh, mix(sh + nth * np.uint64(0x9E3779B97F4A7C15)))
+    at = np.flatnonzero(fresh)
+    return doc[at], sh[at], np.diff(at, append=len(doc))
+
+
+def strips(doc: np.ndarray, sh: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles as sets: one strip for each unit of weight."""
+    row = np.repeat(np.arange(len(sh)), count)
+    nth = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
+    return doc[row], np.where(nth == 0, sh[row], mix(sh[row] + nth * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def signatures(doc: np.ndarray, strip: np.ndarray, n_docs: int, k: int = K) -> np.ndarray:
-    """(n_docs, k): the earliest dart of each coordinate, rank in the high and name in the low bits; 0 rows for documents without a strip."""
-    weight = np.bincount(doc, minlength=n_docs).astype(float)
+def signatures(doc: np.ndarray, sh: np.ndarray, count: np.ndarray, n_docs: int, k: int = K) -> np.ndarray:
+    """(n_docs, k): the earliest dart of each coordinate, rank in the high and name in the low bits; 0 rows for documents without a shingle."""
+    weight = np.bincount(doc, count, n_docs)
     limit = np.divide(k * (np.log(k) + 2), weight, out=np.zeros(n_docs), where=weight > 0)
+    # Parts of a shingle's region by weight: [0, 1), [1, 2), [2, 4), [4, 8), ... below its count.
+    levels = 1 + np.ceil(np.log2(count)).astype(np.int64)
+    row = np.repeat(np.arange(len(sh)), levels)
+    level = np.arange(len(row)) - np.repeat(np.cumsum(levels) - levels, levels)
+    low = np.where(level == 0, 0.0, 2.0 ** (level - 1))
+    width, most = np.maximum(low, 1.0), count[row]
+    part = np.where(level == 0, sh[row], mix(sh[row] + level.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
+    doc = doc[row]
     none = np.uint64(2**64 - 1)
     out = np.full((n_docs, k), none)
     left = weight > 0
     while left.any():
         cells = np.full(n_docs * k, none)
-        pick = left[doc]
-        at, e, rank, d = doc[pick], strip[pick], np.zeros(int(pick.sum())), 0
-        while len(at):
+        pick = np.flatnonzero(left[doc])
+        rank, d = np.zeros(len(pick)), 0
+        while len(pick):
             d += 1
-            h = mix(e + np.uint64(d * 0xC2B2AE3D27D4EB4F % 2**64))
-            rank = rank - np.log(unit(h))  # gaps of a Poisson process of unit rate
-            keep = rank < limit[at]
-            at, e, rank, h = at[keep], e[keep], rank[keep], h[keep]
+            h = mix(part[pick] + np.uint64(d * 0xC2B2AE3D27D4EB4F % 2**64))
+            rank = rank - np.log(unit(h)) / width[pick]  # gaps of a Poisson process whose rate is the part's width
+            keep = rank < limit[doc[pick]]
+            pick, rank, h = pick[keep], rank[keep], h[keep]
             name = mix(h ^ np.uint64(0x5851F42D4C957F2D))
-            packed = (rank.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | (name & np.uint64(0xFFFFFFFF))
+            hit = (level[pick] == 0) | (low[pick] + width[pick] * unit(mix(name + np.uint64(1))) <= most[pick])
+            at, name, own = doc[pick[hit]], name[hit], rank[hit]
+            packed = (own.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | (name & np.uint64(0xFFFFFFFF))
             np.minimum.at(cells, at * k + ((name >> np.uint64(32)) % np.uint64(k)).astype(np.int64), packed)
         cells = cells.reshape(n_docs, k)
         full = left & (cells != none).all(axis=1)
@@ -143,8 +150,8 @@ def band_keys(docs: DataFrame) -> DataFrame:
         words = WordHashes()
         for batch in batches:
             texts = as_bytes(batch.column(2))
-            doc, e = strips(texts, words)
-            keys = banded(signatures(doc, e, len(texts)))
+            doc, sh, count = shingles(texts, words)
+            keys = banded(signatures(doc, sh, count, len(texts)))
             some = np.bincount(doc, minlength=len(texts)) > 0
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x if s else None for x, s in zip(keys, some, strict=True)], pa.list_(pa.int64()))], names=["id", "h", "bands"])
 
@@ -152,14 +159,14 @@ def band_keys(docs: DataFrame) -> DataFrame:
 
 
 def strip_sets(texts: DataFrame) -> DataFrame:
-    """id and its sorted strips (32 bits each, as bytes), from id and t."""
+    """id and its sorted strips (64 bits each, as bytes), from id and t."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
-            doc, e = strips(as_bytes(batch.column(1)), words)
+            doc, e = strips(*shingles(as_bytes(batch.column(1)), words))
             cut = np.searchsorted(doc, np.arange(1, batch.num_rows))
-            sets = [np.unique((x >> np.uint64(32)).astype("<u4")).tobytes() for x in np.split(e, cut)]
+            sets = [np.sort(x).tobytes() for x in np.split(e, cut)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
 
     return texts.select("id", "t").mapInArrow(freeing(run), "id bigint, s binary")
@@ -174,7 +181,7 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             near = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 lo, hi = sorted((len(x), len(y)))
                 if lo < threshold * hi:
                     near.append(False)
@@ -223,7 +230,7 @@ def cell_counts(sets: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(CELLS, np.int64)
         for batch in batches:
-            n += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4") % CELLS, minlength=CELLS)
+            n += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8") % CELLS, minlength=CELLS)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["cell", "n"])
 
@@ -240,14 +247,14 @@ def rare_strips(sets: DataFrame, counts: np.ndarray, threshold: float) -> DataFr
         for batch in batches:
             rare, size = [], np.zeros(batch.num_rows, np.int64)
             for k, s in enumerate(batch.column(2).to_pylist()):
-                x = np.frombuffer(s, "<u4")
+                x = np.frombuffer(s, "<u8")
                 size[k] = len(x)
                 rare.append(x[np.lexsort((x, counts[x % CELLS]))][: len(x) - int(np.ceil(threshold * len(x) - 1e-9)) + 1])
             n = np.fromiter(map(len, rare), np.int64, len(rare))
             row = np.repeat(np.arange(len(rare)), n)
             place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             first = place <= size[row] - np.ceil(2 * threshold / (1 + threshold) * size[row] - 1e-9)
-            strip = np.concatenate([*rare, np.zeros(0, "<u4")]).astype(np.int64)
+            strip = np.concatenate([*rare, np.zeros(0, "<u8")]).view(np.int64)
             columns = [pa.array(strip), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(size[row]), pa.array(place), pa.array(first)]
             yield pa.RecordBatch.from_arrays(columns, names=["strip", "id", "label", "size", "place", "first"])
 
@@ -268,16 +275,36 @@ def rare_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
+def bit_table(keys: DataFrame, key: str) -> DataFrame:
+    """The bits that the keys set, 64 in a row (__at, __bits): a filter without false negatives of at most FILTER_BITS bits, whatever the number of keys."""
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    rows = keys.select(F.floor(bit / 64).cast("bigint").alias("__at"), (bit % 64).cast("int").alias("b"))
+    return rows.groupBy("__at").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("__bits"))
+
+
+def flagged(rows: DataFrame, key: str, bits: DataFrame, out: str) -> DataFrame:
+    """rows with out: whether the key's bit is set."""
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    rows = rows.withColumn("__at", F.floor(bit / 64).cast("bigint")).withColumn("__b", (bit % 64).cast("int"))
+    met = rows.join(F.broadcast(bits), "__at", "left")
+    return met.withColumn(out, F.coalesce(F.expr("shiftrightunsigned(__bits, __b) & 1L = 1L"), F.lit(False))).drop("__at", "__b", "__bits")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id and strips of the texts of nodes (id, h). The filter keeps other texts from the exchange; each text is taken once."""
+    rows = docs.select(digest().alias("h"), body().alias("t"))
+    some = flagged(rows, "h", bit_table(wanted, "h"), "__hit").where("__hit").groupBy("h").agg(F.any_value("t").alias("t"))
+    return strip_sets(some.join(wanted, "h"))
+
+
 def links(nodes: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Checked links (a, b), a < b, between nodes (id, h, bands)."""
     entries = nodes.where("bands is not null").select("id", F.posexplode("bands").alias("band", "key"))
     met = materialize(ends_of_buckets(entries), "buckets")
     pair = lambda c: F.struct(F.least("id", c).alias("a"), F.greatest("id", c).alias("b"))
     pairs = met.select(F.explode(F.array(pair("lo"), pair("hi"))).alias("p")).select("p.a", "p.b").where("a < b").distinct()
-    wanted = met.select("id").distinct().join(nodes.select("id", "h"), "id")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), unnamed(digest())).alias("id"), digest().alias("h"), body().alias("t"))
-    # A node is its class's least id, so only that row's text is read; further rows of that id and text give the same set.
-    sets = materialize(strip_sets(texts.join(wanted, ["id", "h"], "left_semi")).groupBy("id").agg(F.max("s").alias("s")), "strips")
+    wanted = materialize(met.select("id").distinct().join(nodes.select("id", "h"), "id"), "wanted")
+    sets = materialize(sets_of(docs, wanted), "strips")
     ends = materialize(similar(pairs, sets, threshold), "links")
     more = most_linked(met, ends.where("near")).join(ends, ["a", "b"], "left_anti")
     known = materialize(ends.unionByName(similar(more, sets, threshold)), "links")
@@ -303,22 +330,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def told(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """For each row of docs: its id (doc_id), h, the node and the class of its text, n_copies and n_links."""
+    """For each row of docs: its id, its text's digest h, the class's number and name, n_copies and n_links."""
     keys = materialize(band_keys(docs), "bands")
-    node = F.coalesce(F.min("id"), unnamed("h")).alias("node")
-    nodes = materialize(keys.groupBy("h").agg(node, F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands")), "nodes")
+    nodes = keys.groupBy("h").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written once, so the numbers stay
     edges = materialize(links(nodes.select("h", F.col("node").alias("id"), "bands"), docs, threshold), "edges")
-    label = components(edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = label.join(degree, "id").withColumnRenamed("id", "node")
-    texts = nodes.select("h", "node", "n_copies").join(linked, "node", "left")
-    texts = texts.select("h", "node", F.coalesce("label", "node").alias("class"), "n_copies", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+    linked = materialize(components(edges).join(degree, "id").join(nodes.select(F.col("node").alias("id"), "least"), "id"), "linked")
+    named = linked.groupBy("label").agg(F.min("least").alias("name"))
+    linked = linked.join(named, "label").select(F.col("id").alias("node"), "label", "name", "n_links")
+    texts = nodes.select("h", "node", "least", "n_copies").join(linked, "node", "left")
+    texts = texts.select("h", F.coalesce("label", "node").alias("class"), F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("name")).alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
     return keys.select("id", "h").join(texts, "h")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, n_copies, n_links for each row of docs."""
-    return told(docs, threshold).select(F.col("id").alias("doc_id"), named("class").alias("class_id"), "n_copies", "n_links")
+    return told(docs, threshold).select(F.col("id").alias("doc_id"), "class_id", "n_copies", "n_links")
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
@@ -326,13 +354,20 @@ def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of docs for each class: that of its least doc_id, or, where no row of the class has an id, of one of its texts.
+    """One row of docs for each class: of its least doc_id (rows without an id last), then least digest.
 
-    Of rows that share an id and a text, the one with the least hash of all columns stays.
+    Of rows that share an id and a text, the one with the least hash of all columns stays. Only rows that may go, or have
+    equals, are shuffled with their texts: a filter lets all others pass where they lie.
     """
-    keep = told(docs).where("node = class").select(F.col("class").alias("__id"), F.col("h").alias("__h")).distinct()
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), unnamed(digest())).alias("__id"), digest().alias("__h"), F.struct(*docs.columns).alias("__row"))
-    one = rows.groupBy("__id", "__h").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
-    # Texts that share an id are one node: the least digest stays for all.
-    first = keep.groupBy("__id").agg(F.min("__h").alias("__h"))
-    return one.join(first, ["__id", "__h"], "left_semi").select("__row.*")
+    key = lambda i, h: F.concat(F.coalesce(i.cast("bigint").cast("string"), F.lit("-")), F.lit(":"), h)
+    rows = told(docs).withColumn("key", key(F.col("id"), F.col("h")))
+    rows = materialize(rows.groupBy("key", "id", "h", "class").agg(F.count(F.lit(1)).alias("n")), "rows")
+    first = rows.groupBy("class").agg(F.min(F.struct(F.col("id").isNull(), "id", "h", "key"))["key"].alias("first"))
+    checked = materialize(rows.join(first, "class").withColumn("stays", F.col("key") == F.col("first")).where("not stays or n > 1").select("key", "stays"), "checked")
+    own = docs.select(F.struct(*docs.columns).alias("__row"), key(F.col("doc_id"), digest()).alias("__key"))
+    own = flagged(own, "__key", bit_table(checked, "key"), "__hit")
+    passed = own.where("not __hit").select("__row")
+    met = own.where("__hit").join(checked.withColumnRenamed("key", "__key"), "__key", "left")
+    alone = met.where("stays is null").select("__row")
+    one = met.where("stays").groupBy("__key").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row")).select("__row")
+    return passed.unionAll(alone).unionAll(one).select("__row.*")
