@@ -112,3 +112,72 @@ def mix(x: np.ndarray) -> np.ndarray:
 def unit(x: np.ndarray) -> np.ndarray:
     """Hashes as numbers in (0, 1]."""
     return ((x >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0**-53
+
+
+def ranges(df: DataFrame, keys: list[str], weight, most: int, nulls_first: bool = False, out: str = "range", bins: int = 4096, most_ranges: int = 65_536) -> tuple[DataFrame, int]:
+    """df with out, numbers of ranges of the integer keys in their order, and how many there are; the same for the same rows, however they are dealt.
+
+    Cells of equal width are counted; a cell that weighs over `most` is cut again between its own least and greatest
+    key, then by the next key, until it is light or its rows have equal keys. So outliers and frequent values of the
+    first key cost a pass, not balance. Nulls of the first key are a cell of their own, which later keys cut. Neighbours are joined up to `most`, which grows where there would be over
+    most_ranges ranges; the cells that come to the driver are then bounded, too.
+    """
+    spark = df.sparkSession
+    slim = df.select(*keys, weight.cast("double").alias("__weight"))
+    null = F.col(keys[0]).isNull()
+    spans = [x for k in keys for x in (F.min(k).alias(f"__lo_{k}"), F.max(k).alias(f"__hi_{k}"))]
+
+    def counted(rows: DataFrame) -> list:
+        return rows.groupBy("__cell").agg(F.sum("__weight").alias("__n"), *spans).collect()
+
+    def cell_expr(plan: DataFrame | None):
+        """(rows with __cell) from the table of cuts; a row of it for each cell that is cut."""
+
+        def place(rows: DataFrame) -> DataFrame:
+            if plan is None:
+                return rows.withColumn("__cell", F.when(null, F.lit(0 if nulls_first else 1)).otherwise(F.lit(1 if nulls_first else 0)).cast("bigint"))
+            met = rows.join(F.broadcast(plan), "__cell", "left")
+            value = F.coalesce(*(F.when(F.col("__by") == k, F.col(name)) for k, name in enumerate(keys)))
+            # Decimals, as the span of two 64-bit keys may be wider than 64 bits.
+            step = F.expr("(cast(__value as decimal(20,0)) - cast(__from as decimal(20,0))) div cast(__width as decimal(20,0))").cast("bigint")
+            return met.withColumn("__value", value).withColumn("__cell", F.when(F.col("__by").isNull(), F.col("__cell")).otherwise(F.col("__base") + step)).drop("__value", "__by", "__from", "__width", "__base")
+
+        return place
+
+    places = [cell_expr(None)]
+    slim = places[0](slim)
+    stats = {r["__cell"]: r for r in counted(slim)}
+    order, fresh, final = sorted(stats), 2, set()
+    limit = max(float(most), 2.0 * sum(r["__n"] or 0.0 for r in stats.values()) / most_ranges)
+    while True:
+        cuts = []
+        for c in order:
+            r = stats[c]
+            by = next((k for k, name in enumerate(keys) if r[f"__lo_{name}"] is not None and r[f"__hi_{name}"] > r[f"__lo_{name}"]), None)
+            if c in final or (r["__n"] or 0.0) <= limit or by is None:
+                final.add(c)
+                continue
+            lo, hi = r[f"__lo_{keys[by]}"], r[f"__hi_{keys[by]}"]
+            cuts.append((c, by, lo, -(-(hi - lo + 1) // bins), fresh))
+            fresh += bins
+        if not cuts:
+            break
+        plan = spark.createDataFrame([(c, by, str(lo), str(width), base) for c, by, lo, width, base in cuts], "__cell bigint, __by int, __from string, __width string, __base bigint").coalesce(1)
+        places.append(cell_expr(plan))
+        slim = places[-1](slim)
+        cut = {c: base for c, _, _, _, base in cuts}
+        new = {r["__cell"]: r for r in counted(slim.where(F.col("__cell") >= min(cut.values())))}
+        stats |= new
+        children = sorted(new)
+        order = [x for c in order for x in ([n for n in children if cut[c] <= n < cut[c] + bins] if c in cut else [c])]
+    numbers, held, n = [], 0.0, 0
+    for c in order:
+        own = stats[c]["__n"] or 0.0
+        if held and held + own > limit:
+            held, n = 0.0, n + 1
+        held += own
+        numbers.append((c, n))
+    table = F.broadcast(spark.createDataFrame(numbers, "__cell bigint, __range bigint").coalesce(1))
+    for place in places:
+        df = place(df)
+    return df.join(table, "__cell").drop("__cell").withColumnRenamed("__range", out), n + 1 if order else 0

@@ -9,8 +9,8 @@ aggregation, without reading a text again.
 Cases: null or blank text has no words and fails the least-words rule; repeated
 lines, words and windows are counted as the docstrings say; rows may repeat; an
 empty table gives an empty ledger; other columns may have any name but those the
-ledger adds. Windows are matched by hash and confirmed word by word; a text may
-have up to 2^24 words.
+ledger adds. Windows are matched by 39 bits of their hash and confirmed word by word; a text
+in which two different windows share these bits, or of over 2^24 words, has its windows sorted by their words instead.
 """
 
 from __future__ import annotations
@@ -29,6 +29,10 @@ RULES = {
 POLICIES = {"base": ("few_words", "repeated_windows"), "v1": ("few_words", "repeated_windows", "symbols", "repeated_lines", "word_length")}
 
 
+#: Bits of a window's place in its packed form; texts of more words are sorted by words.
+PLACE_BITS = 24
+
+
 def bit(rule: str) -> int:
     return 1 << list(RULES).index(rule)
 
@@ -37,32 +41,53 @@ def mask(policy: str) -> int:
     return sum(map(bit, POLICIES[policy]))
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+def window_hash(a: Column, b: Column, c: Column) -> Column:
+    return F.xxhash64(a, b, c)
+
+
+def repeated_places(df: DataFrame) -> DataFrame:
+    """df with __repeats: places, in order, of the three-word windows of __words that stand there twice or more; __packed has them packed and sorted."""
+    w, p, no = F.col("__words"), F.col("__packed"), F.lit(False)
+    low = F.lit((1 << PLACE_BITS) - 1)
+
+    def hashed_alike(a: Column, b: Column) -> Column:
+        return F.coalesce(F.shiftrightunsigned(a, PLACE_BITS) == F.shiftrightunsigned(b, PLACE_BITS), no)
+
+    def same(a: Column, b: Column) -> Column:
+        at, to = a.bitwiseAND(low).cast("int"), b.bitwiseAND(low).cast("int")
+        return hashed_alike(a, b) & F.coalesce((F.get(w, at) == F.get(w, to)) & (F.get(w, at + 1) == F.get(w, to + 1)) & (F.get(w, at + 2) == F.get(w, to + 2)), no)
+
+    # Neighbours of one hash and different words: then, as for too many words, all windows are sorted by their words.
+    df = df.withColumn("__met", (F.size(w) > 1 << PLACE_BITS) | F.exists(F.transform(p, lambda x, i: hashed_alike(x, F.get(p, i + 1)) & ~same(x, F.get(p, i + 1))), lambda x: x))
+    none = F.array().cast("array<struct<a:string,b:string,c:string,i:bigint>>")
+    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.cast("bigint").alias("i")))
+    df = df.withColumn("__sorted", F.when(F.col("__met") & (F.size(w) >= 3), F.array_sort(windows)).otherwise(none))
+    e = F.col("__sorted")
+    equal = lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), no)
+    exact = F.transform(F.filter(e, lambda x, i: equal(x, F.get(e, i + 1)) | ((i > 0) & equal(x, F.get(e, i - 1)))), lambda x: x["i"])
+    fast = F.transform(F.filter(p, lambda x, i: same(x, F.get(p, i + 1)) | ((i > 0) & same(x, F.get(p, i - 1)))), lambda x: x.bitwiseAND(low))
+    return df.withColumn("__repeats", F.sort_array(F.when(F.col("__met"), exact).otherwise(fast))).drop("__met", "__sorted")
+
+
+def measured(docs: DataFrame, text: str = "text", hashed=window_hash) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words."""
     t = body(text)
     bare = F.regexp_replace(t, SPACE, "")
-    # Three columns that later ones use more than once, so that each is made once.
-    df = docs.withColumn("__w", F.filter(F.split(t, SPACE), lambda w: w != ""))
-    df = df.withColumn("__l", F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
-    n = F.size("__w").cast("bigint")
+    # Columns that later ones use more than once, so that each is made once.
+    df = docs.withColumn("__words", F.filter(F.split(t, SPACE), lambda w: w != ""))
+    df = df.withColumn("__lines", F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
+    n = F.size("__words").cast("bigint")
     df = df.withColumn("n_words", n).withColumn("word_chars", F.length(bare).cast("bigint"))
     df = df.withColumn("n_symbols", (F.length(t) - F.length(F.regexp_replace(t, "[#*$%&|<>]", ""))).cast("bigint"))
-    df = df.withColumn("n_lines", F.size("__l").cast("bigint")).withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("bigint"))
-    w = F.col("__w")
-    # A window's hash in the high 39 bits, its place in the low 24: equal windows are neighbours once sorted.
-    packed = F.when(F.size(w) < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), 25), 24).bitwiseOR(i.cast("bigint"))))
-    df = df.withColumn("__p", F.sort_array(packed))
-    p, low = F.col("__p"), F.lit((1 << 24) - 1)
-
-    def same(a: Column, b: Column) -> Column:
-        at, to = a.bitwiseAND(low).cast("int"), b.bitwiseAND(low).cast("int")
-        return (F.shiftrightunsigned(a, 24) == F.shiftrightunsigned(b, 24)) & (F.get(w, at) == F.get(w, to)) & (F.get(w, at + 1) == F.get(w, to + 1)) & (F.get(w, at + 2) == F.get(w, to + 2))
-
-    twice = F.filter(p, lambda x, i: F.coalesce(same(x, F.get(p, i + 1)), F.lit(False)) | ((i > 0) & F.coalesce(same(x, F.get(p, i - 1)), F.lit(False))))
-    df = df.withColumn("__r", F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(low))))
-    r = F.col("__r")
+    df = df.withColumn("n_lines", F.size("__lines").cast("bigint")).withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint"))
+    w = F.col("__words")
+    # A window's hash in the high bits, its place in the low ones: equal windows are neighbours once sorted.
+    packed = F.when((F.size(w) < 3) | (F.size(w) > 1 << PLACE_BITS), F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.shiftleft(F.shiftrightunsigned(hashed(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), PLACE_BITS + 1), PLACE_BITS).bitwiseOR(i.cast("bigint"))))
+    df = df.withColumn("__packed", F.sort_array(packed))
+    df = repeated_places(df)
+    r = F.col("__repeats")
     covered = F.aggregate(r, F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-3).cast("bigint").alias("at")), lambda s, x: F.struct((s["n"] + F.least(F.lit(3).cast("bigint"), x - s["at"])).alias("n"), x.alias("at")), lambda s: s["n"])
-    return df.withColumn("n_repeat_words", F.when(F.size(r) == 0, F.lit(0).cast("bigint")).otherwise(covered)).drop("__w", "__l", "__p", "__r")
+    return df.withColumn("n_repeat_words", F.when(F.size(r) == 0, F.lit(0).cast("bigint")).otherwise(covered)).drop("__words", "__lines", "__packed", "__repeats")
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
