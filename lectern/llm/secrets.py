@@ -1,24 +1,25 @@
 """Secret scans: fixed patterns, and novelty under a primed zstandard dictionary.
 
 The fixed patterns (kinds assign, access, hex) give the base spans. Beside them
-a candidate is a run of 20 or more characters of a credential's alphabet that
-holds a digit and a letter and has a sensitive word in the 48 code points before
-it. It is measured by its marginal compressed bytes: the size of the surrounding
-text with the candidate less the size without it, under a dictionary primed with
-identifiers, so that names, paths and repeated values come out cheap. From
-`novelty` bytes a character on, it is reported as kind novel. Novel spans that
+a candidate is a run of LEAST or more characters without white space, quotes or
+brackets that comes within REACH code points of a sensitive word, before or after it, on its line or the next.
+It is measured by its marginal compressed bytes: the size of the surrounding
+text with the candidate less the size without it, under a dictionary of the identifiers that the
+corpus has near sensitive words, most frequent last, so that names, paths and repeated values come out cheap. From
+`novelty` bytes a byte on, it is reported as kind novel. The size alone decides, not an alphabet. Novel spans that
 touch a base span are left out; base spans always stay.
 
 Cases: null text is empty and has no spans; offsets are code points, end
 exclusive; spans of equal start keep the order of KINDS; whole texts are
 scanned, however long; repeated rows give repeated rows; an empty table gives an
-empty one; other columns may have any name.
+empty one; other columns may have any name, those of the result in `keep` excepted, which is an error.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,8 +31,11 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-SENSITIVE = re.compile(r"pass|pwd|secret|token|key|auth|cred|bearer|private|signature|session|login", re.I | re.A)
+LEAST, REACH, AROUND, NOVELTY, DICTIONARY_WORDS, LEAST_SEEN = 12, 64, 600, 0.85, 1_000, 5
+CANDIDATE = re.compile(r"""[^\s"'`<>()\[\]{},;|]{%d,}""" % LEAST)
+ROOTS = ("pass", "pwd", "secret", "token", "key", "auth", "cred", "bearer", "private", "signature", "session", "login")
+SENSITIVE = re.compile(r"(?<![a-z])(?:[a-z0-9]*[_-])?(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret|auth|encryption|signing)?key|auth(?:orization|entication)?|cred(?:ential)?|bearer|signature|session|login)s?(?![a-z])", re.I | re.A)
+IDENTIFIER = re.compile(r"[A-Za-z_]{3,32}")
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key authorization bearer credential session cookie login username "
     "account client_id client_secret signature certificate public static final class function return import export const import from "
@@ -39,42 +43,84 @@ IDENTIFIERS = (
     "https://www. http:// .com .org .net .html .json .yaml /usr/local/lib /home/user/ sha256 md5 base64 utf-8 0123456789 "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 )
-BEFORE, AROUND = 48, 192
+
+
+def learn_identifiers(docs: DataFrame, text: str = "text") -> str:
+    """The dictionary: fixed identifiers, and the DICTIONARY_WORDS that stand around sensitive words in most documents of the corpus, of all that do in LEAST_SEEN or more."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                lower = value.lower()
+                if any(r in lower for r in ROOTS):
+                    seen.update({w for m in SENSITIVE.finditer(value) for w in IDENTIFIER.findall(value, max(0, m.start() - AROUND), m.end() + AROUND)})
+            if len(seen) > 400_000:
+                yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["w", "n"])
+                seen = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["w", "n"])
+
+    words = docs.select(body(text).alias("t")).mapInArrow(freeing(run), "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    top = words.where(F.col("n") >= LEAST_SEEN).orderBy(F.desc("n"), "w").limit(DICTIONARY_WORDS).collect()
+    return " ".join([IDENTIFIERS, *(r.w for r in reversed(top))])
 
 
 class NoveltyScanner:
-    def __init__(self, novelty: float = 0.45, dictionary: str = IDENTIFIERS):
+    def __init__(self, novelty: float = NOVELTY, dictionary: str = IDENTIFIERS):
         import zstandard as z
 
         self.novelty = novelty
         self.packer = z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(dictionary.encode(), dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
 
     def marginal(self, text: str, start: int, end: int) -> float:
-        """Compressed bytes that text[start:end] adds to its surroundings, a character."""
-        left, right = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-        without = len(self.packer.compress((left + right).encode()))
-        return (len(self.packer.compress((left + right + text[start:end]).encode())) - without) / (end - start)
+        """Compressed bytes that text[start:end] adds to its surroundings, a byte: the middle of three surroundings, as one alone may meet a step of the packer's."""
+        own, sizes = text[start:end], []
+        for before, after in ((AROUND, AROUND), (AROUND // 5, AROUND * 4 // 5), (AROUND * 2 // 5, AROUND * 3 // 5)):
+            left, right = text[max(0, start - before) : start], text[end : end + after]
+            sizes.append(len(self.packer.compress((left + own + right).encode())) - len(self.packer.compress((left + right).encode())))
+        return sorted(sizes)[1] / len(own.encode())
+
+    def candidates(self, text: str) -> Iterator[tuple[int, int]]:
+        """Runs near sensitive words, in order, each once."""
+        done = 0
+        for m in SENSITIVE.finditer(text):
+            if m.end() + REACH <= done:
+                continue
+            start = max(done, m.start() - REACH)
+            while start > done and not text[start - 1].isspace():  # runs begin before the reach
+                start -= 1
+            for c in CANDIDATE.finditer(text, start):
+                if c.start() >= m.end() + REACH:
+                    break
+                if c.start() >= done and c.end() > m.start() - REACH:
+                    yield c.span()
+                    done = c.end()
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind's index, end), in order."""
-        found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
-        found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+        lower = text.lower()
+        found = []
+        if any(w in lower for w in ("passw", "secret", "token", "api")):
+            found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+        if "AKIA" in text:
+            found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-        taken = sorted((a, b) for a, _, b in found)
-        novel = []
-        k = 0
-        for m in CANDIDATE.finditer(text):
-            run = m.group()
-            if not (any(map(str.isdigit, run)) and any(map(str.isalpha, run))):
-                continue
-            if not SENSITIVE.search(text, max(0, m.start() - BEFORE), m.start()):
-                continue
-            while k < len(taken) and taken[k][1] <= m.start():
+        if not any(r in lower for r in ROOTS):
+            return sorted(found)
+        taken, k, novel = [], 0, []
+        for a, _, b in sorted(found):  # disjoint stretches
+            if taken and a < taken[-1][1]:
+                taken[-1] = taken[-1][0], max(taken[-1][1], b)
+            else:
+                taken.append((a, b))
+        for start, end in self.candidates(text):
+            while k < len(taken) and taken[k][1] <= start:
                 k += 1
-            if any(a < m.end() and m.start() < b for a, b in taken[k : k + 4]):
+            if k < len(taken) and taken[k][0] < end:
                 continue
-            if self.marginal(text, *m.span()) >= self.novelty:
-                novel.append((m.start(), 3, m.end()))
+            if SENSITIVE.fullmatch(text, start, end) is None and self.marginal(text, start, end) >= self.novelty:
+                novel.append((start, 3, end))
         return sorted(found + novel)
 
 
@@ -96,13 +142,20 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan_documents(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), redact: bool = False, novelty: float = 0.45) -> DataFrame:
+RESULT = ("n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans")
+
+
+def scan_documents(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), redact: bool = False, novelty: float = NOVELTY, dictionary: str = IDENTIFIERS) -> DataFrame:
     """The columns of keep, the counts by kind, the base spans' hash, all spans, and the redacted text if asked for."""
+    clash = {*keep} & {*RESULT, "redacted"}
+    if clash:
+        raise ValueError(f"keep names columns of the result: {', '.join(sorted(clash))}")
     small_batches(docs.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", n_assign bigint, n_access bigint, n_hex bigint, n_novel bigint, base_sha256 string, spans string" + ", redacted string" * redact
+    rows = docs.select(*keep, body(text).alias("__text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", n_assign bigint, n_access bigint, n_hex bigint, n_novel bigint, base_sha256 string, spans string" + ", redacted string" * redact
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = NoveltyScanner(novelty)
+        scanner = NoveltyScanner(novelty, dictionary)
         for batch in batches:
             counts: list[list[int]] = [[] for _ in KINDS]
             digests, all_spans, texts = [], [], []
@@ -115,20 +168,21 @@ def scan_documents(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
                 if redact:
                     texts.append(redacted(value, spans) if spans else value)
             columns = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(c, pa.int64()) for c in counts] + [pa.array(digests, pa.string()), pa.array(all_spans, pa.string())]
-            names = [*keep, "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.string())] * redact, names=names + ["redacted"] * redact)
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.string())] * redact, names=[*keep, *RESULT] + ["redacted"] * redact)
 
-    return docs.select(*keep, body(text).alias("__text")).mapInArrow(freeing(run), schema)
+    return rows.mapInArrow(freeing(run), schema)
 
 
 def op6_secrets(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return scan_documents(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")
+    return scan_documents(docs, dictionary=learn_identifiers(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """docs with secrets replaced by marks; n_chars counts the new text's code points. A null text stays null."""
     names = docs.columns
-    out = scan_documents(docs.withColumn("__null", F.col("text").isNull()), keep=(*[c for c in names if c not in ("text", "n_chars")], "__null"), redact=True)
-    out = out.withColumn("text", F.when(~F.col("__null"), F.col("redacted")))
-    return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")).select(*names)
+    rows = docs.select(F.struct(*(c for c in names if c not in ("text", "n_chars"))).alias("row"), F.col("text").isNull().alias("blank"), "text")
+    out = scan_documents(rows, keep=("row", "blank"), redact=True, dictionary=learn_identifiers(docs))
+    text = F.when(~F.col("blank"), F.col("redacted"))
+    of = {"text": text, "n_chars": F.coalesce(F.length(text), F.lit(0)).cast("bigint")}
+    return out.select(*(of[c].alias(c) if c in of else F.col("row").getField(c).alias(c) for c in names))
