@@ -1,16 +1,17 @@
 """WARC: a deterministic sharded writer and its reader.
 
-Records are sorted by range: the id range is cut into bins of equal width, bins
-are joined into shards of about SHARD_BYTES of payload, and one sort by (shard,
-id, digest) deals and orders the records. A task writes a shard's records as gzip
+Records are range-sorted: the ids are cut into shards of about SHARD_BYTES of payload, by counted cells that
+are cut again where they are heavy (ids by digest, where one id is), so outliers and frequent or null ids don't fill a
+shard; a sort by (shard, id, digest) within the shards orders the records. A task writes a shard's records as gzip
 members under a temporary name, rolls to a new file when the compressed size
 passes ROLL_BYTES, and renames each finished file to a name made of shard and
 sequence alone; headers (record id, digests, lengths, dates) are regenerated from
 the records, so the same table gives the same bytes on any cluster, and a task
-that is run again replaces its files by equal ones. The job is committed by the
+that is run again replaces its files by equal ones. A file begins with a warcinfo record. The job is committed by the
 manifest, a Parquet table with a row for each file (records, bytes, SHA-256),
-which Spark's committer puts in place once all tasks are done; the reader opens
-only what the manifest names, and checks it.
+which Spark's committer puts in place once all tasks are done; then temporary files that failed attempts left are removed. The reader opens
+only what the manifest names, and checks it. It reads other writers' records, too: kinds but response
+and revisit are passed over, and what the file doesn't say is null.
 
 Of records with equal payloads of at least REVISIT_BYTES, the one with the
 largest id is a response and the others revisit it. A holder's id reaches the
@@ -19,23 +20,25 @@ the same exchange and stand right before the records they are for.
 
 Cases: null html is an empty payload; null ids sort last and are never holders
 unless all ids of a payload are null; rows of equal id and payload are all
-responses if they hold the largest id; smaller payloads are all responses; very
+responses if they hold the largest id, and their record ids end in a number from the second on; smaller payloads are all responses; very
 long payloads are one record; an empty table gives an empty manifest; other
 columns may have any name.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lectern.llm._shared import scratch, small_batches
+from lectern.llm._shared import ranges, scratch, small_batches
 
-REVISIT_BYTES, SHARD_BYTES, ROLL_BYTES, BINS = 1000, 32 << 20, 16 << 20, 4096
+REVISIT_BYTES, SHARD_BYTES, ROLL_BYTES = 1000, 32 << 20, 16 << 20
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -46,13 +49,22 @@ def store_of(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, holder: int | None) -> bytes:
-    name = lambda i: f"<urn:page:{'null' if i is None else i}:{digest}>"
+def block_of(head: list[tuple[str, str]], block: bytes) -> bytes:
+    return "WARC/1.1\r\n".encode() + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def info(file: str) -> bytes:
+    block = b"format: WARC File Format 1.1\r\n"
+    return block_of([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:file:{file}>"), ("WARC-Date", DATE), ("WARC-Filename", file), ("WARC-Block-Digest", f"sha1:{hashlib.sha1(block).hexdigest()}"), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(block)))], block)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, holder: int | None, nth: int = 0) -> bytes:
+    name = lambda i, n=0: f"<urn:page:{'null' if i is None else i}:{digest}{f':{n}' if n else ''}>"
     kind = "response" if holder is None else "revisit"
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload if holder is None else b"")
     head = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", name(page_id)),
+        ("WARC-Record-ID", name(page_id, nth)),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", (url or "").replace("\r", "%0D").replace("\n", "%0A")),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
@@ -62,7 +74,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, ho
         ("Content-Type", "application/http;msgtype=response"),
         ("Content-Length", str(len(block))),
     ]
-    return "WARC/1.1\r\n".encode() + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
+    return block_of(head, block)
 
 
 class ShardWriter:
@@ -80,13 +92,18 @@ class ShardWriter:
             self.temporary = f"{self.root}/.tmp-{self.name}-{self.attempt}"
             self.fs.create_dir(self.root, recursive=True)
             self.out, self.bytes, self.records, self.sha = self.fs.open_output_stream(self.temporary, compression=None), 0, 0, hashlib.sha256()
+            self.write(info(self.name))
+        self.write(data)
+        self.records += 1
+        if self.bytes >= self.roll:
+            self.close()
+
+    def write(self, data: bytes) -> None:
         packer = zlib.compressobj(5, zlib.DEFLATED, 31)
         packed = packer.compress(data) + packer.flush()
         self.out.write(packed)
         self.sha.update(packed)
-        self.bytes, self.records = self.bytes + len(packed), self.records + 1
-        if self.bytes >= self.roll:
-            self.close()
+        self.bytes += len(packed)
 
     def close(self) -> None:
         if self.out is not None:
@@ -103,44 +120,47 @@ def write_archive(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, r
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "utf-8")))
     size = F.octet_length("html")
-    low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = max(1, -(-(high - low + 1) // BINS))
-    bin_of = F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / width), F.lit(BINS)).cast("int")
-    shards, held, shard = [], 0, 0
-    for r in sorted(rows.groupBy(bin_of.alias("bin")).agg(F.sum(size + 200).alias("n")).collect()):  # at most BINS + 1 rows
-        if held and held + r.n > shard_bytes:
-            held, shard = 0, shard + 1
-        held += r.n
-        shards.append((r.bin, shard))
-    dealt = F.broadcast(spark.createDataFrame(shards, "bin int, shard int").coalesce(1))
+    tie = F.conv(F.substring("digest", 1, 15), 16, 10).cast("bigint")
     slim = rows.where(size >= REVISIT_BYTES).groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
     holders = slim.groupBy("digest").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("ids")).where("ids > 1 and holder is not null").drop("ids")
     told = slim.join(holders, "digest").where(~F.col("page_id").eqNullSafe(F.col("holder")))
     told = told.select("page_id", F.lit("").alias("url"), F.lit("").alias("html"), "digest", "holder")
     every = rows.withColumn("holder", F.lit(None).cast("bigint")).withColumn("kind", F.lit(1)).unionByName(told.withColumn("kind", F.lit(0)))
-    every = every.withColumn("bin", bin_of).join(dealt, "bin").select("shard", "page_id", "digest", "kind", "url", "html", "holder")
-    every = every.repartitionByRange(max(1, min(shard + 1, 4096)), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "kind", "url")
+    every, shards = ranges(every.withColumn("tie", tie), ["page_id", "tie"], size + 200, shard_bytes, out="shard")
+    every = every.select("shard", "page_id", "digest", "kind", "url", "html", "holder")
+    every = every.repartition(max(1, min(shards, 4096)), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         writer = ShardWriter(root, str(TaskContext.get().taskAttemptId()), roll_bytes)
-        last, holder = None, None
+        last, holder, nth = None, None, 0
         for batch in batches:
             for s, page_id, digest, kind, url, html, told_holder in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last != (page_id, digest):
+                    last, holder, nth = (page_id, digest), None, 0
                 if kind == 0:
-                    last, holder = (page_id, digest), told_holder
+                    holder = told_holder
                 else:
-                    writer.add(s, record(page_id, url, html.encode(), digest, holder if last == (page_id, digest) else None))
+                    writer.add(s, record(page_id, url, html.encode(), digest, holder, nth))
+                    nth += 1
         writer.close()
-        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in writer.done], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()))], names=["file", "shard", "records", "bytes", "sha256"])
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in writer.done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["file", "shard", "records", "bytes", "sha256"])
 
-    manifest = every.mapInArrow(run, "file string, shard int, records bigint, bytes bigint, sha256 string")
+    manifest = every.mapInArrow(run, "file string, shard bigint, records bigint, bytes bigint, sha256 string")
     manifest.write.mode("overwrite").parquet(f"{root}/_manifest")
+    remove_temporary(spark, root)
     return spark.read.parquet(f"{root}/_manifest")
 
 
+def remove_temporary(spark, root: str) -> None:
+    """Removes what attempts that failed have left; all tasks are done."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/.tmp-*")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.globStatus(target) or []:
+        fs.delete(found.getPath(), False)
+
+
 def members(data) -> Iterator[bytes]:
     """The gzip members of a stream, one at a time."""
     held, unpack, parts = b"", zlib.decompressobj(31), []
@@ -154,18 +174,37 @@ def members(data) -> Iterator[bytes]:
         raise ValueError("the archive ends inside a record")
 
 
-def parsed(data: bytes) -> dict:
+def parsed(data: bytes) -> dict | None:
+    """A response or revisit; None for other kinds."""
     head, _, block = data.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    block = block[: int(fields["Content-Length"])]
-    if hashlib.sha1(block).hexdigest() != fields["WARC-Block-Digest"].removeprefix("sha1:"):
-        raise ValueError(f"{fields['WARC-Record-ID']}: the block has another digest")
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    block = block[: int(fields["content-length"])]
+    told = fields.get("warc-block-digest", "")
+    if told.startswith("sha1:") and same_digest(hashlib.sha1(block), told) is False:
+        raise ValueError(f"{fields.get('warc-record-id')}: the block has another digest")
+    kind = fields.get("warc-type", "")
+    if kind not in ("response", "revisit"):
+        return None
     payload = block.partition(b"\r\n\r\n")[2]
-    ident = lambda x: None if x.split(":")[2] == "null" else int(x.split(":")[2])
-    kind, digest, length = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["WARC-Payload-Length"])
-    if kind == "response" and (hashlib.sha1(payload).hexdigest(), len(payload)) != (digest, length):
-        raise ValueError(f"{fields['WARC-Record-ID']}: the payload has another digest")
-    return {"page_id": ident(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"], "payload_bytes": length, "payload_digest": digest, "record_type": kind, "refers_to": ident(fields["WARC-Refers-To"]) if kind == "revisit" else None, "payload": payload if kind == "response" else None}
+    sha, told = hashlib.sha1(payload), fields.get("warc-payload-digest", "")
+    length = fields.get("warc-payload-length")
+    if kind == "response" and (told.startswith("sha1:") and not same_digest(sha, told) or length not in (None, str(len(payload)))):
+        raise ValueError(f"{fields.get('warc-record-id')}: the payload has another digest")
+    size = int(length) if length is not None else len(payload) if kind == "response" else None
+    digest = sha.hexdigest() if kind == "response" else told.removeprefix("sha1:") or None
+    return {"page_id": ident(fields.get("warc-record-id")), "url": fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": ident(fields.get("warc-refers-to")) if kind == "revisit" else None, "payload": payload if kind == "response" else None}
+
+
+def same_digest(sha, told: str) -> bool:
+    """Whether a sha1: digest, in hex or base 32, is that of the hash."""
+    told = told.removeprefix("sha1:")
+    return told.lower() == sha.hexdigest() or told.upper() == base64.b32encode(sha.digest()).decode()
+
+
+def ident(name: str | None) -> int | None:
+    """The page id of a name that this writer gave."""
+    m = re.fullmatch(r"<urn:page:(-?\d+):.*>", name or "")
+    return int(m[1]) if m else None
 
 
 def read_archive(manifest: DataFrame, root: str, payload: bool = False) -> DataFrame:
@@ -180,7 +219,10 @@ def read_archive(manifest: DataFrame, root: str, payload: bool = False) -> DataF
                 rows, seen = [], 0
                 with fs.open_input_stream(f"{base}/{file}", compression=None) as data:
                     for member in members(data):
-                        rows.append(parsed(member))
+                        found = parsed(member)
+                        if found is None:
+                            continue
+                        rows.append(found)
                         seen += 1
                         if len(rows) == 256:
                             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], types[n]) for n in names], names=names)
