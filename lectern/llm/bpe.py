@@ -1,27 +1,31 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the last 16 code points cuts each text where its low bits
-are zero, so a passage that many documents hold gives the same chunks wherever
-it stands. The inside of a chunk, from its first to its last agreed boundary,
-is encoded once and kept in a bounded table of the Python worker, which lives
-on over batches and tasks; what lies around a join of two chunks is encoded
-anew. A boundary is agreed when the encoding of either side must have a
-pre-token border there, whatever stands further away: a Latin letter, one
-space, a Latin letter. A window at a join grows over chunks without such a
-place until it meets one, so the joined ids are those of the whole text.
+are zero (chunks have an eighth to eight times the average length), so a passage that many documents hold gives the same chunks wherever
+it stands. A first pass counts the chunks of all documents by their hashes; those that
+spare most code points, up to DICTIONARY_CHARS in all, are encoded once and sent to all
+workers. A worker keeps the other chunks that it meets in a bounded table, which lives
+on over batches and tasks.
+
+A chunk is encoded on its own between borders: places where every text has a
+pre-token's end, whatever stands further away (one space between characters that aren't
+white space, or a CJK letter before CJK punctuation). A join of two chunks is repaired by encoding anew
+what lies around it, from the last but one border of the left chunk to the second of the right. If that
+begins and ends with the very ids that the chunks have there, the ids between are spliced in; if not, both chunks are
+taken up into the window, which grows until it agrees. So the joined ids are those of the whole text.
 
 Cases: null text is empty; empty text has no ids and hashes of nothing; a very
 long text is worked through chunk by chunk; repeated rows give repeated rows;
 an empty table gives an empty one; only the named columns are read, so other
-columns may have any name.
+columns may have any name; a column of `keep` named like one of the result is an error.
 """
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +35,13 @@ from pyspark.sql import DataFrame, functions as F
 from lectern.llm._shared import body, freeing, small_batches
 
 SPECIAL = "<|endoftext|>"
-LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
-BORDER = re.compile(f"(?<=[{LATIN}]) (?=[{LATIN}])")
+BORDER = re.compile(r"(?<=\S) (?=\S)|(?<=[ぁ-ゖァ-ヺ一-龥가-힣])(?=[，。、！？；：「」（）])")
 WINDOW, AVERAGE, REUSE_CHARS = 16, 1024, 24 << 20
+DICTIONARY_CHARS, DICTIONARY_CHUNKS, FLUSH = 8 << 20, 1 << 16, 200_000
 
 
 def cuts(text: str, average: int = AVERAGE) -> list[int]:
-    """Ends of the chunks; each depends on the 16 code points before it alone."""
+    """Ends of the chunks; each depends on the 16 code points before it, and on the cut before it alone."""
     if len(text) <= WINDOW:
         return [len(text)] if text else []
     h = np.frombuffer(text.encode("utf-32-le"), np.uint32) * np.uint32(2654435761)
@@ -46,8 +50,38 @@ def cuts(text: str, average: int = AVERAGE) -> list[int]:
     while step < WINDOW:
         h = h[:-step] * np.uint32(base) + h[step:]
         step, base = step * 2, base * base % 2**32
-    ends = (np.flatnonzero((h >> np.uint32(8)) & np.uint32(average - 1) == 0) + WINDOW).tolist()
-    return ends if ends and ends[-1] == len(text) else [*ends, len(text)]
+    ends, last = [], 0
+    for end in [*(np.flatnonzero((h >> np.uint32(8)) & np.uint32(average - 1) == 0) + WINDOW).tolist(), len(text)]:
+        while end - last > 8 * average:
+            last += 8 * average
+            ends.append(last)
+        if end - last >= average // 8 or end == len(text) and end > last:
+            ends.append(end)
+            last = end
+    return ends
+
+
+class Chunk:
+    """A chunk's text before its first border, ids from there to its last border, text after that; the stretches next to either border serve as checks."""
+
+    __slots__ = ("core", "first", "head", "last", "tail", "text")
+
+    def __init__(self, text: str, encode):
+        self.text, self.core = text, None
+        front = [m.start() for _, m in zip(range(4), BORDER.finditer(text))]
+        if len(front) < 4:
+            return
+        back = max(0, len(text) - 96)
+        ends = [m.start() for m in BORDER.finditer(text, back)]
+        while len(ends) < 2:
+            back = max(0, back - 512)
+            ends = [m.start() for m in BORDER.finditer(text, back)]
+        a, b, c, d = front[0], front[1], ends[-2], ends[-1]
+        if not a < b <= c < d:
+            return
+        self.head, self.tail = text[:a], text[d:]
+        self.first, self.last = (text[a:b], encode(text[a:b])), (text[c:d], encode(text[c:d]))
+        self.core = encode(text[b:c])
 
 
 class ChunkCoder:
@@ -66,53 +100,73 @@ class ChunkCoder:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.coder = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
         self.special, self.average, self.limit = special[SPECIAL], average, reuse_chars
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
-        self.held = self.reused = self.fresh = 0
-
-    def inside(self, chunk: str) -> tuple:
-        """Head, ids of what lies between the first and last agreed boundary, tail; None for ids if there are no two."""
-        kept = self.young.get(chunk)
+        self.shared: dict[str, Chunk] = {}
+        self.young: dict[str, Chunk] = {}
+        self.old: dict[str, Chunk] = {}
+        self.held = self.chunks = self.reused = self.fresh = self.from_shared = self.grown = 0
+
+    def piece(self, text: str) -> array:
+        return array("I", self.coder.encode_ordinary(text))
+
+    def inside(self, text: str) -> Chunk:
+        self.chunks += 1
+        kept = self.shared.get(text)
+        if kept is not None:
+            self.from_shared += 1
+            return kept
+        kept = self.young.get(text)
+        if kept is not None:
+            self.reused += 1
+            return kept
+        kept = self.old.get(text)
         if kept is None:
-            kept = self.old.get(chunk)
-            if kept is None:
-                self.fresh += 1
-                first = BORDER.search(chunk)
-                last = first and max(BORDER.finditer(chunk, max(first.start() + 1, len(chunk) - 64)), key=lambda m: m.start(), default=None)
-                last = last or (first and max(BORDER.finditer(chunk, first.start() + 1), key=lambda m: m.start(), default=None))
-                if first is None:
-                    kept = (chunk, None, "")
-                elif last is None:
-                    kept = (chunk[: first.start()], array("I"), chunk[first.start() :])
-                else:
-                    kept = (chunk[: first.start()], array("I", self.coder.encode_ordinary(chunk[first.start() : last.start()])), chunk[last.start() :])
-            else:
-                self.reused += 1
-            if self.held > self.limit // 2:
-                self.old, self.young, self.held = self.young, {}, 0
-            self.young[chunk] = kept
-            self.held += len(chunk)
+            self.fresh += 1
+            kept = Chunk(text, self.piece)
         else:
             self.reused += 1
+        if self.held > self.limit // 2:
+            self.old, self.young, self.held = self.young, {}, 0
+        self.young[text] = kept
+        self.held += len(text)
         return kept
 
+    def join(self, before: tuple[str, array], window: str, after: tuple[str, array]) -> array | None:
+        """Ids of the window if its encoding, with the stretches before and after, agrees with theirs."""
+        ids = self.piece(before[0] + window + after[0])
+        m, n = len(before[1]), len(ids) - len(after[1])
+        return ids[m:n] if m <= n and ids[:m] == before[1] and ids[n:] == after[1] else None
+
     def encode(self, text: str) -> array:
-        ids = array("I")
+        ids, nothing = array("I"), ("", array("I"))
         for k, part in enumerate(text.split(SPECIAL)):
             if k:
                 ids.append(self.special)
-            open_text, start = "", 0
+            before, window, start = nothing, "", 0
+            mark, left, since = len(ids), nothing, ""  # to where ids stand without the last chunk; what stood before it; the text since
             for end in cuts(part, self.average):
-                head, core, tail = self.inside(part[start:end])
+                chunk = self.inside(part[start:end])
                 start = end
-                # A border can lie right on the join: then the piece before it is whole, which the window's own encoding yields too.
-                if core is None:
-                    open_text += head
-                else:
-                    ids.extend(self.coder.encode_ordinary(open_text + head))
-                    ids.extend(core)
-                    open_text = tail
-            ids.extend(self.coder.encode_ordinary(open_text))
+                if chunk.core is None:
+                    window += chunk.text
+                    since += chunk.text
+                    continue
+                between = self.join(before, window + chunk.head, chunk.first)
+                if between is None:
+                    self.grown += 1
+                    del ids[mark:]
+                    since += chunk.text
+                    before, window = left, since
+                    continue
+                mark, left, since = len(ids), before, window + chunk.text
+                for x in (between, chunk.first[1], chunk.core, chunk.last[1]):
+                    ids.extend(x)
+                before, window = chunk.last, chunk.tail
+            rest = self.join(before, window, nothing)
+            if rest is None:
+                del ids[mark:]
+                # What stood before the last chunk agreed with it at a border, so the rest can be encoded from there.
+                rest = self.piece(since)
+            ids.extend(rest)
         return ids
 
     def decode(self, ids: array) -> bytes:
@@ -135,31 +189,124 @@ def coder_of(path: str) -> ChunkCoder:
     return _coders[path]
 
 
-def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
-    """The columns named in keep, n_tokens, ids (if asked for), the hashes of ids and of the decoded text, and whether decoding gave the text back."""
+def chunk_hash(text: str) -> tuple[int, int]:
+    import xxhash
+
+    h = xxhash.xxh3_128_intdigest(text.encode())
+    return (h >> 64) - 2**63, (h & (2**64 - 1)) - 2**63
+
+
+def shared_chunks(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", chars: int = DICTIONARY_CHARS, average: int = AVERAGE) -> list[tuple]:
+    """Chunks (text, ids by stretch) that occur twice or more over all documents and spare most, up to chars code points and DICTIONARY_CHUNKS chunks; each encoded once.
+
+    A chunk is found again through the least id of its documents; rows without an id name none.
+    """
+    small_batches(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        where: dict[tuple, tuple[int, int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            keys = list(seen)
+            out = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([k[0] for k in keys], [k[1] for k in keys], [seen[k] for k in keys], [where[k][0] for k in keys], [where[k][1] for k in keys])], names=["a", "b", "n", "chars", "doc"])
+            seen.clear(), where.clear()
+            return out
+
+        for batch in batches:
+            for i, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for part in value.split(SPECIAL):
+                    start = 0
+                    for end in cuts(part, average):
+                        key = chunk_hash(part[start:end])
+                        seen[key] += 1
+                        if key not in where or i < where[key][1]:
+                            where[key] = end - start, i
+                        start = end
+            if len(seen) > FLUSH:
+                yield flush()
+        yield flush()
+
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("i"), body(text).alias("t"))
+    counted = rows.mapInArrow(freeing(count), "a bigint, b bigint, n bigint, chars bigint, doc bigint").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("chars").alias("chars"), F.min("doc").alias("doc"))
+    top = counted.where("n > 1").orderBy(F.desc(F.expr("(n - 1) * chars")), "a", "b").limit(DICTIONARY_CHUNKS).collect()
+    wanted, ids, room = set(), set(), chars
+    for r in top:
+        room -= r.chars
+        if room < 0:
+            break
+        wanted.add((r.a, r.b))
+        ids.add(r.doc)
+    if not wanted:
+        return []
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+    few = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in sorted(ids)], "i bigint").coalesce(1))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, done = coder_of(path), set()
+        for batch in batches:
+            out = []
+            for value in batch.column(0).to_pylist():
+                for part in value.split(SPECIAL):
+                    start = 0
+                    for end in cuts(part, average):
+                        piece, start = part[start:end], end
+                        key = chunk_hash(piece)
+                        if key in sent.value and key not in done:
+                            done.add(key)
+                            c = Chunk(piece, coder.piece)
+                            if c.core is not None:
+                                out.append((*key, piece, *(x.tolist() for x in (c.first[1], c.core, c.last[1]))))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), *[pa.list_(pa.int64())] * 3), strict=True)], names=["a", "b", "t", "x", "y", "z"])
+
+    found = rows.join(few, "i", "left_semi").select("t").mapInArrow(freeing(encode), "a bigint, b bigint, t string, x array<bigint>, y array<bigint>, z array<bigint>")
+    return [(r.t, r.x, r.y, r.z) for r in found.dropDuplicates(["a", "b"]).collect()]  # at most `chars` code points
+
+
+def known_chunks(coder: ChunkCoder, rows: list[tuple]) -> None:
+    """Gives the coder the chunks of shared_chunks()."""
+    coder.shared = {}
+    for text, *ids in rows:
+        ready = iter([array("I", ids[0]), array("I", ids[2]), array("I", ids[1])])  # in the order in which a chunk asks for them
+        coder.shared[text] = Chunk(text, lambda _, ready=ready: next(ready))
+
+
+RESULT = ("n_tokens", "ids", "ids_sha256", "decoded_sha256", "exact", "n_chunks", "n_shared")
+
+
+def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True, shared: list[tuple] | None = None) -> DataFrame:
+    """The columns named in keep, n_tokens, ids (if asked for), the hashes of ids and of the decoded text, whether decoding gave the text back, the text's chunks and how many of them came from the shared ones."""
+    clash = {*keep} & {*RESULT}
+    if clash:
+        raise ValueError(f"keep names columns of the result: {', '.join(sorted(clash))}")
     small_batches(docs.sparkSession)
     rows = docs.select(*keep, body(text).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", n_tokens bigint" + ", ids array<int>" * ids + ", ids_sha256 string, decoded_sha256 string, exact boolean"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", n_tokens bigint" + ", ids array<int>" * ids + ", ids_sha256 string, decoded_sha256 string, exact boolean, n_chunks bigint, n_shared bigint"
+    sent = docs.sparkSession.sparkContext.broadcast(shared or [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(path)
+        known_chunks(coder, sent.value)
         for batch in batches:
-            n, all_ids, digest, decoded, exact = [], [], [], [], []
+            n, all_ids, digest, decoded, exact, chunks, met = [], [], [], [], [], [], []
             for value in batch.column(batch.num_columns - 1).to_pylist():
+                coder.chunks = coder.from_shared = 0
                 out = coder.encode(value)
                 back = coder.decode(out)
                 n.append(len(out))
                 digest.append(hashlib.sha256(out.tobytes() if out.itemsize == 4 else np.array(out, "<u4").tobytes()).hexdigest())
                 decoded.append(hashlib.sha256(back).hexdigest())
                 exact.append(back == value.encode())
+                chunks.append(coder.chunks)
+                met.append(coder.from_shared)
                 if ids:
                     all_ids.append(np.frombuffer(out, np.int32) if len(out) else np.empty(0, np.int32))
             columns = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(n, pa.int64())]
-            names = [*keep, "n_tokens"]
             if ids:
                 columns.append(pa.array(all_ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(digest, pa.string()), pa.array(decoded, pa.string()), pa.array(exact, pa.bool_())], names=[*names, "ids_sha256", "decoded_sha256", "exact"])
+            columns += [pa.array(digest, pa.string()), pa.array(decoded, pa.string()), pa.array(exact, pa.bool_()), pa.array(chunks, pa.int64()), pa.array(met, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(x for x in RESULT if ids or x != "ids")])
 
     return rows.mapInArrow(freeing(run), schema)
 
@@ -185,5 +332,6 @@ def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return encode_documents(docs, public_vocabulary(), ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", F.col("exact").alias("round_trip"))
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), public_vocabulary()
+    out = encode_documents(docs, path, ids=False, shared=shared_chunks(docs, path))
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", F.col("exact").alias("round_trip"), "n_chunks", "n_shared")
