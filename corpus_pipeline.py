@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm.bpe import encode_documents, public_vocabulary
+from lectern.llm.bpe import encode_documents, public_vocabulary, shared_chunks
 from lectern.llm.dartminhash import drop_near_duplicates
 from lectern.llm.mixing import sample_documents
 from lectern.llm.secrets import redact_documents
@@ -32,7 +32,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_documents(docs, public_vocabulary(), keep=("doc_id", "lang", "source", "n_chars"))
+    path = public_vocabulary()
+    return encode_documents(docs, path, keep=("doc_id", "lang", "source", "n_chars"), shared=shared_chunks(docs, path))
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("mixing", mixing), ("bpe", bpe)]
