@@ -333,7 +333,9 @@ def told(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """For each row of docs: its id, its text's digest h, the class's number and name, n_copies and n_links."""
     keys = materialize(band_keys(docs), "bands")
     nodes = keys.groupBy("h").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written once, so the numbers stay
+    # Numbers in the order of the least ids, as an original mostly comes before its copies and then is the end of most of
+    # their buckets; written once, so they stay.
+    nodes = materialize(nodes.orderBy(F.col("least").asc_nulls_last(), "h").withColumn("node", F.monotonically_increasing_id()), "nodes")
     edges = materialize(links(nodes.select("h", F.col("node").alias("id"), "bands"), docs, threshold), "edges")
     degree = edges.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     linked = materialize(components(edges).join(degree, "id").join(nodes.select(F.col("node").alias("id"), "least"), "id"), "linked")
