@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions.text import collapse
@@ -64,6 +67,55 @@ def windows(df: DataFrame, clean: str = "clean", size: int = SIZE, overlap: int
     return df.withColumn("__p", piece).select(*keep, "chunk_no", F.array_join("__p", " ").alias("chunk"), F.size("__p").alias("n_tokens"))
 
 
+class Whitespace:
+    """C4's tokenizer interface: encode gives a text's tokens, decode a text; this stand-in's tokens are words parted by white space."""
+
+    def encode(self, text: str) -> list:
+        return text.split()
+
+    def decode(self, tokens: list) -> str:
+        return " ".join(tokens)
+
+
+class LibraryTokenizer:
+    """A tokenizer file of the tokenizers library (wordpiece, byte pairs), without special tokens."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path)
+        self.model.no_truncation()
+        self.model.no_padding()
+
+    def encode(self, text: str) -> list:
+        return self.model.encode(text, add_special_tokens=False).ids
+
+    def decode(self, tokens: list) -> str:
+        return self.model.decode(tokens, skip_special_tokens=True)
+
+
+def token_windows(df: DataFrame, make=Whitespace, clean: str = "clean", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """C4 by a tokenizer, made once a task: df without `clean` and with chunk_no, chunk (decoded) and n_tokens, by the rule of windows()."""
+    window_count(F.lit(0), size, overlap)  # checks the sizes
+    keep = [c for c in df.columns if c != clean]
+    rows = df.select(*keep, clean)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", chunk_no int, chunk string, n_tokens int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = make()
+        for batch in batches:
+            row, number, text, count = [], [], [], []
+            for k, value in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                tokens = tokenizer.encode(value or "")
+                for at, start in enumerate(range(0, max(len(tokens) - overlap, min(len(tokens), 1)), size - overlap)):
+                    part = tokens[start : start + size]
+                    row.append(k), number.append(at), text.append(tokenizer.decode(part)), count.append(len(part))
+            taken = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(taken) for c in batch.columns[:-1]), pa.array(number, pa.int32()), pa.array(text, pa.string()), pa.array(count, pa.int32())], names=[*keep, "chunk_no", "chunk", "n_tokens"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def preprocess(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, strip_page1: bool = True) -> DataFrame:
     """Guard, boilerplate filter of first pages, collapse, windows."""
     kept, _ = guard(pages)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lectern.functions.text import clean_answer, clean_question, words
 
@@ -47,8 +47,8 @@ def removed(rows: DataFrame) -> DataFrame:
 
 def value_counts(rows: DataFrame, column: str) -> DataFrame:
     """Values by falling count, with their share."""
-    total = rows.where(F.col(column).isNotNull()).count()
-    return rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / F.lit(float(max(total, 1)))).orderBy(F.desc("n"), column)
+    counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("share", F.col("n").cast("double") / F.sum("n").over(Window.partitionBy())).orderBy(F.desc("n"), column)  # a row for each value
 
 
 def histogram(rows: DataFrame, value: str, most: int) -> DataFrame:

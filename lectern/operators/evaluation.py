@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 KS = (1, 3, 5)
 
@@ -43,14 +43,24 @@ def compare_single(full: DataFrame, single: DataFrame) -> DataFrame:
     return both.withColumn("rank_improvement", (F.coalesce(f, F.lit(99)) - F.coalesce(s, F.lit(99))).cast("bigint")).withColumn("cross_document_interference", s.isNotNull() & (f.isNull() | F.coalesce(f > s, F.lit(False))))
 
 
+def single_summary(compared: DataFrame) -> DataFrame:
+    """How many questions rank better in their own document's index, and how many it misses, too."""
+    return compared.agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.col("rank_improvement") > 0).alias("improved"), F.count_if(F.col("single_rank").isNull()).alias("still_missing"))
+
+
+def miss_list(per_question: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """Questions without a match among the retrieved, with what was retrieved instead, by rank."""
+    got = retrieved.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("retrieved"))
+    return per_question.where("not hit_at_5").select("qid").join(got, "qid", "left")
+
+
 def buckets(rows: DataFrame, retrieved: str, answered: str) -> DataFrame:
     """Counts and shares of the four outcomes, all present."""
     spark = rows.sparkSession
     names = spark.createDataFrame([(True, True, "both correct"), (True, False, "retrieval only"), (False, True, "answer only"), (False, False, "both wrong")], "r boolean, a boolean, bucket string")
     counts = rows.groupBy(F.col(retrieved).alias("r"), F.col(answered).alias("a")).agg(F.count(F.lit(1)).alias("n"))
     out = names.join(counts, ["r", "a"], "left").select("bucket", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
-    total = rows.where(F.col(retrieved).isNotNull() & F.col(answered).isNotNull()).count()
-    return out.withColumn("share", F.lit(0.0) if not total else F.col("n") / F.lit(float(total)))
+    return out.withColumn("share", F.coalesce(F.try_divide(F.col("n").cast("double"), F.sum("n").over(Window.partitionBy())), F.lit(0.0)))  # four rows
 
 
 def method_summary(rows: DataFrame, methods: list[str]) -> DataFrame:
@@ -64,5 +74,4 @@ def method_summary(rows: DataFrame, methods: list[str]) -> DataFrame:
 def shares(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Each key's part of the total; keys that begin with "0." are left out."""
     sums = rows.where(~F.col(key).startswith("0.")).groupBy(key).agg(F.sum(value).alias("amount"))
-    total = sums.agg(F.sum("amount")).first()[0]
-    return sums.withColumn("share", F.try_divide(F.col("amount"), F.lit(total).cast("double")))
+    return sums.withColumn("share", F.try_divide(F.col("amount").cast("double"), F.sum("amount").over(Window.partitionBy())))  # a row for each key

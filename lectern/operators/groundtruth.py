@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from lectern.functions.text import normalise_probe
+from lectern.functions.text import normalise_probe, words
+from lectern.operators.vectors import knn
 
 WINDOW, BLOCK = 15, 4096
 
@@ -19,7 +20,7 @@ def consistent(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def probes(chunks: DataFrame, id_: str, doc: str, n: int = 40, seed: int = 0) -> DataFrame:
     """H2: n ids by the order of their hash, each document's first, the first and the last of all."""
-    some = chunks.select(F.col(id_).alias("id")).orderBy(F.xxhash64(id_, F.lit(seed)), id_).limit(n)
+    some = chunks.select(F.col(id_).alias("id")).orderBy(F.md5(F.concat_ws("-", F.col(id_).cast("string"), F.lit(str(seed))).cast("binary")), id_).limit(n)
     return some.union(chunks.groupBy(doc).agg(F.min(id_)).select(f"min({id_})")).union(chunks.agg(F.min(id_))).union(chunks.agg(F.max(id_))).distinct()
 
 
@@ -109,5 +110,29 @@ def rollup(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("page")).alias("pages"))
 
 
-def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+def self_retrieval(targets: DataFrame, index: DataFrame, embedder, k: int = 5) -> DataFrame:
+    """H8: each target chunk (qid, position, source_file, page, chunk, answer) sought by its whole text, by fifteen words of its middle and by the fifteen that hold most of the answer; a row for each with first_distance, same_chunk, hit_at_1 and first_correct_rank.
+
+    index: position, source_file, page, chunk, embedding; embedder(df, text) adds the embedding.
+    """
+    w = words(F.col("chunk"))
+    t = best_window(targets.withColumn("w", w).withColumn("a", words(normalise_probe(F.col("answer")))).withColumn("lower", F.transform("w", F.lower)), "lower", "a", "window")
+    kinds = {"full_text": F.col("chunk"), "substring_midchunk": mid_slice(F.col("w")), "substring_answer_window": F.col("window")}
+    asked = t.select("qid", "position", "source_file", "page", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(n).alias("kind"), x.alias("query")) for i, (n, x) in enumerate(kinds.items())))).alias("x"))
+    asked = asked.select((F.col("qid") * len(kinds) + F.col("x.i")).alias("ask"), "qid", F.col("position").alias("own"), F.col("source_file").alias("own_file"), F.col("page").alias("own_page"), F.col("x.kind").alias("kind"), F.col("x.query").alias("query"))
+    top = knn(embedder(asked.select("ask", "query"), "query"), index, k, "ask", "position").withColumnRenamed("qid", "ask")
+    top = top.join(index.select(F.col("position").alias("id"), "source_file", "page"), "id").join(asked.drop("query"), "ask")
+    right = F.col("source_file").eqNullSafe(F.col("own_file")) & F.col("page").eqNullSafe(F.col("own_page"))
+    return top.groupBy("qid", "kind").agg(
+        F.min("score").alias("first_distance"),
+        F.bool_or((F.col("rank") == 1) & (F.col("id") == F.col("own"))).alias("same_chunk"),
+        F.bool_or((F.col("rank") == 1) & right).alias("hit_at_1"),
+        F.min(F.when(right, F.col("rank"))).alias("first_correct_rank"),
+    )
+
+
+def verdict(found: DataFrame, aligned: Column) -> DataFrame:
+    """H8: hits at rank 1 by kind of query, and whether the index is aligned: no row lost or moved, and every chunk finds its own page."""
+    hits = lambda k: F.count_if((F.col("kind") == k) & F.col("hit_at_1")).alias(k)
+    one = found.agg(F.count_distinct("qid").alias("targets"), *(hits(k) for k in ("full_text", "substring_midchunk", "substring_answer_window")))
+    return one.withColumn("clean", aligned & (F.col("full_text") == F.col("targets")))

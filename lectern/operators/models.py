@@ -5,10 +5,10 @@ from __future__ import annotations
 import os
 
 
-def device() -> str:
-    """M6: gpu, cpu or npu from SA_DEVICE; cpu if it names none of them."""
-    asked = os.environ.get("SA_DEVICE", "gpu").lower()
-    return asked if asked in ("gpu", "cpu", "npu") else "cpu"
+def device(asked: str | None = None, available: tuple[str, ...] = ("gpu", "cpu", "npu")) -> str:
+    """M6: the device asked for, or named by LECTERN_DEVICE, gpu if neither is; cpu if it isn't there."""
+    name = (asked or os.environ.get("LECTERN_DEVICE", "gpu")).lower()
+    return name if name in available else "cpu"
 
 
 def _need(module: str):
@@ -53,6 +53,31 @@ class ImageReader:
         return out
 
 
+class ImageScanner:
+    """Bytes of an image to text by a first reader; where it fails or reads nothing, by the fallback (text recognition and a caption, M4)."""
+
+    def __init__(self, first, fallback):
+        self.first, self.fallback = first, fallback
+
+    def __call__(self, data: bytes) -> str:
+        try:
+            out = self.first(data)
+        except Exception:  # noqa: BLE001  any failure of the first reader sends the image to the second
+            out = ""
+        return out if out and out.strip() else self.fallback(data)
+
+
+class RecognizerAndCaptioner:
+    """Bytes of an image to the text found in it and a caption, each only if it isn't blank."""
+
+    def __init__(self, recognize, caption):
+        self.recognize, self.caption = recognize, caption
+
+    def __call__(self, data: bytes) -> str:
+        parts = (("Extracted text: ", self.recognize(data)), ("Image description: ", self.caption(data)))
+        return "\n\n".join(head + x for head, x in parts if x and x.strip())
+
+
 class Transcriber:
     """M5: path of a sound file to text."""
 

@@ -20,16 +20,15 @@ class HashingEmbedder:
         self.dim, self.seen = dim, {}
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        for row, text in zip(out, texts, strict=True):
-            for word in (text or "").lower().split(" "):
-                if word:
-                    k = self.seen.get(word)
-                    if k is None:
-                        if len(self.seen) > 500_000:
-                            self.seen.clear()
-                        k = self.seen[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
-                    row[k] += 1
+        parts = [(text or "").lower().split(" ") for text in texts]
+        if len(self.seen) > 500_000:
+            self.seen.clear()
+        for word in {w for p in parts for w in p} - self.seen.keys():
+            self.seen[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim if word else -1
+        n = np.fromiter(map(len, parts), np.int64, len(parts))
+        at = np.fromiter((self.seen[w] for p in parts for w in p), np.int64, int(n.sum()))
+        row = np.repeat(np.arange(len(texts)), n)
+        out = np.bincount((row * self.dim + at)[at >= 0], minlength=len(texts) * self.dim).reshape(len(texts), self.dim).astype(float)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0)
 
@@ -42,14 +41,19 @@ def embed(df: DataFrame, text: str, out: str = "embedding", make=HashingEmbedder
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
         for batch in batches:
-            vectors = model(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(vectors), pa.list_(pa.float64()))], names=[*batch.schema.names, out])
+            vectors = np.ascontiguousarray(model(batch.column(at).to_pylist()), float)
+            width = vectors.shape[1] if vectors.ndim == 2 else 0
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, batch.num_rows * width + 1, width or 1, dtype=np.int32)[: batch.num_rows + 1]), pa.array(vectors.reshape(-1))) if width else pa.array([[]] * batch.num_rows, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, out])
 
     return df.mapInArrow(run, schema)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors as rows; all must have one length."""
     flat = np.asarray(column.flatten(), float)
+    if len(column) and len(flat) % len(column):
+        raise ValueError("vectors of different lengths")
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
@@ -65,6 +69,8 @@ def blocks_of(queries: DataFrame, columns: list[str]) -> Iterator[pa.Table]:
 def scan(queries: DataFrame, vectors: DataFrame, qid: str, id_: str, kernel, schema: str, carry: tuple[str, ...] = (), qcarry: tuple[str, ...] = (), vector: str = "embedding") -> DataFrame:
     """kernel(query ids, query matrix, query columns, ids, matrix, columns) on every batch of vectors, for each block of queries."""
     out = []
+    # A row without a vector is near to nothing: it isn't searched, nor found.
+    queries, vectors = queries.where(F.col(vector).isNotNull()), vectors.where(F.col(vector).isNotNull())
     for table in blocks_of(queries.withColumnRenamed(qid, "__q") if qid != "__q" else queries, ["__q", vector, *qcarry]):
         sent = vectors.sparkSession.sparkContext.broadcast((table["__q"].to_numpy(), matrix(table[vector].combine_chunks()), [table[c].to_pylist() for c in qcarry]))
 
@@ -98,8 +104,10 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 3, qid: str = "qid", id
     def kernel(q, m, extra, ids, x, cols):
         d = squared(m, x) if metric == "l2" else -(m @ x.T) / np.maximum(np.outer(np.linalg.norm(m, axis=1), np.linalg.norm(x, axis=1)), 1e-300)
         if same:
-            own = np.array([hash(v) for v in cols[0]])
-            d = np.where(np.array([hash(v) for v in extra[0]])[:, None] == own[None], d, np.inf)
+            codes: dict = {}
+            code = lambda v: -1 if v is None else codes.setdefault(v, len(codes))
+            own, asked = np.array([code(v) for v in cols[0]]), np.array([code(v) for v in extra[0]])
+            d = np.where((asked[:, None] == own[None]) & (asked[:, None] >= 0), d, np.inf)
         if exclude_self:
             d = np.where(q[:, None] == ids[None], np.inf, d)
         at = nearest(d, ids, k)
@@ -144,6 +152,14 @@ def count_above(queries: DataFrame, vectors: DataFrame, qid: str, id_: str, thre
     return scan(queries, vectors, qid, id_, kernel, "qid bigint, n bigint", (), (threshold,)).groupBy("qid").agg(F.sum("n").alias("n_above"))
 
 
+def per_sample(questions: DataFrame, chunks: DataFrame, sample: str, k: int = 3, least: int = 1, embedder=None) -> DataFrame:
+    """V6: each question's k nearest chunks within its own sample: qid, id, rank. A sample whose text is shorter than `least` code points finds nothing, so its answer is empty."""
+    embedder = embedder or embed
+    long = chunks.groupBy(sample).agg(F.sum(F.length("chunk")).alias("__n")).where(F.col("__n") >= least).select(sample)
+    index = embedder(chunks.join(long, sample, "left_semi").select("id", sample, "chunk"), "chunk")
+    return knn(embedder(questions.select("qid", sample, "question"), "question"), index, k, "qid", "id", same=sample)
+
+
 def norm(v: Column) -> Column:
     """V8."""
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))

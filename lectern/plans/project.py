@@ -8,7 +8,7 @@ from collections import OrderedDict
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.functions.text import fix_number_spacing, source_label
+from lectern.functions.text import fix_number_spacing, safe_name, source_label
 from lectern.operators.chunking import preprocess
 from lectern.operators.generation import answered, budget_context, generate
 from lectern.operators.vectors import HashingEmbedder, embed, knn
@@ -25,6 +25,16 @@ def build(pages: DataFrame, path: str, make=HashingEmbedder) -> tuple[DataFrame,
     return index, store.stats(index), failures
 
 
+def create(spark: SparkSession, root: str, name: str) -> str:
+    """The folder of a project, made if it isn't there; names are those of N13."""
+    safe = spark.range(1).select(safe_name(F.lit(name)).alias("x")).first().x
+    if safe is None:
+        raise ValueError("the project's name has no character that a folder's name may have")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{safe}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    return f"{root}/{safe}"
+
+
 class IndexCache:
     """At most `most` built indexes by (project, signature); the one unused longest goes first."""
 

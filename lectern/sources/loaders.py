@@ -10,7 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.functions.text import modality
+from lectern.functions.text import blank, modality
 
 PAGES = "source_file string, page int, text string, error string"
 TYPES = ("pdf", "image", "audio", "text")
@@ -40,13 +40,13 @@ def parse_files(spark: SparkSession, folder: str, kind: str, parser: Callable[[b
                     rows.append((name, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["source_file", "page", "text", "error"])
 
-    return files.mapInPandas(run, PAGES).where("error is not null or trim(text) <> ''")
+    return files.mapInPandas(run, PAGES).where(F.col("error").isNotNull() | ~blank(F.col("text")))
 
 
 def read_text(spark: SparkSession, folder: str) -> DataFrame:
     """One record for each text file, its contents whole; blank ones go."""
     df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    return df.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("source_file"), F.lit(None).cast("int").alias("page"), F.col("value").alias("text"), F.lit(None).cast("string").alias("error")).where("trim(text) <> ''")
+    return df.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("source_file"), F.lit(None).cast("int").alias("page"), F.col("value").alias("text"), F.lit(None).cast("string").alias("error")).where(~blank(F.col("text")))
 
 
 def raw_text(spark: SparkSession, text: str) -> DataFrame:
@@ -64,6 +64,28 @@ def load_folder(spark: SparkSession, folder: str, parsers: dict[str, Callable[[b
     return reduce(DataFrame.unionByName, parts)
 
 
+def in_order(pages: DataFrame, names: list[str]) -> DataFrame:
+    """Pages of the named files with their document's place in the list; a file without pages is an error."""
+    places = pages.sparkSession.createDataFrame(list(enumerate(names)), "doc_order int, source_file string")
+    missing = [r.source_file for r in places.join(pages, "source_file", "left_anti").orderBy("doc_order").collect()]  # of the list's files
+    if missing:
+        raise FileNotFoundError(f"no pages of {', '.join(missing)}")
+    return pages.join(F.broadcast(places), "source_file")
+
+
+def import_samples(spark: SparkSession, folder: str, target: str) -> DataFrame:
+    """Copies all files that some loader knows into a folder, through Spark's file systems; returns their names."""
+    files = list_files(spark, folder)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(conf)
+    fs.mkdirs(path(target))
+    for r in files.select("path", "name").collect():  # a folder of samples
+        source = path(r.path)
+        jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, fs, path(f"{target}/{r.name}"), False, True, conf)
+    return files.select("name", "modality")
+
+
 def by_suffix(reader: Callable[[str], str], suffix: str) -> Callable[[bytes], str]:
     """A parser from a reader that wants a path: the bytes go to a file of the worker's own for as long as it reads."""
 
@@ -78,9 +100,9 @@ def by_suffix(reader: Callable[[str], str], suffix: str) -> Callable[[bytes], st
     return parse
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """An array of objects, or one object a line."""
-    return spark.read.json(path, multiLine=True)
+def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """An array of objects, or, with lines, one object a line."""
+    return spark.read.json(path, multiLine=not lines)
 
 
 def read_csv(spark: SparkSession, path: str, arrays: tuple[str, ...] = ()) -> DataFrame:

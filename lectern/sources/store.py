@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which the driver and all executors see; on this machine alone, in a temporary folder where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
+    return f"{root}/lectern-store/{tag}-{uuid.uuid4().hex}"
+
+
 def save(chunks: DataFrame, path: str, by: str | None = None) -> None:
     """K1, K6: one Parquet table, in place of what was there."""
     w = chunks.write.mode("overwrite")
@@ -35,7 +49,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def append_absent(new: DataFrame, path: str, key: str) -> None:
-    """K7: rows whose key the table hasn't yet; nothing is replaced."""
+    """K7: rows whose key the table hasn't yet; nothing is replaced. For one writer at a time: two may both find a key absent."""
     try:
         new = new.join(new.sparkSession.read.parquet(path).select(key), key, "left_anti")
     except Exception as e:  # noqa: BLE001

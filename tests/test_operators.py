@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as fn
-from lectern.operators import boilerplate, chunking, evaluation, generation, groundtruth, layout, vectors
+from lectern.operators import boilerplate, chunking, evaluation, generation, groundtruth, layout, models, vectors
 from lectern.plans import project
 from lectern.sources import loaders, store
 from lectern.streaming import ingest
@@ -74,16 +74,34 @@ def test_answer_class(spark, n, name):
 
 
 @pytest.mark.parametrize(("needs", "budget", "got"), [([300] * 5, 1000, [270, 230, 195, 165, 140]), ([220] * 3, 500, [195, 165, 140]), ([50, 400, 400], 600, [50, 298, 252]), ([0, 100, 10], 60, [0, 50, 10]), ([10] * 3, 2, [1, 1, 0]), ([5, 5], 100, [5, 5]), ([220] * 8, 983, [204, 173, 147, 125, 105, 89, 76, 64]), ([10] * 8, 8, [2, 2, 2, 2, 0, 0, 0, 0])])
-def test_budget(needs, budget, got):
-    assert generation.shares_of(needs, budget) == got
-
-
-def test_budget_invariants():
+def test_budget(spark, needs, budget, got):
+    df = spark.createDataFrame([(needs, budget)], "needs array<int>, budget int")
+    assert df.select(generation.allocate_budget(F.col("needs"), F.col("budget")).alias("x")).first().x == got
+
+
+def dealt(needs, budget):
+    """The rule step by step."""
+    got = [0] * len(needs)
+    while budget > 0:
+        hungry = [k for k in range(len(needs)) if got[k] < needs[k]]
+        pool, total = budget, sum(0.85**k for k in hungry)
+        for k in hungry:
+            add = min(int(pool * 0.85**k / total), needs[k] - got[k], budget)
+            got[k], budget = got[k] + add, budget - add
+        if not hungry or budget == pool:
+            for k in hungry[:budget]:
+                got[k] += 1
+            break
+    return got
+
+
+def test_budget_is_the_rule(spark):
     r = random.Random(0)
-    for _ in range(500):
-        needs, budget = [r.randrange(50) for _ in range(r.randrange(9))], r.randrange(200)
-        got = generation.shares_of(needs, budget)
-        assert sum(got) == min(sum(needs), budget) and all(a <= b for a, b in zip(got, needs, strict=True))
+    rows = [([r.randrange(50) for _ in range(r.randrange(9))], r.randrange(200)) for _ in range(300)] + [([], 5), ([3], 0)]
+    df = spark.createDataFrame(rows, "needs array<int>, budget int")
+    for row in df.withColumn("got", generation.allocate_budget(F.col("needs"), F.col("budget"))).collect():
+        assert row.got == dealt(row.needs, row.budget)
+        assert sum(row.got) == min(sum(row.needs), row.budget)
 
 
 def test_layout(spark):
@@ -187,3 +205,95 @@ def test_stream_appends_each_file_once(spark, tmp_path):
         pages.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / "out")).count() == n
+
+
+def test_white_space_and_digits_of_other_scripts(spark):
+    assert value(spark, fn.normalise_answer(F.col("t")), t="1\u00a0550") == "1550"
+    assert value(spark, fn.fix_number_spacing(F.col("t")), t="1\u00a0.\u00a05 $\u20035") == "1.5 $5"
+    assert value(spark, fn.blank(F.col("t")), t="\n\t\u00a0\u2003") is True and value(spark, fn.stripped(F.col("t")), t="\u00a0a b\u2003") == "a b"
+    assert value(spark, fn.degenerate(F.col("t")), t="\u00a0(1,\u0663)") is True
+
+
+@pytest.mark.parametrize(("line", "flag"), [("Laboratory of Things", "institution"), ("National Laboratories", "institution"), ("J. R. R. T. Smith, A. Doe", "initials"), ("Jane Doe", "name")])
+def test_fixed_patterns(spark, line, flag):
+    assert value(spark, fn.line_flags(F.col("t")), t=line)[flag] is True
+
+
+def test_knn_of_labels_and_nulls(spark):
+    rows = [(0, [0.0, 1.0], -1), (1, [0.0, 2.0], -1), (2, [0.0, 1.0], -2), (3, None, -1), (4, [5.0, 5.0], None)]
+    df = spark.createDataFrame(rows, "id bigint, embedding array<double>, label int")
+    q = df.where("id in (0, 3, 4)").withColumnRenamed("id", "qid")
+    assert sorted((r.qid, r.id) for r in vectors.knn(q, df, 5, same="label").collect()) == [(0, 0), (0, 1)]
+
+
+def test_per_sample(spark):
+    chunks = spark.createDataFrame([(1, 1, "red apples grow"), (2, 1, "blue sky above"), (3, 2, "red apples grow"), (4, 3, "x")], "id bigint, sample int, chunk string")
+    asked = spark.createDataFrame([(1, 1, "red apples"), (2, 2, "blue sky"), (3, 3, "x")], "qid bigint, sample int, question string")
+    got = vectors.per_sample(asked, chunks, "sample", 1, least=5).collect()
+    assert sorted((r.qid, r.id) for r in got) == [(1, 1), (2, 3)]
+
+
+def test_self_retrieval_against_brute_force(spark):
+    import numpy as np
+
+    texts = [" ".join(f"w{(i * 37 + k * (i + 3)) % 101}" for k in range(60)) for i in range(12)]
+    index = vectors.embed(spark.createDataFrame([(i, f"f{i % 3}", i, t) for i, t in enumerate(texts)], "position bigint, source_file string, page bigint, chunk string"), "chunk")
+    asked = spark.createDataFrame([(i, i, f"f{i % 3}", i, texts[i], " ".join(texts[i].split()[20:30])) for i in range(12)], "qid bigint, position bigint, source_file string, page bigint, chunk string, answer string")
+    out = groundtruth.self_retrieval(asked, index, vectors.embed)
+    model = vectors.HashingEmbedder()
+    x = model(texts)
+    for r in out.collect():
+        w = texts[r.qid].split()
+        a = set(w[20:30])
+        start = max(range(len(w) - 14), key=lambda s: len(set(w[s : s + 15]) & a))
+        text = {"full_text": texts[r.qid], "substring_midchunk": " ".join(w[23:38]), "substring_answer_window": " ".join(w[start : start + 15])}[r.kind]
+        dist = ((model([text]) - x) ** 2).sum(axis=1)
+        order = sorted(range(12), key=lambda k: (dist[k], k))[:5]
+        assert abs(r.first_distance - dist[order[0]]) < 1e-9
+        assert r.first_correct_rank == (order.index(r.qid) + 1 if r.qid in order else None) and r.hit_at_1 == (order[0] == r.qid)
+    v = groundtruth.verdict(out, F.lit(True)).first()
+    assert v.targets == 12 and v.full_text == 12 and v.clean
+
+
+def test_token_windows_by_a_vocabulary(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    words = [f"w{i}" for i in range(500)]
+    t = Tokenizer(models.WordLevel({w: i for i, w in enumerate([*words, "[UNK]"])}, unk_token="[UNK]"))
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    t.save(str(tmp_path / "t.json"))
+    df = spark.createDataFrame([(n, " ".join(words[:n])) for n in (0, 1, 220, 221, 401)] + [(-1, None)], "id int, clean string")
+    got = chunking.token_windows(df, lambda p=str(tmp_path / "t.json"): chunking.LibraryTokenizer(p)).collect()
+    plain = chunking.windows(df).collect()
+    assert sorted((r.id, r.chunk_no, r.chunk, r.n_tokens) for r in got) == sorted((r.id, r.chunk_no, r.chunk, r.n_tokens) for r in plain)
+
+
+def test_readers_of_images():
+    def fails(data):
+        raise RuntimeError
+
+    both = models.RecognizerAndCaptioner(lambda d: " found ", lambda d: "")
+    assert models.ImageScanner(fails, both)(b"x") == models.ImageScanner(lambda d: " ", both)(b"x") == "Extracted text:  found "
+    assert models.ImageScanner(lambda d: "read", both)(b"x") == "read"
+    assert models.device("npu", ("gpu", "cpu")) == "cpu" == models.device("toaster") and models.device("GPU") == "gpu"
+
+
+def test_files_in_order_and_samples(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for n in "ab":
+        (tmp_path / f"in/{n}.txt").write_text(f"text of {n}")
+    (tmp_path / "in/c.docx").write_text("no loader")
+    assert [r.name for r in loaders.import_samples(spark, str(tmp_path / "in"), project.create(spark, str(tmp_path), "my: project")).collect()] == ["a.txt", "b.txt"]
+    rows = loaders.read_text(spark, str(tmp_path / "my project"))
+    assert sorted((r.doc_order, r.source_file) for r in loaders.in_order(rows, ["b.txt", "a.txt"]).collect()) == [(0, "b.txt"), (1, "a.txt")]
+    with pytest.raises(FileNotFoundError):
+        loaders.in_order(rows, ["a.txt", "z.txt"])
+    with pytest.raises(ValueError):
+        project.create(spark, str(tmp_path), ' .<>. ')
+
+
+def test_pages_of_null_sources_stay(spark, tmp_path):
+    from lectern import queries
+
+    spark.createDataFrame([(4, None, "a b"), (6, None, "c"), (1, "s", "d")], "doc_id bigint, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted((r.doc_id, r.page) for r in queries.pages(spark, str(tmp_path)).collect()) == [(1, 1), (4, 1), (6, 3)]
