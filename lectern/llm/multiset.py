@@ -34,6 +34,11 @@ def zero() -> Column:
     return F.lit(0).cast("bigint")
 
 
+def salted(salt: str):
+    """A hash of an element; transform() would take a second argument for the element's place."""
+    return lambda x: F.xxhash64(x, F.lit(salt))
+
+
 def with_fingerprint(df: DataFrame, text: Column, out: str) -> DataFrame:
     """df with the fingerprint array: counts of paragraphs and clauses, WORDS words of lanes, four residues."""
     empty = F.array().cast("array<string>")
@@ -41,7 +46,7 @@ def with_fingerprint(df: DataFrame, text: Column, out: str) -> DataFrame:
     clauses = F.filter(F.split(text, CLAUSES, -1), lambda x: x != "")
     df = df.withColumn("__p", paragraphs).withColumn("__c", clauses)
     for c, of, salt in (("__h", "__c", "h"), ("__g", "__c", "g"), ("__q", "__p", "h"), ("__r", "__p", "g")):
-        df = df.withColumn(c, F.transform(of, lambda x, salt=salt: F.xxhash64(x, F.lit(salt))))
+        df = df.withColumn(c, F.transform(of, salted(salt)))
     total = lambda a, f: F.aggregate(a, zero(), lambda s, x: s + f(x))
     lanes = [total(F.col("__h" if k < HALF else "__g"), lambda x, k=k % HALF: F.shiftrightunsigned(x, k).bitwiseAND(F.lit(LANE_MASK))) for k in range(WORDS)]
     low, wide = F.lit(2**32 - 1), F.lit(2**RESIDUE_BITS - 1)

@@ -506,6 +506,20 @@ def reseated(row: tuple, sweep: int, d: float, d0: float, g: np.ndarray, share:
     return (bucket, pack(w, u, c, t, held), pack(word, alone, *history), None, 0.0), float(generator(bucket, sweep + 1).standard_gamma(customers - d0).sum())
 
 
+def drawn(model: Model, sweep: int, tables: np.ndarray, head: np.ndarray, ahead: float, rest: int, rest_customers: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Draws given all seats: contexts' gamma variables, head words' gammas, and the sum of all gammas of the parent; the first sweep has the parent's means.
+
+    ahead: the sum that the buckets drew for their words; rest: words outside the head that stand in single pairs alone, whose customers never change.
+    """
+    draws = generator(2**63, sweep)
+    g = draws.standard_gamma(STRENGTH / model.d + tables)
+    if not sweep:
+        return g, np.where(head > 0, head - model.d0, 0.0), STRENGTH + float(tables.sum())
+    share = np.where(head > 0, draws.standard_gamma(np.maximum(head - model.d0, 1e-9)), 0.0)
+    new, others = draws.standard_gamma(STRENGTH + model.d0 * model.distinct), draws.standard_gamma(rest_customers - model.d0 * rest) if rest else 0.0
+    return g, share, float(share.sum() + ahead + new + others)
+
+
 def train(docs: DataFrame, vocab: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> tuple[Model, DataFrame, DataFrame, object, int]:
     """The sampled model, the pairs, the pairs' last state, the words' codes (broadcast) and the number of buckets."""
     sc = docs.sparkSession.sparkContext
@@ -533,16 +547,8 @@ def train(docs: DataFrame, vocab: DataFrame, sweeps: int = SWEEPS, burn_in: int
     tables, ahead = (alone + several)[:CONTEXTS], 0.0
     schema = as_schema(STATE)
     for sweep in range(sweeps):
-        draws = generator(2**63, sweep)
-        g = draws.standard_gamma(STRENGTH / model.d + tables)
-        if sweep:
-            share = np.where(head > 0, draws.standard_gamma(np.maximum(head - model.d0, 1e-9)), 0.0)
-            new, others = draws.standard_gamma(STRENGTH + model.d0 * model.distinct), draws.standard_gamma(rest_customers - model.d0 * rest) if rest else 0.0
-            total = float(share.sum() + ahead + new + others)
-        else:
-            share, total = np.where(head > 0, head - model.d0, 0.0), STRENGTH + float(tables.sum())
         kept = sweep - burn_in
-        sent = sc.broadcast((model.d, model.d0, g, share, total))
+        sent = sc.broadcast((model.d, model.d0, *drawn(model, sweep, tables, head, ahead, rest, rest_customers)))
 
         def run(batches: Iterator[pa.RecordBatch], sweep=sweep, kept=kept, sent=sent) -> Iterator[pa.RecordBatch]:
             sums, gamma = np.zeros(CONTEXTS + HEAD, np.int64), 0.0
