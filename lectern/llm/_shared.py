@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 SPACE = "[\\x20\\x09-\\x0D]+"
 _written: list[tuple[SparkSession, str]] = []
 

@@ -36,8 +36,8 @@ from lectern.llm._shared import body, freeing, small_batches
 
 SPECIAL = "<|endoftext|>"
 BORDER = re.compile(r"(?<=\S) (?=\S)|(?<=[ぁ-ゖァ-ヺ一-龥가-힣])(?=[，。、！？；：「」（）])")
-WINDOW, AVERAGE, REUSE_CHARS = 16, 1024, 24 << 20
-DICTIONARY_CHARS, DICTIONARY_CHUNKS, FLUSH = 8 << 20, 1 << 16, 200_000
+WINDOW, AVERAGE, REUSE_CHARS = 16, 1024, 6 << 20
+DICTIONARY_CHARS, DICTIONARY_CHUNKS, FLUSH = 4 << 20, 1 << 16, 200_000
 
 
 def cuts(text: str, average: int = AVERAGE) -> list[int]:
@@ -307,6 +307,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple
                 columns.append(pa.array(all_ids, pa.list_(pa.int32())))
             columns += [pa.array(digest, pa.string()), pa.array(decoded, pa.string()), pa.array(exact, pa.bool_()), pa.array(chunks, pa.int64()), pa.array(met, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(x for x in RESULT if ids or x != "ids")])
+        coder.shared = {}
 
     return rows.mapInArrow(freeing(run), schema)
 

@@ -20,8 +20,8 @@ tokens and is sampled with its cell's probability (1 if the whole cell is empty)
 rows are drawn by id and text, so different texts of one id are drawn apart and equal rows alike, but rows without an id are each drawn by
 their place in the table; an empty table gives an
 empty one; extra columns pass through, whatever their names. Cells are aggregated before any shuffle,
-so a source that holds a third of all rows is a few rows; the table of cells is
-joined by Spark's own size check, broadcast if small, else by shuffle.
+so a source that holds a third of all rows is a few rows; a table of at most CELLS cells is
+broadcast, so texts stay where they lie, and a larger one is joined by Spark's own size check.
 """
 
 from __future__ import annotations
@@ -169,7 +169,8 @@ def calibrated(cells: DataFrame, targets: dict[str, dict] | None = None, share:
     w, gap = rake_here(here, targets)
     scale = scale_here(here, w, share)
     rows = [(*c, x, min(1.0, x / c[-1] * scale) if c[-1] and x else 0.0 if c[-1] else 1.0) for c, x in zip(here, w, strict=True)]
-    return cells.sparkSession.createDataFrame(rows, ", ".join(f"{m} string" for m in MARGINS) + ", tokens bigint, w double, probability double").coalesce(1), gap
+    table = cells.sparkSession.createDataFrame(rows, ", ".join(f"{m} string" for m in MARGINS) + ", tokens bigint, w double, probability double").coalesce(1)
+    return table, gap
 
 
 # --- documents ---------------------------------------------------------------------------------
@@ -186,10 +187,11 @@ def keyed(docs: DataFrame, names: dict[str, Column] | None = None) -> DataFrame:
 def mixed(rows: DataFrame, targets: dict[str, dict] | None = None, share: float = SHARE) -> DataFrame:
     """Rows of keyed() with probability and sampled."""
     cells = materialize(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
+    small = cells.count() <= CELLS
     table, _ = calibrated(cells, targets, share)
     # Nulls are values: the key of a cell is made so that an equi-join finds them.
     key = F.to_json(F.array(*MARGINS)).alias("cell")
-    return rows.withColumn("cell", key).join(table.select(key, "probability"), "cell").drop("cell").withColumn("sampled", F.col("draw") < F.col("probability"))
+    return rows.withColumn("cell", key).join(table.select(key, "probability").hint("broadcast") if small else table.select(key, "probability"), "cell").drop("cell").withColumn("sampled", F.col("draw") < F.col("probability"))
 
 
 def mix_documents(docs: DataFrame, targets: dict[str, dict] | None = None, share: float = SHARE, names: dict[str, Column] | None = None) -> DataFrame:

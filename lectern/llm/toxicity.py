@@ -171,7 +171,7 @@ class Grammar:
                 kept = "insult", weight
             else:
                 kept = ("threat", THREAT_WEIGHT) if word in THREAT else ("target", 0.0) if word in TARGET else ("negation", 0.0) if word in NEGATION else ("report", 0.0) if word in REPORT else ("other", 0.0)
-            if len(self.seen) > 500_000:
+            if len(self.seen) > 150_000:
                 self.seen.clear()
             self.seen[word] = kept
         return kept
