@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions.text import line_flags
 
@@ -17,8 +17,16 @@ def lines_of(text: Column) -> Column:
 
 def flagged(text: Column) -> Column:
     """Array of (line, blank, bad, name, run): bad by B1 to B5, run by B7 the length of the run of name lines that it stands in."""
+    return with_runs(flags_of(text))
+
+
+def flags_of(text: Column) -> Column:
+    """Array of (line, blank, bad, name)."""
     rows = F.transform(lines_of(text), lambda x: F.struct(x.alias("line"), line_flags(x).alias("f"), (F.btrim(x, F.lit(" \t\x0b\x0c\r\n")) == "").alias("blank")))
-    rows = F.transform(rows, lambda r: F.struct(r["line"].alias("line"), r["blank"].alias("blank"), (r["f"]["email"] | r["f"]["orcid"] | r["f"]["institution"] | r["f"]["initials"] | r["f"]["authors"]).alias("bad"), r["f"]["name"].alias("name")))
+    return F.transform(rows, lambda r: F.struct(r["line"].alias("line"), r["blank"].alias("blank"), (r["f"]["email"] | r["f"]["orcid"] | r["f"]["institution"] | r["f"]["initials"] | r["f"]["authors"]).alias("bad"), r["f"]["name"].alias("name")))
+
+
+def with_runs(rows: Column) -> Column:
     empty = F.array().cast("array<int>")
     count = lambda s, r: F.concat(s, F.array(F.when(r["name"], F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + 1).otherwise(F.lit(0))))
     up, down = F.aggregate(rows, empty, count), F.reverse(F.aggregate(F.reverse(rows), empty, count))
@@ -26,17 +34,33 @@ def flagged(text: Column) -> Column:
     return F.zip_with(rows, runs, lambda r, n: F.struct(r["line"].alias("line"), r["blank"].alias("blank"), r["bad"].alias("bad"), r["name"].alias("name"), n.alias("run")))
 
 
-def dropped(rows: Column) -> Column:
-    """Array of booleans: lines that go; the first line that isn't blank (the title) never does."""
-    title = F.array_position(F.transform(rows, lambda r: ~r["blank"]), True)
+def title_of(rows: Column) -> Column:
+    """Place, from 1, of the first line that isn't blank."""
+    return F.array_position(F.transform(rows, lambda r: ~r["blank"]), True)
+
+
+def dropped(rows: Column, title: Column | None = None) -> Column:
+    """Array of booleans: lines that go; the first line that isn't blank (the title) never does. Given as a column, the title is found once, not for each line."""
+    title = title_of(rows) if title is None else title
     return F.transform(rows, lambda r, i: (r["bad"] | (r["run"] >= RUN)) & (i + 1 != title))
 
 
 def strip_boilerplate(text: Column) -> Column:
     """The text without its dropped lines; as it was if none goes, or more than seven in ten would."""
     rows = flagged(text)
-    gone = dropped(rows)
+    return kept_text(text, rows, dropped(rows))
+
+
+def kept_text(text: Column, rows: Column, gone: Column) -> Column:
     n = F.size(F.filter(gone, lambda g: g))
     filled = F.size(F.filter(rows, lambda r: ~r["blank"]))
     kept = F.filter(F.zip_with(rows, gone, lambda r, g: F.when(~g, r["line"])), lambda x: x.isNotNull())
     return F.when((n == 0) | (n / F.greatest(filled, F.lit(1)) > MOST_DROPPED), text).otherwise(F.array_join(kept, "\n"))
+
+
+def strip_pages(df: DataFrame, text: str, where: Column) -> DataFrame:
+    """strip_boilerplate() of a column on the rows where the condition holds; lines, flags and runs are columns, so that each is made once."""
+    df = df.withColumn("__flags", F.when(where, flags_of(F.col(text)))).withColumn("__rows", with_runs(F.col("__flags")))
+    df = df.withColumn("__title", title_of(F.col("__rows")))
+    df = df.withColumn("__gone", dropped(F.col("__rows"), F.col("__title")))
+    return df.withColumn(text, F.when(where, kept_text(F.col(text), F.col("__rows"), F.col("__gone"))).otherwise(F.col(text))).drop("__flags", "__rows", "__title", "__gone")

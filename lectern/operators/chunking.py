@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions.text import collapse
-from lectern.operators.boilerplate import strip_boilerplate
+from lectern.operators.boilerplate import strip_pages
 
 SIZE, OVERLAP, LEAST_CHARS, NO_FILE = 220, 40, 20, "\x00"
 
@@ -119,6 +119,7 @@ def token_windows(df: DataFrame, make=Whitespace, clean: str = "clean", size: in
 def preprocess(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, strip_page1: bool = True) -> DataFrame:
     """Guard, boilerplate filter of first pages, collapse, windows."""
     kept, _ = guard(pages)
-    text = F.when(F.col("page") == 1, strip_boilerplate(F.col("text"))).otherwise(F.col("text")) if strip_page1 else F.col("text")
-    rows = kept.withColumn("clean", collapse(text)).drop("text")
+    if strip_page1:
+        kept = strip_pages(kept, "text", F.coalesce(F.col("page") == 1, F.lit(False)))
+    rows = kept.withColumn("clean", collapse(F.col("text"))).drop("text")
     return windows(rows, "clean", size, overlap)
