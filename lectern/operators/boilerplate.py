@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lectern.functions.text import line_flags
+from lectern.functions.text import flags_of_trimmed, trimmed
 
 MOST_DROPPED, RUN = 0.7, 3
+LINE_END = "\\R|[\\x1c-\\x1e]"
 
 
 def lines_of(text: Column) -> Column:
     """Lines as they are, without one empty line after a last line end."""
-    parts = F.split(F.coalesce(text, F.lit("")), "\\R|[\\x1c-\\x1e]", -1)
-    return F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return F.split(F.regexp_replace(F.coalesce(text, F.lit("")), f"(?:{LINE_END})\\z", ""), LINE_END, -1)
 
 
 def flagged(text: Column) -> Column:
@@ -22,15 +22,16 @@ def flagged(text: Column) -> Column:
 
 def flags_of(text: Column) -> Column:
     """Array of (line, blank, bad, name)."""
-    rows = F.transform(lines_of(text), lambda x: F.struct(x.alias("line"), line_flags(x).alias("f"), (F.btrim(x, F.lit(" \t\x0b\x0c\r\n")) == "").alias("blank")))
+    rows = F.transform(lines_of(text), lambda x: F.struct(x.alias("line"), trimmed(x).alias("t")))
+    rows = F.transform(rows, lambda r: F.struct(r["line"].alias("line"), flags_of_trimmed(r["t"]).alias("f"), (r["t"] == "").alias("blank")))
     return F.transform(rows, lambda r: F.struct(r["line"].alias("line"), r["blank"].alias("blank"), (r["f"]["email"] | r["f"]["orcid"] | r["f"]["institution"] | r["f"]["initials"] | r["f"]["authors"]).alias("bad"), r["f"]["name"].alias("name")))
 
 
 def with_runs(rows: Column) -> Column:
-    empty = F.array().cast("array<int>")
-    count = lambda s, r: F.concat(s, F.array(F.when(r["name"], F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + 1).otherwise(F.lit(0))))
-    up, down = F.aggregate(rows, empty, count), F.reverse(F.aggregate(F.reverse(rows), empty, count))
-    runs = F.zip_with(up, down, lambda a, b: F.greatest(a + b - 1, F.lit(0)))
+    """rows with run: a mark for each line, cut into runs of one mark, so the work grows with the lines alone."""
+    marks = F.array_join(F.transform(rows, lambda r: F.when(r["name"], "1").otherwise("0")), "")
+    runs = F.regexp_extract_all(marks, F.lit("1+|0+"), F.lit(0))
+    runs = F.flatten(F.transform(runs, lambda m: F.array_repeat(F.when(m.startswith("1"), F.length(m)).otherwise(0), F.length(m))))
     return F.zip_with(rows, runs, lambda r, n: F.struct(r["line"].alias("line"), r["blank"].alias("blank"), r["bad"].alias("bad"), r["name"].alias("name"), n.alias("run")))
 
 

@@ -58,11 +58,14 @@ def window_count(n: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
 
 
 def windows(df: DataFrame, clean: str = "clean", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """C4: df without `clean` and with chunk_no, chunk, n_tokens: a row for each window of the clean text's tokens."""
+    """C4: df without `clean` and with chunk_no, chunk, n_tokens: a row for each window of the clean text's tokens.
+
+    Empty and null texts give null for their numbers, which explode drops: a filter would be pushed down and clean each text twice.
+    """
     keep = [c for c in df.columns if c != clean]
-    df = df.where(F.col(clean) != "").withColumn("__t", F.split(clean, " "))
+    df = df.withColumn("__t", F.split(F.nullif(clean, F.lit("")), " "))
     n = window_count(F.size("__t"), size, overlap)
-    df = df.select(*keep, "__t", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
+    df = df.select(*keep, "__t", F.explode(F.when(F.col("__t").isNotNull(), F.sequence(F.lit(0), n - 1))).alias("chunk_no"))
     piece = F.slice("__t", F.col("chunk_no") * (size - overlap) + 1, size)
     return df.withColumn("__p", piece).select(*keep, "chunk_no", F.array_join("__p", " ").alias("chunk"), F.size("__p").alias("n_tokens"))
 

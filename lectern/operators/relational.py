@@ -24,3 +24,9 @@ def last_event_before(events: DataFrame) -> DataFrame:
     """As-of: for each error, the user's last click before it."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     return events.withColumn("click", F.last(F.when(F.col("event_type") == "click", F.col("event_id")), ignorenulls=True).over(w)).where("event_type = 'error'").select("event_id", "user_id", "click")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df, dealt over the session's cores by a key of distinct values where it has fewer pieces than cores: a file of one row group is one task's work, however many wait. Larger tables stay as they lie, so what is shuffled is at most a split for each core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

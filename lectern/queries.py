@@ -47,7 +47,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, source_file, page, text."""
-    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    docs = relational.spread(table(spark, d, "documents"), "doc_id").select("doc_id", "source", "text")
     first = docs.groupBy(F.col("source").alias("of")).agg(F.min("doc_id").alias("first"))
     return docs.join(first, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", F.col("source").alias("source_file"), (F.col("doc_id") - F.col("first") + 1).alias("page"), "text")
 
@@ -147,7 +147,7 @@ def modality_dispatch(spark, d):
 @query(f"WITH {STRIPPED}, gd AS (SELECT doc_id, trim(regexp_replace(clean, '\\s+', ' ', 'g')) AS c FROM sa WHERE length(trim(text, E' \\t\\n\\x0b\\x0c\\r')) >= 20), tt AS (SELECT doc_id, string_split(c, ' ') AS t FROM gd WHERE c <> ''), wn AS (SELECT doc_id, t, unnest(range(0, greatest(1, CAST(ceil((len(t) - 40) / 180.0) AS BIGINT)))) AS chunk_no FROM tt) SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, array_to_string(t[chunk_no * 180 + 1 : chunk_no * 180 + 220], ' ') AS chunk FROM wn")
 def preprocess(spark, d):
     """Each document as a file of one page: guard, filter of first pages, windows."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_file"), F.lit(1).alias("page"), "text")
+    docs = relational.spread(table(spark, d, "documents"), "doc_id").select(F.col("doc_id").cast("string").alias("source_file"), F.lit(1).alias("page"), "text")
     return chunking.preprocess(chunking.as_pages(docs)).select(F.col("source_file").cast("bigint").alias("doc_id"), "chunk_no", "chunk")
 
 
