@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as fn
-from lectern.operators import boilerplate, chunking, evaluation, generation, groundtruth, layout, models, vectors
+from lectern.operators import boilerplate, chunking, evaluation, generation, groundtruth, layout, models, relational, vectors
 from lectern.plans import project
 from lectern.sources import loaders, store
 from lectern.streaming import ingest
@@ -119,6 +119,47 @@ def test_boilerplate(spark):
     assert value(spark, boilerplate.strip_boilerplate(F.col("t")), t=two) == two
 
 
+def test_runs_of_name_lines_against_a_loop(spark):
+    draw = random.Random(5)
+    cases = ["", "\n", "a\r\n", "a\n\r", "\r\n\r\n", "a\x1cb\u2028"] + ["\n".join(draw.choice(["Jane Doe", "plain words here", ""]) for _ in range(draw.choice([3, 12, 4000]))) for _ in range(8)]
+    rows = spark.createDataFrame(list(enumerate(cases)), "k int, t string").withColumn("f", boilerplate.flagged(F.col("t"))).collect()
+    for row in rows:
+        parts = fn_lines(row.t)
+        assert [r.line for r in row.f] == parts
+        named = [r.name for r in row.f]
+        for i, r in enumerate(row.f):
+            a = b = i
+            while a and named[i] and named[a - 1]:
+                a -= 1
+            while named[i] and b + 1 < len(named) and named[b + 1]:
+                b += 1
+            assert r.run == (b - a + 1 if named[i] else 0)
+    assert spark.sql("SELECT CAST(NULL AS STRING) AS t").select(boilerplate.strip_boilerplate(F.col("t")).alias("x")).first().x is None
+
+
+def fn_lines(text):
+    import re
+
+    parts = re.split("\r\n|[\n\x0b\x0c\r\x85\u2028\u2029\x1c-\x1e]", text)
+    return parts[:-1] if len(parts) > 1 and not parts[-1] else parts
+
+
+def test_windows_clean_each_text_once(spark):
+    rows = spark.createDataFrame([(1, " a  b "), (2, ""), (3, None), (4, " \t")], "k int, t string")
+    out = chunking.windows(rows.withColumn("clean", fn.collapse(F.col("t"))).drop("t"))
+    assert [tuple(r) for r in out.collect()] == [(1, 0, "a b", 2)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+
+
+def test_spread(spark):
+    cores = spark.sparkContext.defaultParallelism
+    one, many = spark.range(0, 1000, 1, 1), spark.range(0, 1000, 1, cores + 1)
+    assert relational.spread(many, "id") is many
+    dealt = relational.spread(one, "id")
+    assert dealt.rdd.getNumPartitions() == cores and sorted(r.id for r in dealt.collect()) == list(range(1000))
+    assert dealt.groupBy(F.spark_partition_id().alias("p")).count().count() == cores
+
+
 def test_normalisers(spark):
     assert value(spark, fn.normalise_answer(F.col("t")), t="It was 3,197 — or 1 2. e.g. 0.5!") == "it was 3197 or 12 e g 0.5"
     assert value(spark, fn.clean_answer(F.col("t")), t="  Ünïcode  A ") == "ncode a"
