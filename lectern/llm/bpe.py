@@ -15,7 +15,7 @@ begins and ends with the very ids that the chunks have there, the ids between ar
 taken up into the window, which grows until it agrees. So the joined ids are those of the whole text.
 
 Cases: null text is empty; empty text has no ids and hashes of nothing; a very
-long text is worked through chunk by chunk; repeated rows give repeated rows;
+long text is worked through chunk by chunk, and a stretch without a border in one piece, whatever its length; repeated rows give repeated rows;
 an empty table gives an empty one; only the named columns are read, so other
 columns may have any name; a column of `keep` named like one of the result is an error.
 """
@@ -36,6 +36,9 @@ from lectern.llm._shared import body, freeing, small_batches
 
 SPECIAL = "<|endoftext|>"
 BORDER = re.compile(r"(?<=\S) (?=\S)|(?<=[ぁ-ゖァ-ヺ一-龥가-힣])(?=[，。、！？；：「」（）])")
+#: The pattern's white space; runs beyond LONG_RUN are too deep for its matcher.
+LONG_RUN = 4096
+BLANKS = re.compile(f"[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{{{LONG_RUN},}}")
 WINDOW, AVERAGE, REUSE_CHARS = 16, 1024, 6 << 20
 DICTIONARY_CHARS, DICTIONARY_CHUNKS, FLUSH = 4 << 20, 1 << 16, 200_000
 
@@ -106,7 +109,17 @@ class ChunkCoder:
         self.held = self.chunks = self.reused = self.fresh = self.from_shared = self.grown = 0
 
     def piece(self, text: str) -> array:
-        return array("I", self.coder.encode_ordinary(text))
+        """Ids of a text. A long run of white space is one pre-token, but for its last character where another one follows, which goes with what follows."""
+        if len(text) < LONG_RUN:
+            return array("I", self.coder.encode_ordinary(text))
+        ids, at = array("I"), 0
+        for m in BLANKS.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            ids.extend(self.coder.encode_ordinary(text[at : m.start()]))
+            ids.extend(self.coder._encode_single_piece(text[m.start() : end]))
+            at = end
+        ids.extend(self.coder.encode_ordinary(text[at:]))
+        return ids
 
     def inside(self, text: str) -> Chunk:
         self.chunks += 1
