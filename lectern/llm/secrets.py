@@ -34,7 +34,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST, REACH, AROUND, NOVELTY, DICTIONARY_WORDS, LEAST_SEEN = 12, 64, 600, 0.85, 1_000, 5
 CANDIDATE = re.compile(r"""[^\s"'`<>()\[\]{},;|]{%d,}""" % LEAST)
 ROOTS = ("pass", "pwd", "secret", "token", "key", "auth", "cred", "bearer", "private", "signature", "session", "login")
-SENSITIVE = re.compile(r"(?<![a-z])(?:[a-z0-9]*[_-])?(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret|auth|encryption|signing)?key|auth(?:orization|entication)?|cred(?:ential)?|bearer|signature|session|login)s?(?![a-z])", re.I | re.A)
+SENSITIVE = re.compile(r"(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret|auth|encryption|signing)?key|auth(?:orization|entication)?|cred(?:ential)?|bearer|signature|session|login)s?(?![a-z])", re.I | re.A)
+#: What may stand before a sensitive word as part of it.
+PREFIX = re.compile(r"[a-z0-9]*[_-]", re.I | re.A)
+#: Dates and times of day are as hard to compress as keys of their length, and no secrets.
+DATE = re.compile(r"\d{4}[-/.]\d{2}[-/.]\d{2}(?:[T_-]?\d{2}[:.]\d{2}(?:[:.]\d{2}(?:[.]\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?[.:]?", re.A)
 IDENTIFIER = re.compile(r"[A-Za-z_]{3,32}")
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key authorization bearer credential session cookie login username "
@@ -45,6 +49,19 @@ IDENTIFIERS = (
 )
 
 
+def sensitive(text: str) -> Iterator[tuple[int, int]]:
+    """Sensitive words with what belongs to them; in time proportional to the text."""
+    done = 0
+    for m in SENSITIVE.finditer(text):
+        start = m.start()
+        if start > done and text[start - 1] in "_-":
+            start -= 1
+            while start > done and text[start - 1].isascii() and text[start - 1].isalnum():
+                start -= 1
+        yield start, m.end()
+        done = m.end()
+
+
 def learn_identifiers(docs: DataFrame, text: str = "text") -> str:
     """The dictionary: fixed identifiers, and the DICTIONARY_WORDS that stand around sensitive words in most documents of the corpus, of all that do in LEAST_SEEN or more."""
     small_batches(docs.sparkSession)
@@ -55,7 +72,13 @@ def learn_identifiers(docs: DataFrame, text: str = "text") -> str:
             for value in batch.column(0).to_pylist():
                 lower = value.lower()
                 if any(r in lower for r in ROOTS):
-                    seen.update({w for m in SENSITIVE.finditer(value) for w in IDENTIFIER.findall(value, max(0, m.start() - AROUND), m.end() + AROUND)})
+                    near: list[list[int]] = []
+                    for start, end in sensitive(value):
+                        if near and near[-1][1] >= start - AROUND:
+                            near[-1][1] = end + AROUND
+                        else:
+                            near.append([max(0, start - AROUND), end + AROUND])
+                    seen.update({w for start, end in near for w in IDENTIFIER.findall(value, start, end)})
             if len(seen) > 400_000:
                 yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["w", "n"])
                 seen = Counter()
@@ -82,20 +105,18 @@ class NoveltyScanner:
         return sorted(sizes)[1] / len(own.encode())
 
     def candidates(self, text: str) -> Iterator[tuple[int, int]]:
-        """Runs near sensitive words, in order, each once."""
-        done = 0
-        for m in SENSITIVE.finditer(text):
-            if m.end() + REACH <= done:
-                continue
-            start = max(done, m.start() - REACH)
-            while start > done and not text[start - 1].isspace():  # runs begin before the reach
-                start -= 1
-            for c in CANDIDATE.finditer(text, start):
-                if c.start() >= m.end() + REACH:
-                    break
-                if c.start() >= done and c.end() > m.start() - REACH:
-                    yield c.span()
-                    done = c.end()
+        """Runs near sensitive words, in order, each once; every character is searched once, so the time is proportional to the text."""
+        run, seen, none = None, 0, (len(text) + 2 * REACH, len(text) + 2 * REACH)
+        for first, last in sensitive(text):
+            while run is None or run[0] < last + REACH:
+                if run is not None and run[1] > first - REACH:
+                    yield run
+                start = max(seen, first - REACH)
+                while start > seen and not text[start - 1].isspace():  # runs begin before the reach
+                    start -= 1
+                found = CANDIDATE.search(text, start)
+                run = found.span() if found else none
+                seen = found.end() if found else len(text)
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind's index, end), in order."""
@@ -119,7 +140,8 @@ class NoveltyScanner:
                 k += 1
             if k < len(taken) and taken[k][0] < end:
                 continue
-            if SENSITIVE.fullmatch(text, start, end) is None and self.marginal(text, start, end) >= self.novelty:
+            named = PREFIX.match(text, start, end)
+            if SENSITIVE.fullmatch(text, named.end() if named else start, end) is None and SENSITIVE.fullmatch(text, start, end) is None and DATE.fullmatch(text, start, end) is None and self.marginal(text, start, end) >= self.novelty:
                 novel.append((start, 3, end))
         return sorted(found + novel)
 

@@ -52,6 +52,22 @@ def test_bpe_is_the_librarys(spark, docs, odd):
         assert out == want
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\x85", "\xa0", "\u3000", " \n", "\x1c"])
+def test_bpe_of_long_white_space(blank):
+    from tokenizers import Tokenizer
+
+    t, c = Tokenizer.from_file(bpe.public_vocabulary()), bpe.ChunkCoder(bpe.public_vocabulary())
+    for n in (bpe.LONG_RUN - 1, bpe.LONG_RUN, 1_000_000 // len(blank)):
+        for text in (blank * n, f"a b c d {blank * n}e", f"{blank * n}'s it", f"x{blank * n}{bpe.SPECIAL}{blank * n}"):
+            assert c.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_of_20_million_blanks(spark):
+    df = spark.createDataFrame([(1, 20_000_000), (2, 2_000_000)], "doc_id bigint, n int").select("doc_id", F.expr("repeat(' ', n)").alias("text"))
+    out = {r.doc_id: (r.n_tokens, r.exact) for r in bpe.encode_documents(df, bpe.public_vocabulary(), ids=False).collect()}
+    assert out == {1: (20_000_000, True), 2: (2_000_000, True)}
+
+
 def test_bpe_joins(spark):
     from tokenizers import Tokenizer
 
@@ -741,3 +757,29 @@ def test_pipeline_of_odd_tables(spark, odd, tmp_path):
         df.write.parquet(f"{root}/documents.parquet")
         labels.write.parquet(f"{root}/labels.parquet")
         assert p.run(spark, root).count() <= df.count()
+
+
+def test_secrets_in_linear_time():
+    import time
+
+    scanner = secrets.NoveltyScanner()
+    for text in ("token " * 1_700_000, "1" * 3_000_000 + " token", 'token"' * 500_000, "token_" * 500_000, "9a" * 1_000_000 + "_key "):
+        began = time.perf_counter()
+        scanner.spans(text)
+        assert time.perf_counter() - began < 60
+
+
+def test_dates_are_no_secrets():
+    scanner = secrets.NoveltyScanner()
+    for date in ("2024-05-06T10:11:12Z", "2024-05-06T10:11:12.345+02:00", "2024/05/06-10:11", "2024-05-06_10.11.12"):
+        assert scanner.spans(f"the login token expires {date} at noon") == []
+    assert [s[1] for s in scanner.spans("the login token x9f8Kq2LmZ0pQw7vB3 at noon")] == [3]
+
+
+def test_runs_near_sensitive_words():
+    r, scanner = random.Random(8), secrets.NoveltyScanner()
+    for _ in range(500):
+        text = "".join(r.choice(["token", "api_key", "a_token_key", "x9f8Kq2LmZ0pQw7", "\n", " ", "=", '"', "-", "pass", "longer text here", "aVeryLongIdentifierName" * 4]) + r.choice(["", " "]) for _ in range(r.randrange(50)))
+        near = [(a - secrets.REACH, b + secrets.REACH) for a, b in secrets.sensitive(text)]
+        want = [m.span() for m in secrets.CANDIDATE.finditer(text) if any(m.start() < hi and m.end() > lo for lo, hi in near)]
+        assert list(scanner.candidates(text)) == want
