@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lectern.functions.text import collapse
+from lectern.functions.text import WHITE, collapse
 from lectern.operators.boilerplate import strip_pages
 
 SIZE, OVERLAP, LEAST_CHARS, NO_FILE = 220, 40, 20, "\x00"
@@ -28,7 +28,7 @@ def document_lengths(pages: DataFrame) -> DataFrame:
     """
     t = F.coalesce("text", F.lit(""))
     n = F.length(t)
-    ws = F.lit(" \t\n\x0b\x0c\r")
+    ws = F.lit(WHITE)
     left, right = n - F.length(F.ltrim(t, ws)), n - F.length(F.rtrim(t, ws))
     filled = left < n
     first, last = F.min(F.when(filled, F.col("page"))), F.max(F.when(filled, F.col("page")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lectern.functions.text import clean_answer, clean_question, words
+from lectern.functions.text import blank, clean_answer, clean_question, words
 
 MOST_WORDS = 20
 
@@ -18,12 +18,12 @@ def audit(rows: DataFrame) -> DataFrame:
     """Count and percentage of seven issues of (answer, num_answers), in one pass and one count of distinct answers."""
     a = F.coalesce("answer", F.lit(""))
     tests = {
-        "empty": F.btrim(a) == "",
+        "empty": blank(a),
         "non_ascii": a.rlike("[^\\x00-\\x7F]"),
         "long": F.size(words(a)) > MOST_WORDS,
-        "numeric": a.rlike("^[0-9 .,%]+$"),
+        "numeric": a.rlike("(?U)^[\\d\\s.,%]+$"),
         "multiple_answers": F.col("num_answers") > 1,
-        "white_space": a.rlike("\\s{2,}"),
+        "white_space": a.rlike("(?U)\\s{2}"),
     }
     one = rows.agg(F.count(F.lit(1)).alias("total"), (F.count(F.lit(1)) - F.count_distinct(a)).alias("duplicate"), *(F.count_if(t).alias(k) for k, t in tests.items()))
     items = F.array(*(F.struct(F.lit(k).alias("issue"), F.col(k).alias("n")) for k in [*tests, "duplicate"]))
