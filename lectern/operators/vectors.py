@@ -58,16 +58,14 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def blocks_of(queries: DataFrame, columns: list[str]) -> Iterator[pa.Table]:
-    """The query set in Arrow tables of at most BLOCK rows, one in the driver's memory at a time."""
-    n = queries.count()
-    parts = -(-n // BLOCK)
-    for k in range(parts):
-        rows = queries if parts == 1 else queries.where(F.pmod(F.xxhash64(columns[0]), F.lit(parts)) == k)
-        yield rows.select(*columns).toArrow()
+    """The query set, collected by one job, in Arrow tables of at most BLOCK rows."""
+    table = queries.select(*columns).toArrow()
+    for start in range(0, table.num_rows, BLOCK):
+        yield table.slice(start, BLOCK).combine_chunks()
 
 
-def scan(queries: DataFrame, vectors: DataFrame, qid: str, id_: str, kernel, schema: str, carry: tuple[str, ...] = (), qcarry: tuple[str, ...] = (), vector: str = "embedding") -> DataFrame:
-    """kernel(query ids, query matrix, query columns, ids, matrix, columns) on every batch of vectors, for each block of queries."""
+def scan(queries: DataFrame, vectors: DataFrame, qid: str, id_: str, make, schema: str, carry: tuple[str, ...] = (), qcarry: tuple[str, ...] = (), vector: str = "embedding") -> DataFrame:
+    """For each block of queries, make(query ids, query matrix, query columns) in every task of vectors: an object that takes the ids, matrix and columns of all its batches with add(), and gives one batch of rows at the end with result()."""
     out = []
     # A row without a vector is near to nothing: it isn't searched, nor found.
     queries, vectors = queries.where(F.col(vector).isNotNull()), vectors.where(F.col(vector).isNotNull())
@@ -75,10 +73,13 @@ def scan(queries: DataFrame, vectors: DataFrame, qid: str, id_: str, kernel, sch
         sent = vectors.sparkSession.sparkContext.broadcast((table["__q"].to_numpy(), matrix(table[vector].combine_chunks()), [table[c].to_pylist() for c in qcarry]))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            q, m, extra = sent.value
+            held = None
             for batch in batches:
-                if batch.num_rows and len(q):
-                    yield from kernel(q, m, extra, np.asarray(batch.column(0)), matrix(batch.column(1)), [c.to_pylist() for c in batch.columns[2:]])
+                if batch.num_rows:
+                    held = held or make(*sent.value)
+                    held.add(np.asarray(batch.column(0)), matrix(batch.column(1)), [c.to_pylist() for c in batch.columns[2:]])
+            if held:
+                yield held.result()
 
         out.append(vectors.select(id_, vector, *carry).mapInArrow(run, schema))
     return reduce(DataFrame.unionAll, out) if out else vectors.sparkSession.createDataFrame([], schema)
@@ -93,63 +94,112 @@ def squared(m: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def cosines(m: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """V7: dot products over both norms; a vector of zeros has cosine 0 with all."""
+    return (m @ x.T) / np.maximum(np.outer(np.linalg.norm(m, axis=1), np.linalg.norm(x, axis=1)), 1e-300)
+
+
+def same_label(asked: list, own: list) -> tuple[np.ndarray, np.ndarray]:
+    """(equal, both known) for each query and row: a null is equal to nothing, nor different from anything."""
+    codes: dict = {}
+    code = lambda v: -1 if v is None else codes.setdefault(v, len(codes))
+    a, b = np.array([code(v) for v in asked], np.int64)[:, None], np.array([code(v) for v in own], np.int64)[None]
+    known = (a >= 0) & (b >= 0)
+    return known & (a == b), known
+
+
 def nearest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """For each row, places of the k least distances, ties by id."""
     return np.array([np.lexsort((ids, row))[:k] for row in d]) if d.shape[1] <= 4 * k else np.array([(c := np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]))[np.lexsort((ids[c], row[c]))[:k]] for row in d])
 
 
+class Nearest:
+    """The k least distances of each query over all batches so far, ties by id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.d, self.ids = k, np.full((n, k), np.inf), np.zeros((n, k), np.int64)
+
+    def add(self, d: np.ndarray, ids: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
+        """d: distances of the rows' queries to the ids; infinite ones don't count."""
+        at = nearest(d, ids, self.k)
+        d, ids = np.hstack([self.d[rows], np.take_along_axis(d, at, 1)]), np.hstack([self.ids[rows], ids[at]])
+        order = np.lexsort((ids, d), axis=-1)[:, : self.k]
+        self.d[rows], self.ids[rows] = np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
+
+    def rows(self, q: np.ndarray, sign: float = 1.0) -> pa.RecordBatch:
+        some = np.isfinite(self.d)
+        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(q[:, None], self.d.shape)[some]), pa.array(self.ids[some]), pa.array(sign * self.d[some])], names=["qid", "id", "score"])
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 3, qid: str = "qid", id_: str = "id", metric: str = "l2", same: str | None = None, exclude_self: bool = False) -> DataFrame:
-    """V3, V5, V6, V7: qid, id, score, rank of the k nearest (least squared distance, or greatest cosine); same restricts to rows with the query's value of that column."""
-
-    def kernel(q, m, extra, ids, x, cols):
-        d = squared(m, x) if metric == "l2" else -(m @ x.T) / np.maximum(np.outer(np.linalg.norm(m, axis=1), np.linalg.norm(x, axis=1)), 1e-300)
-        if same:
-            codes: dict = {}
-            code = lambda v: -1 if v is None else codes.setdefault(v, len(codes))
-            own, asked = np.array([code(v) for v in cols[0]]), np.array([code(v) for v in extra[0]])
-            d = np.where((asked[:, None] == own[None]) & (asked[:, None] >= 0), d, np.inf)
-        if exclude_self:
-            d = np.where(q[:, None] == ids[None], np.inf, d)
-        at = nearest(d, ids, k)
-        got = np.take_along_axis(d, at, 1)
-        keep = np.isfinite(got)
-        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(q[:, None], at.shape)[keep]), pa.array(ids[at][keep]), pa.array(got[keep] if metric == "l2" else -got[keep])], names=["qid", "id", "score"])
-
-    part = scan(queries, vectors, qid, id_, kernel, "qid bigint, id bigint, score double", (same,) if same else (), (same,) if same else ())
+    """V3, V5, V6, V7: qid, id, score, rank of the k nearest (least squared distance, or greatest cosine); same restricts to rows with the query's value of that column. A task sends k rows for each query, however many it read."""
+
+    class Kernel:
+        def __init__(self, q, m, extra):
+            self.q, self.m, self.extra, self.best = q, m, extra, Nearest(len(q), k)
+
+        def add(self, ids, x, cols):
+            d = squared(self.m, x) if metric == "l2" else -cosines(self.m, x)
+            if same:
+                d = np.where(same_label(self.extra[0], cols[0])[0], d, np.inf)
+            if exclude_self:
+                d = np.where(self.q[:, None] == ids[None], np.inf, d)
+            self.best.add(d, ids)
+
+        def result(self):
+            return self.best.rows(self.q, 1.0 if metric == "l2" else -1.0)
+
+    part = scan(queries, vectors, qid, id_, Kernel, "qid bigint, id bigint, score double", (same,) if same else (), (same,) if same else ())
+    return ranked(part, k, metric)
+
+
+def ranked(part: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """The first k of each query among the rows (qid, id, score) of all tasks, with their rank."""
     order = Window.partitionBy("qid").orderBy(F.col("score") if metric == "l2" else F.desc("score"), "id")
     return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def extremes(queries: DataFrame, vectors: DataFrame, qid: str, id_: str, label: str) -> DataFrame:
-    """Per query the best cosine of another row with its label (correct) and of one without (incorrect), with their ids; ties to the least id."""
-
-    def kernel(q, m, extra, ids, x, cols):
-        s = m @ x.T
-        good = np.array(extra[0])[:, None] == np.array(cols[0])[None]
-        s = np.where(q[:, None] == ids[None], -np.inf, s)
-        names, arrays = ["qid"], [pa.array(q)]
-        for kind, part in (("correct", np.where(good, s, -np.inf)), ("incorrect", np.where(good, -np.inf, s))):
-            at = np.array([np.flatnonzero(r == r.max())[np.argmin(ids[r == r.max()])] for r in part])
-            best = part[np.arange(len(q)), at]
-            none = ~np.isfinite(best)
-            arrays += [pa.array(best, mask=none), pa.array(ids[at], mask=none)]
-            names += [kind, f"{kind}_id"]
-        yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    part = scan(queries, vectors, qid, id_, kernel, "qid bigint, correct double, correct_id bigint, incorrect double, incorrect_id bigint", (label,), (label,))
+    """Per query the best cosine of another row with its label (correct) and of one with another label (incorrect), with their ids; ties to the least id. A null label is neither."""
+
+    class Kernel:
+        def __init__(self, q, m, extra):
+            self.q, self.m, self.extra, self.best = q, m, extra, [Nearest(len(q), 1) for _ in range(2)]
+
+        def add(self, ids, x, cols):
+            equal, known = same_label(self.extra[0], cols[0])
+            other = self.q[:, None] != ids[None]
+            d = -cosines(self.m, x)
+            for held, some in zip(self.best, (equal, known & ~equal), strict=True):
+                held.add(np.where(some & other, d, np.inf), ids)
+
+        def result(self):
+            arrays = [pa.array(self.q)]
+            for held in self.best:
+                none = ~np.isfinite(held.d[:, 0])
+                arrays += [pa.array(-held.d[:, 0], mask=none), pa.array(held.ids[:, 0], mask=none)]
+            return pa.RecordBatch.from_arrays(arrays, names=["qid", "correct", "correct_id", "incorrect", "incorrect_id"])
+
+    part = scan(queries, vectors, qid, id_, Kernel, "qid bigint, correct double, correct_id bigint, incorrect double, incorrect_id bigint", (label,), (label,))
     best = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(c), (-F.col(f"{c}_id")).alias("i"))))
     return part.groupBy("qid").agg(best("correct").alias("g"), best("incorrect").alias("b")).select("qid", F.col("g.correct").alias("correct"), (-F.col("g.i")).alias("correct_id"), F.col("b.incorrect").alias("incorrect"), (-F.col("b.i")).alias("incorrect_id"))
 
 
 def count_above(queries: DataFrame, vectors: DataFrame, qid: str, id_: str, threshold: str) -> DataFrame:
-    """Per query how many other rows have a cosine above its threshold."""
+    """Per query how many other rows have a cosine above its threshold; none where it is null."""
+
+    class Kernel:
+        def __init__(self, q, m, extra):
+            self.q, self.m, self.n = q, m, np.zeros(len(q), np.int64)
+            self.least = np.array([np.inf if v is None else v for v in extra[0]])[:, None]
+
+        def add(self, ids, x, cols):
+            self.n += ((cosines(self.m, x) > self.least + 1e-12) & (self.q[:, None] != ids[None])).sum(axis=1)
 
-    def kernel(q, m, extra, ids, x, cols):
-        s = np.where(q[:, None] == ids[None], -np.inf, m @ x.T)
-        t = np.array([np.inf if v is None else v for v in extra[0]])
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array((s > t[:, None] + 1e-12).sum(axis=1))], names=["qid", "n"])
+        def result(self):
+            return pa.RecordBatch.from_arrays([pa.array(self.q), pa.array(self.n)], names=["qid", "n"])
 
-    return scan(queries, vectors, qid, id_, kernel, "qid bigint, n bigint", (), (threshold,)).groupBy("qid").agg(F.sum("n").alias("n_above"))
+    return scan(queries, vectors, qid, id_, Kernel, "qid bigint, n bigint", (), (threshold,)).groupBy("qid").agg(F.sum("n").alias("n_above"))
 
 
 def per_sample(questions: DataFrame, chunks: DataFrame, sample: str, k: int = 3, least: int = 1, embedder=None) -> DataFrame:

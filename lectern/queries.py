@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lectern.functions import text as fn
-from lectern.operators import boilerplate, chunking, cleaning, evaluation, generation, groundtruth, layout, relational, vectors
+from lectern.operators import boilerplate, chunking, cleaning, evaluation, generation, groundtruth, layout, pivots, relational, vectors
 from lectern.sources import loaders, store
 from lectern.streaming import ingest
 
@@ -277,6 +277,14 @@ def knn_per_partition(spark, d):
     return vectors.knn(q, v, 3, "qid", "vec_id", same="label").select("qid", "id", "rank")
 
 
+@query(f"WITH {KNN} SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS distance FROM r WHERE rank <= 5")
+def knn_pivot_topk(spark, d):
+    """V3, V4 through an index that reads only the blocks that may hold an answer."""
+    q, v = vector_questions(spark, d)
+    index = pivots.build(v, store.scratch(spark, "pivots"), 32, "vec_id", block_rows=64)
+    return pivots.search(q, index, 5, id_="vec_id").select("qid", "id", "rank", F.round("score", 5).alias("distance"))
+
+
 @query(f"WITH {KNN} SELECT count(*) AS probes, count(*) FILTER (WHERE qid = id) AS found FROM r WHERE rank = 1")
 def self_search(spark, d):
     q, v = vector_questions(spark, d)
