@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lectern.functions import text as fn
 from lectern.operators import boilerplate, chunking, cleaning, evaluation, generation, groundtruth, layout, pivots, relational, vectors
-from lectern.sources import loaders, store
-from lectern.streaming import ingest
+from lectern.sources import ledger, loaders, store
+from lectern.streaming import ingest, reindex
 
 #: Windows of a document, or turns of a conversation, that have numbers of their own; no text has so many.
 PLACES = 1 << 24
@@ -752,6 +752,32 @@ def project_signature(spark, d):
     return store.signature(files)
 
 
+@query("SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 AND doc_id % 7 <> 0 THEN -n_chars ELSE n_chars END AS n_chars FROM documents")
+def ledger_commits(spark, d):
+    """K1, K7, S10 in versions: some rows added, some replaced, some removed, and those added that the store then lacks."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    t = ledger.Ledger(spark, store.scratch(spark, "ledger"), "doc_id bigint, source string, n_chars bigint", "doc_id")
+    t.append(docs.where("doc_id % 5 <> 0"))
+    t.upsert(docs.where("doc_id % 3 = 0").withColumn("n_chars", -F.col("n_chars")))
+    t.delete(docs.where("doc_id % 7 = 0"))
+    t.append_absent(docs)
+    return t.read().drop("row_id")
+
+
+CHANGED = CH.replace("pg AS (SELECT d.doc_id, d.source AS source_file, d.doc_id - m.m + 1 AS page, d.text FROM", "pg AS (SELECT d.doc_id, d.source AS source_file, d.doc_id - m.m + 1 AS page, CASE WHEN d.source LIKE '%2' THEN replace(d.text, 'e', 'E') ELSE d.text END AS text FROM")
+
+
+@query(f"WITH {CHANGED} SELECT source_file, page, chunk_no, md5(chunk) AS chunk FROM ch WHERE source_file IS NULL OR source_file NOT LIKE '%3'")
+def reindexed_chunks(spark, d):
+    """The index of all files after some changed and some were deleted, held against one that is built anew."""
+    index = reindex.index_of(spark, store.scratch(spark, "index"))
+    first = pages(spark, d).select("source_file", F.lit(1).alias("state"), "page", "text", F.lit(False).alias("deleted"))
+    reindex.apply_changes(index, first, ("pages", 0), strip_page1=False)
+    changed = first.where("source_file like '%2' or source_file like '%3'").withColumns({"state": F.lit(2), "text": F.expr("replace(text, 'e', 'E')"), "deleted": F.expr("source_file like '%3'")})
+    reindex.apply_changes(index, changed, ("pages", 1), strip_page1=False)
+    return index.read().select("source_file", "page", "chunk_no", F.md5("chunk").alias("chunk"))
+
+
 # --- beyond the reference -----------------------------------------------------------------------------
 
 

@@ -22,7 +22,7 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return df.withColumn("name", F.regexp_extract("path", "([^/]+)$", 1)).withColumn("modality", modality(F.col("path"))).where("modality is not null").orderBy(F.lower("name"))
 
 
-def parse_files(spark: SparkSession, folder: str, kind: str, parser: Callable[[bytes], str | list[str]]) -> DataFrame:
+def parse_files(spark: SparkSession, folder: str | list[str], kind: str, parser: Callable[[bytes], str | list[str]]) -> DataFrame:
     """Page records of all files of one kind; the parser gives a text or a list of pages. A file that fails gives a row with its error (X1). Blank pages go, numbers stay."""
     if kind not in TYPES:
         raise ValueError(f"type must be one of {', '.join(TYPES)}")  # S2
@@ -43,9 +43,9 @@ def parse_files(spark: SparkSession, folder: str, kind: str, parser: Callable[[b
     return files.mapInPandas(run, PAGES).where(F.col("error").isNotNull() | ~blank(F.col("text")))
 
 
-def read_text(spark: SparkSession, folder: str) -> DataFrame:
+def read_text(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """One record for each text file, its contents whole; blank ones go."""
-    df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
+    df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[tT][xX][tT]").text(folder, wholetext=True)
     return df.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("source_file"), F.lit(None).cast("int").alias("page"), F.col("value").alias("text"), F.lit(None).cast("string").alias("error")).where(~blank(F.col("text")))
 
 
@@ -58,8 +58,8 @@ def raw_text(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(None, None, text, None)], PAGES)
 
 
-def load_folder(spark: SparkSession, folder: str, parsers: dict[str, Callable[[bytes], str | list[str]]]) -> DataFrame:
-    """All files of a folder whose kind has a parser, and text files, as one table of page records."""
+def load_folder(spark: SparkSession, folder: str | list[str], parsers: dict[str, Callable[[bytes], str | list[str]]]) -> DataFrame:
+    """All files of a folder, or of a list of paths, whose kind has a parser, and text files, as one table of page records."""
     parts = [parse_files(spark, folder, kind, p) for kind, p in parsers.items()] + [read_text(spark, folder)]
     return reduce(DataFrame.unionByName, parts)
 
