@@ -9,8 +9,9 @@ An id's two parts are its parents. Along them each name inherits the counts of a
 every cut of the phrase needs, and a phrase that stands inside a longer one as often as alone is found by one lookup: if a phrase has a longer one with its count,
 then so has it one that is longer by a word, and that one's parents are ids.
 
-Nothing is broadcast but a table of 2^23 bits, which keeps pairs that can't be frequent from the join; where it is full it lets all through. Each block
-is counted before anything is shuffled, so a pair is sent once a block, however often it occurs.
+Each block is counted before anything is shuffled, so a pair is sent once a block, however often it occurs. Up to NAMES_MOST names of a level
+(NAMES_CHARS code points of words) are sent to the tasks, which then join in place. Beyond that bound the blocks' distinct pairs meet the names in a shuffled join
+and come back by block; a table of 2^23 bits keeps pairs that can't be frequent from it, and lets all through where it is full. Both give the same rows.
 
 Cases: null text is empty; null language is `und`; empty texts and texts of delimiters alone have no words; repeated rows count each;
 very long texts are cut at the ends of pieces, which no phrase crosses; equal scores are ordered by count, then by the phrase's bytes; an empty
@@ -24,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -31,11 +33,11 @@ from lectern.llm._shared import as_bytes, body, freeing, materialize, mix, remov
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 BLOCK_BYTES, FILTER_BITS, PIECE_ROWS = 8 << 20, 1 << 23, 1 << 18
+NAMES_MOST, NAMES_CHARS, NARROW = 1 << 20, 1 << 24, 1 << 31
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ENDS, BLANKS = b".,;:!?\n\v\f\r", b" \t"
 KIND = np.array([2 if b in ENDS else 1 if b in BLANKS else 0 for b in range(256)], np.uint8)
 BLOCK = "block bigint, lang string, n_words bigint, words array<string>, counts array<bigint>, seq binary"
-NAMES = "id bigint, a bigint, b bigint, f bigint, lang string, phrase string, last string, heads array<bigint>, tails array<bigint>"
 
 
 def pack(seq: np.ndarray) -> bytes:
@@ -141,48 +143,89 @@ def bit_table(names: DataFrame) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8)).astype(bool)
 
 
-def name_words(blocks: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(names of the frequent words, blocks with ids)."""
+def dense(names: DataFrame, tag: str) -> tuple[DataFrame, int]:
+    """(names with ids from 1 on without gaps, how many): each row's place in its part, after the rows of the parts before; one count a part comes to the driver."""
+    held = materialize(names.withColumn("__m", F.monotonically_increasing_id()), tag)
+    part = F.shiftright("__m", 33)
+    starts, n = {}, 0
+    for r in held.groupBy(part.alias("part")).count().orderBy("part").collect():
+        starts[r.part], n = n, n + r["count"]
+    before = F.element_at(F.create_map(*(F.lit(x) for p in starts.items() for x in p)), part) if starts else F.lit(0)
+    return held.withColumn("id", (before + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("bigint")).drop("__m"), n
 
-    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                words, counts = batch.column(2)[i].values, batch.column(3)[i].values
-                for start in range(0, len(words), PIECE_ROWS):
-                    part = words.slice(start, PIECE_ROWS)
-                    n = len(part)
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * n, pa.int64()), pa.array(np.arange(start + 1, start + n + 1, dtype=np.int32)), pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([batch.column(1)[i].as_py()])).cast(pa.string()), part, counts.slice(start, PIECE_ROWS)], names=["block", "slot", "lang", "phrase", "n"])
 
-    seen = blocks.select("block", "lang", "words", "counts").mapInArrow(freeing(flat), "block bigint, slot int, lang string, phrase string, n bigint")
-    none = F.lit(None).cast("bigint")
-    names = seen.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    names = materialize(names.select((F.monotonically_increasing_id() + 1).alias("id"), none.alias("a"), none.alias("b"), "f", "lang", "phrase", F.col("phrase").alias("last"), F.array().cast("array<bigint>").alias("heads"), F.array().cast("array<bigint>").alias("tails")), "names-1")
-    met = seen.join(names.select("lang", "phrase", "id"), ["lang", "phrase"]).select("block", "slot", "id")
-    return names, renamed(blocks, met, lambda seq, m: seq)
+def rebuilt(old: np.ndarray, slots: np.ndarray) -> bytes:
+    """The array in which the slots' places have numbers from 1 on, in their order, and others are zero; places without a named neighbour are left out."""
+    place = np.zeros(int(max(old.max(initial=0), slots.max(initial=0))) + 1, np.int32)
+    place[slots] = np.arange(1, len(slots) + 1)
+    new = np.concatenate([[0], place[old], [0]]).astype(np.int32)
+    beside = (new[1:-1] > 0) & ((new[:-2] > 0) | (new[2:] > 0))
+    new = np.where(beside, new[1:-1], 0)
+    return pack(new[(new > 0) | np.concatenate([[False], new[:-1] > 0])])
+
+
+def states(rows: list[tuple]) -> pa.RecordBatch:
+    """Blocks (block, array, ids of its numbers)."""
+    columns = list(zip(*((block, seq, ids.astype("<i8").tobytes(), len(ids)) for block, seq, ids in rows), strict=True)) or [(), (), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["block", "seq", "ids", "m"])
+
+
+STATE = "block bigint, seq binary, ids binary, m bigint"
 
 
 def renamed(state: DataFrame, met: DataFrame, parts) -> DataFrame:
-    """Blocks (block, seq, ids) in which the parts' slots that met a name stand for it, and others are zero; places without a named neighbour are left out."""
+    """Blocks in which the parts' slots that met a name (block, slot, id) stand for it."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for block, seq, m, pairs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                old = parts(unpack(seq), m)
                 slots, ids = pairs.values.field(0).to_numpy(), pairs.values.field(1).to_numpy()
-                place = np.zeros(int(max(old.max(initial=0), slots.max(initial=0))) + 1, np.int32)
-                place[slots] = np.arange(1, len(slots) + 1)
-                new = np.concatenate([[0], place[old], [0]]).astype(np.int32)
-                lone = (new[1:-1] > 0) & ((new[:-2] > 0) | (new[2:] > 0))
-                new = np.where(lone, new[1:-1], 0)
-                new = new[(new > 0) | np.concatenate([[False], new[:-1] > 0])]
-                out.append((block, pack(new), ids.astype("<i8").tobytes(), len(ids)))
-            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.int64())], names=["block", "seq", "ids", "m"])
+                out.append((block, rebuilt(parts(unpack(seq), m), slots), ids))
+            yield states(out)
 
     held = met.groupBy("block").agg(F.collect_list(F.struct("slot", "id")).alias("pairs"))  # no more than a block has distinct phrases
     slim = state.select("block", "seq", F.col("m") if "m" in state.columns else F.lit(0).cast("bigint").alias("m"))
-    return slim.join(held, "block").select("block", "seq", "m", "pairs").mapInArrow(freeing(build), "block bigint, seq binary, ids binary, m bigint")
+    return slim.join(held, "block").select("block", "seq", "m", "pairs").mapInArrow(freeing(build), STATE)
+
+
+def name_words(blocks: DataFrame, least: int) -> tuple[DataFrame, int, DataFrame]:
+    """(names of the frequent words, how many, blocks with ids)."""
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words, counts = batch.column(2)[i].values, batch.column(3)[i].values
+                for start in range(0, len(words), PIECE_ROWS):
+                    part = words.slice(start, PIECE_ROWS)
+                    n = len(part)
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * n, pa.int64()), pa.array(np.arange(start + 1, start + n + 1, dtype=np.int32)), pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([batch.column(1)[i].as_py()])).cast(pa.string()), part, counts.slice(start, PIECE_ROWS)], names=["block", "slot", "lang", "phrase", "n"])
+
+    seen = blocks.select("block", "lang", "words", "counts").mapInArrow(freeing(flat), "block bigint, slot int, lang string, phrase string, n bigint")
+    none = F.lit(None).cast("bigint")
+    names, many = dense(seen.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "names-1")
+    names = names.select("id", none.alias("a"), none.alias("b"), "f", "lang", "phrase", F.col("phrase").alias("last"), F.array().cast("array<bigint>").alias("heads"), F.array().cast("array<bigint>").alias("tails"))
+    if many <= NAMES_MOST and (names.agg(F.sum(F.length("phrase")).alias("n")).first().n or 0) <= NAMES_CHARS:
+        by_lang: dict[str, tuple[list, list]] = {}
+        for r in names.select("lang", "phrase", "id").toArrow().to_batches():
+            for tongue, word, i in zip(*(c.to_pylist() for c in r.columns), strict=True):
+                own = by_lang.setdefault(tongue, ([], []))
+                own[0].append(word), own[1].append(i)
+        sent = blocks.sparkSession.sparkContext.broadcast({k: (pa.array(w, pa.string()), np.array(i, np.int64)) for k, (w, i) in by_lang.items()})
+
+        def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for block, tongue, words, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                    known, ids = sent.value.get(tongue, (pa.array([], pa.string()), np.zeros(0, np.int64)))
+                    at = pc.fill_null(pc.index_in(words.values, value_set=known), -1).to_numpy()
+                    slots = np.flatnonzero(at >= 0)
+                    out.append((block, rebuilt(unpack(seq), slots + 1), ids[at[slots]]))
+                yield states(out)
+
+        return names, many, blocks.select("block", "lang", "words", "seq").mapInArrow(freeing(put), STATE)
+    met = seen.join(names.select("lang", "phrase", "id"), ["lang", "phrase"]).select("block", "slot", "id")
+    return names, many, renamed(blocks, met, lambda seq, m: seq)
 
 
 def pair_slots(seq: np.ndarray, m: int) -> np.ndarray:
@@ -193,40 +236,64 @@ def pair_slots(seq: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
-def name_pairs(state: DataFrame, before: DataFrame, least: int, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """(names of the frequent pairs, blocks with their ids; none after the last level)."""
+def name_pairs(state: DataFrame, before: DataFrame, many: int, least: int, last: bool) -> tuple[DataFrame, int, DataFrame | None]:
+    """(names of the frequent pairs of ids, of which there are `many`; how many; blocks with their ids, none after the last level)."""
+    narrow = many < NARROW  # two ids fit one number
 
-    def pairs(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for block, seq, ids, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                names = np.concatenate([[0], np.frombuffer(ids, "<i8")])
-                first, second, counts, _, _ = neighbours(unpack(seq), m)
-                a, b = names[first], names[second]
-                some = np.arange(len(a)) if bits is None else np.flatnonzero(bits[bit_of(a, b)])
-                for start in range(0, len(some), PIECE_ROWS):
-                    at = some[start : start + PIECE_ROWS]
-                    columns = [pa.array(a[at]), pa.array(b[at])]
-                    if bits is None:
-                        yield pa.RecordBatch.from_arrays([*columns, pa.array(counts[at])], names=["a", "b", "n"])
-                    else:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block, np.int64)), pa.array((at + 1).astype(np.int32)), *columns], names=["block", "slot", "a", "b"])
+                names, seq = np.concatenate([[0], np.frombuffer(ids, "<i8")]), unpack(seq)
+                first, second, counts, _, _ = neighbours(seq, m)
+                yield block, seq, m, names[first], names[second], counts
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, a, b, counts in distinct(batches):
+            order = np.lexsort((b, a))
+            for start in range(0, len(a), PIECE_ROWS):
+                at = order[start : start + PIECE_ROWS]
+                keys = [pa.array(a[at] << 32 | b[at])] if narrow else [pa.array(a[at]), pa.array(b[at])]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(counts[at])], names=["k", "n"] if narrow else ["a", "b", "n"])
 
     rows = state.select("block", "seq", "ids", "m")
-    seen = rows.mapInArrow(freeing(pairs), "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    numbered = materialize(seen.select((F.monotonically_increasing_id() + 1).alias("id"), "a", "b", "f"), "pairs")
+    keys = ["k"] if narrow else ["a", "b"]
+    seen = rows.mapInArrow(freeing(pairs), "k bigint, n bigint" if narrow else "a bigint, b bigint, n bigint").groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    if narrow:
+        seen = seen.select(F.shiftright("k", 32).alias("a"), F.col("k").bitwiseAND(F.lit((1 << 32) - 1)).alias("b"), "f")
+    numbered, found = dense(seen, "pairs")
     left = before.select(F.col("id").alias("a"), "lang", F.col("phrase").alias("__first"), F.concat("heads", F.array("f")).alias("heads"))
     right = before.select(F.col("id").alias("b"), "last", F.concat("tails", F.array("f")).alias("tails"))
     names = numbered.join(left, "a").join(right, "b").select("id", "a", "b", "f", "lang", F.concat("__first", F.lit(" "), "last").alias("phrase"), "last", "heads", "tails")
     names = materialize(names, "names")
     if last:
-        return names, None
-    sent = state.sparkSession.sparkContext.broadcast(np.packbits(bit_table(numbered)))
+        return names, found, None
+    if narrow and found <= NAMES_MOST:
+        known = numbered.select("a", "b", "id").toArrow()
+        key = known.column("a").to_numpy() << 32 | known.column("b").to_numpy()
+        order = np.argsort(key)
+        sent = state.sparkSession.sparkContext.broadcast((key[order], known.column("id").to_numpy()[order]))
+
+        def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, ids = sent.value
+            for block, seq, m, a, b, _ in distinct(batches):
+                asked = a << 32 | b
+                at = np.minimum(np.searchsorted(key, asked), max(0, len(key) - 1))
+                slots = np.flatnonzero(key[at] == asked) if len(key) else np.zeros(0, np.int64)
+                yield states([(block, rebuilt(pair_slots(seq, m), slots + 1), ids[at[slots]])])
+
+        return names, found, rows.mapInArrow(freeing(put), STATE)
+    bits = state.sparkSession.sparkContext.broadcast(np.packbits(bit_table(numbered)))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from pairs(batches, np.unpackbits(sent.value).astype(bool))
+        table = np.unpackbits(bits.value).astype(bool)
+        for block, _, _, a, b, _ in distinct(batches):
+            some = np.flatnonzero(table[bit_of(a, b)])
+            for start in range(0, len(some), PIECE_ROWS):
+                at = some[start : start + PIECE_ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block, np.int64)), pa.array((at + 1).astype(np.int32)), pa.array(a[at]), pa.array(b[at])], names=["block", "slot", "a", "b"])
 
     met = rows.mapInArrow(freeing(asked), "block bigint, slot int, a bigint, b bigint").join(numbered.select("a", "b", "id"), ["a", "b"]).select("block", "slot", "id")
-    return names, renamed(state, met, pair_slots)
+    return names, found, renamed(state, met, pair_slots)
 
 
 def phrase_names(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text: str = "text", lang: str = "lang", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[DataFrame]]:
@@ -234,12 +301,12 @@ def phrase_names(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, te
     small_batches(docs.sparkSession)
     blocks = materialize(blocks_of(docs, text, lang, block_bytes), "blocks")
     totals = materialize(blocks.groupBy("lang").agg(F.sum("n_words").alias("n")), "totals")
-    names, state = name_words(blocks, least)
+    names, many, state = name_words(blocks, least)
     levels = [names]
     held, state = blocks, materialize(state, "state")
     remove_table(held)
     for k in range(2, longest + 1):
-        names, new = name_pairs(state, levels[-1], least, k == longest)
+        names, many, new = name_pairs(state, levels[-1], many, least, k == longest)
         levels.append(names)
         if new is not None:
             held, state = state, materialize(new, "state")

@@ -121,12 +121,17 @@ def test_collocations(spark, odd):
     assert found_collocations(odd.limit(0)) == []
 
 
-def test_collocations_without_bits(spark, docs, monkeypatch):
-    """A full table of bits lets all pairs through; rows stay."""
+@pytest.mark.parametrize("bounds", [{"NAMES_MOST": 0}, {"NAMES_MOST": 0, "NARROW": 0}, {"NAMES_CHARS": 3}, {"NAMES_MOST": 0, "full": True}])
+def test_collocations_beyond_the_bounds(spark, docs, monkeypatch, bounds):
+    """Names beyond what is sent to tasks, ids of over 31 bits and a full table of bits: the rows stay."""
     import numpy as np
 
     want = found_collocations(docs, least=20)
-    monkeypatch.setattr(collocations, "bit_table", lambda names: np.ones(collocations.FILTER_BITS, bool))
+    for name, value in bounds.items():
+        if name == "full":
+            monkeypatch.setattr(collocations, "bit_table", lambda names: np.ones(collocations.FILTER_BITS, bool))
+        else:
+            monkeypatch.setattr(collocations, name, value)
     assert sorted(found_collocations(docs, least=20)) == sorted(want) and want
 
 
