@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.functions import text as fn
+from lectern.functions import sql, text as fn
 from lectern.operators import boilerplate, chunking, cleaning, evaluation, generation, groundtruth, layout, pivots, relational, vectors
 from lectern.sources import ledger, loaders, store
 from lectern.streaming import ingest, reindex
@@ -515,10 +515,59 @@ def key_phrase_consistency(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.bool_or(hit).alias("any_hit"), F.bool_and(hit).alias("consistent"))
 
 
+# --- SQL text -------------------------------------------------------------------------------
+
+
+def told(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
+    """SQL text with the engine's functions over tables that stand in braces."""
+    sql.register(spark)
+    return spark.sql(text, **tables)
+
+
+@query(f"WITH {QA}, t AS (SELECT conv_id, turn, list_filter(string_split({n1_sql('question')}, ' '), lambda x: x <> '') AS e, list_filter(string_split({n1_sql('answer')}, ' '), lambda x: x <> '') AS g FROM qa), o AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(e), lambda w: least(len(list_filter(e, lambda x: x = w)), len(list_filter(g, lambda x: x = w))))), 0) AS c FROM t) SELECT conv_id, turn, round(CASE WHEN c = 0 THEN 0 ELSE 2.0 * c / (len(e) + len(g)) END, 6) AS f1 FROM o")
+def sql_token_f1(spark, d):
+    return told(spark, "SELECT conv_id, turn, round(token_f1(question, answer), 6) AS f1 FROM {qa}", qa=questions(spark, d))
+
+
+@query(f"WITH {QA} SELECT conv_id, turn, {n1_sql('answer')} AS answer FROM qa")
+def sql_normalise_answer(spark, d):
+    return told(spark, "SELECT conv_id, turn, normalise_answer(answer) AS answer FROM {qa}", qa=questions(spark, d))
+
+
+@query(SQL["degenerate_flags"])
+def sql_is_degenerate(spark, d):
+    return told(spark, "SELECT doc_id, is_degenerate(text) AS degenerate FROM {documents}", documents=table(spark, d, "documents"))
+
+
+@query(f"WITH {CH} SELECT doc_id, source_file, page, chunk_no, chunk, n_tokens, CAST(row_number() OVER (PARTITION BY source_file ORDER BY page, chunk_no) - 1 AS INTEGER) AS position FROM ch")
+def sql_chunk_windows(spark, d):
+    """C4 as a table function; each file's chunks are numbered in the order of its pages."""
+    rows = pages(spark, d).select("doc_id", "source_file", "page", fn.collapse(F.col("text")).alias("clean"))
+    return told(spark, "SELECT doc_id, source_file, page, chunk_no, chunk, n_tokens, position FROM chunk_windows(TABLE({rows}) PARTITION BY source_file ORDER BY page, text_column => 'clean')", rows=rows)
+
+
+# Rounds of the budget as a recursive query over each conversation's turns.
+BUDGET_SQL = r"""WITH RECURSIVE n AS (SELECT conv_id, turn, text, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS INTEGER) AS n FROM conversations),
+c AS (SELECT conv_id, list(n ORDER BY turn, n) AS lengths FROM n GROUP BY conv_id),
+r AS (SELECT 0 AS i, conv_id, lengths, list_transform(lengths, lambda x: 0) AS got, 300 AS room FROM c
+UNION ALL SELECT i + 1, conv_id, lengths, CASE WHEN room = 0 OR total = 0 THEN got WHEN spent = 0 THEN list_transform(range(1, len(lengths) + 1), lambda k: CAST(got[k] + CASE WHEN got[k] < lengths[k] AND len(list_filter(range(1, k), lambda j: got[j] < lengths[j])) < room THEN 1 ELSE 0 END AS INTEGER))
+ELSE list_transform(range(1, len(lengths) + 1), lambda k: CAST(got[k] + adds[k] AS INTEGER)) END, CASE WHEN room = 0 OR total = 0 THEN room WHEN spent = 0 THEN 0 ELSE room - spent END
+FROM (SELECT *, CAST(coalesce(list_sum(adds), 0) AS INTEGER) AS spent FROM (SELECT *, list_transform(range(1, len(lengths) + 1), lambda k: CASE WHEN got[k] < lengths[k] AND total > 0 THEN least(CAST(floor(room * power(0.85::DOUBLE, k - 1) / total) AS INTEGER), lengths[k] - got[k]) ELSE 0 END) AS adds FROM
+(SELECT *, coalesce(list_sum(list_transform(range(1, len(lengths) + 1), lambda k: CASE WHEN got[k] < lengths[k] THEN power(0.85::DOUBLE, k - 1) ELSE 0::DOUBLE END)), 0) AS total FROM r WHERE i < 2 * len(lengths) + 2))))
+SELECT conv_id, lengths, got AS taken FROM r WHERE i = 2 * len(lengths) + 2"""
+
+
+@query(BUDGET_SQL)
+def sql_allocate_budget(spark, d):
+    """G1 in SQL text: each conversation's turns as chunks of a context of 300 words."""
+    return told(spark, """SELECT conv_id, lengths, allocate_budget(lengths, 300) AS taken FROM (SELECT conv_id, transform(sort_array(collect_list(struct(turn, size(filter(split(coalesce(text, ''), '(?U)\\\\s+'), w -> w <> '')) AS n))), x -> x.n) AS lengths
+        FROM {turns} GROUP BY conv_id)""", turns=table(spark, d, "conversations"))
+
+
 # --- generation -----------------------------------------------------------------------------
 
 
-@query()
+@query(BUDGET_SQL)
 def allocate_budget(spark, d):
     """Each conversation's turns as chunks of a context of 300 words."""
     lengths = F.transform(F.sort_array(F.collect_list(F.struct("turn", F.size(fn.words(F.col("text"))).alias("n")))), lambda x: x["n"])
