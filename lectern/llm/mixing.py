@@ -17,7 +17,7 @@ over written tables, by the same rules.
 
 Cases: null source, language or topic is a value of its own; null text has no
 tokens and is sampled with its cell's probability (1 if the whole cell is empty);
-rows are drawn by id and text, so different texts of one id are drawn apart and equal rows alike, but rows without an id are each drawn by
+rows are drawn by id and text, so different texts of one id are drawn apart; rows that share both, and rows without an id, are each drawn by
 their place in the table; an empty table gives an
 empty one; extra columns pass through, whatever their names. Cells are aggregated before any shuffle,
 so a source that holds a third of all rows is a few rows; a table of at most CELLS cells is
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lectern.llm._shared import body, materialize
 
 MARGINS = ("source", "language", "topic")
-TEMPER, SHARE, TOLERANCE, MOST_SWEEPS, CELLS = 0.5, 0.6, 1e-9, 500, 100_000
+TEMPER, SHARE, TOLERANCE, MOST_SWEEPS, CELLS, REPEATS = 0.5, 0.6, 1e-9, 500, 100_000, 1_000_000
 #: The query's targets; sources are tempered.
 TARGETS = {
     "language": {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15},
@@ -177,11 +177,15 @@ def calibrated(cells: DataFrame, targets: dict[str, dict] | None = None, share:
 
 
 def keyed(docs: DataFrame, names: dict[str, Column] | None = None) -> DataFrame:
-    """row (all columns of docs), the margins, tokens and the row's draw, uniform from 0 to 1."""
+    """row (all columns of docs), the margins, tokens and the row's draw, uniform from 0 to 1; rows that share id and text are told apart by their place in the table."""
     names = names or {"source": F.col("source"), "language": F.col("lang"), "topic": topic(body())}
-    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.xxhash64(body()), place, F.lit("mix")), 11) * F.lit(2.0**-53)
-    return docs.select(F.struct(*docs.columns).alias("row"), *(names[m].cast("string").alias(m) for m in MARGINS), n_tokens(body()).alias("tokens"), draw.alias("draw"))
+    key = F.xxhash64("doc_id", F.xxhash64(body()))
+    twice = materialize(docs.where("doc_id is not null").groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.lit(True).alias("again")), "repeats")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *(names[m].cast("string").alias(m) for m in MARGINS), n_tokens(body()).alias("tokens"), key.alias("key"), F.monotonically_increasing_id().alias("place"))
+    rows = rows.join(F.broadcast(twice) if twice.count() <= REPEATS else twice, "key", "left")
+    place = F.when(F.col("row.doc_id").isNull() | F.col("again"), F.col("place"))
+    draw = F.shiftrightunsigned(F.xxhash64("key", place, F.lit("mix")), 11) * F.lit(2.0**-53)
+    return rows.select("row", *MARGINS, "tokens", draw.alias("draw"))
 
 
 def mixed(rows: DataFrame, targets: dict[str, dict] | None = None, share: float = SHARE) -> DataFrame:

@@ -783,3 +783,17 @@ def test_runs_near_sensitive_words():
         near = [(a - secrets.REACH, b + secrets.REACH) for a, b in secrets.sensitive(text)]
         want = [m.span() for m in secrets.CANDIDATE.finditer(text) if any(m.start() < hi and m.end() > lo for lo, hi in near)]
         assert list(scanner.candidates(text)) == want
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_equal_rows_are_drawn_apart(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "REPEATS", most)
+    rows = [(7, "the same text again", "en", "a", 19)] * 500 + [(i, f"text number {i} of many words here", "en" if i % 2 else "de", "b", 30) for i in range(100, 400)]
+    df = spark.createDataFrame(rows, DOCS).repartition(4)
+    out = mixing.mix_documents(df, {"language": {"en": 0.5, "de": 0.5}}).select(F.col("row.doc_id").alias("i"), "probability", "sampled").collect()
+    same = [r for r in out if r.i == 7]
+    p = same[0].probability
+    assert len(same) == 500 and 0.05 < p < 0.95 and abs(sum(r.sampled for r in same) - 500 * p) < 5 * math.sqrt(500 * p * (1 - p))
+    single = [r for r in out if r.i != 7]
+    again = {r.i: r.sampled for r in mixing.mix_documents(df.repartition(7), {"language": {"en": 0.5, "de": 0.5}}).select(F.col("row.doc_id").alias("i"), "sampled").collect() if r.i != 7}
+    assert {r.i: r.sampled for r in single} == again
