@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import time
-from collections import OrderedDict
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,14 +14,15 @@ from lectern.operators.chunking import preprocess
 from lectern.operators.generation import answered, budget_context, generate
 from lectern.operators.vectors import HashingEmbedder, embed, knn
 from lectern.sources import store
+from lectern.sources.ledger import Ledger
 
 
 def build(pages: DataFrame, path: str, make=HashingEmbedder) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The stored index, per-file counts, and failures (name, error). Files that failed don't end the rest."""
     failures = pages.where("error is not null").select(F.col("source_file").alias("name"), "error")
     chunks = preprocess(pages.where("error is null").select("source_file", F.col("page").cast("bigint").alias("page"), "text"))
-    key = F.xxhash64("source_file", "page", "chunk_no", "chunk").alias("chunk_id")
-    store.save(embed(chunks.select(key, "*"), "chunk", make=make), path)
+    # A number of its own for each row, written with it: a page that is given twice has two.
+    store.save(embed(chunks.select(F.monotonically_increasing_id().alias("chunk_id"), "*"), "chunk", make=make), path)
     index = store.load(pages.sparkSession, path)
     return index, store.stats(index), failures
 
@@ -36,19 +38,32 @@ def create(spark: SparkSession, root: str, name: str) -> str:
 
 
 class IndexCache:
-    """At most `most` built indexes by (project, signature); the one unused longest goes first."""
-
-    def __init__(self, most: int = 8):
-        self.most, self.held = most, OrderedDict()
-
-    def get(self, project: str, signature: str, make):
-        key = (project, signature)
-        if key not in self.held:
-            self.held[key] = make()
-            while len(self.held) > self.most:
-                self.held.popitem(last=False)
-        self.held.move_to_end(key)
-        return self.held[key]
+    """At most `most` built indexes, one for each project, by the signature of its files; the one unused longest goes first. What there is stands in a Ledger, so other sessions find it, and writers at once lose nothing."""
+
+    def __init__(self, spark: SparkSession, root: str, most: int = 8):
+        self.spark, self.root, self.most = spark, root, most
+        self.held = Ledger(spark, f"{root}/catalog", "project string, signature string, folder string, used bigint", "project")
+
+    def get(self, project: str, signature: str, make: Callable[[str], object]) -> str:
+        """The folder of the project's index; make(folder) builds it if none has this signature."""
+        rows = {r.project: r for r in self.held.read().orderBy("used").collect()}  # `most` rows, and those of writers at once
+        own, clock = rows.get(project), self.held.latest().number + 1
+        if own is None or own.signature != signature:
+            folder = f"{self.root}/indexes/{uuid.uuid4().hex}"
+            make(folder)
+        else:
+            folder = own.folder
+        others = [r for p, r in rows.items() if p != project]
+        out = others[: max(0, len(others) + 1 - self.most)]
+        entry = self.spark.createDataFrame([(project, signature, folder, clock)], self.held.schema)
+        self.held.upsert(entry, self.spark.createDataFrame([(r.project,) for r in out], "project string"))
+        for r in [*out, *([own] if own is not None and own.folder != folder else [])]:
+            self._drop(r.folder)
+        return folder
+
+    def _drop(self, folder: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ask(questions: DataFrame, index: DataFrame, k: int = 3, make=HashingEmbedder, model=None) -> DataFrame:
@@ -68,8 +83,9 @@ def append_turn(spark: SparkSession, path: str, project: str, turn: int, role: s
 
 
 def replay(spark: SparkSession, path: str, project: str) -> DataFrame:
-    """X4."""
-    return spark.read.parquet(path).where(F.col("project") == project).orderBy("turn")
+    """A project's turns in order; of a turn that was sent again, the first row in the order of its content."""
+    rows = spark.read.parquet(path).where(F.col("project") == project)
+    return rows.groupBy("project", "turn").agg(F.min(F.struct("role", "content", "sources")).alias("x")).select("project", "turn", "x.*").orderBy("turn")
 
 
 @contextlib.contextmanager

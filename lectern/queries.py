@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lectern.functions import sql, text as fn
 from lectern.operators import boilerplate, chunking, cleaning, evaluation, generation, groundtruth, layout, pivots, relational, vectors
-from lectern.sources import ledger, loaders, store
+from lectern.sources import ledger, loaders, pagesource, store
 from lectern.streaming import ingest, reindex
 
 #: Windows of a document, or turns of a conversation, that have numbers of their own; no text has so many.
@@ -846,7 +846,7 @@ def distinct_values(spark, d):
     return table(spark, d, "documents").agg(F.count_distinct(F.xxhash64("text"), F.md5(F.encode("text", "utf-8"))).alias("texts"), F.count_distinct("source").alias("sources"))
 
 
-@query("WITH f AS (SELECT source AS project, sha256(concat_ws('|', CAST(doc_id AS VARCHAR), '2024-01-01 00:00:00', CAST(n_chars AS VARCHAR))) AS h FROM documents) SELECT project, sha256(string_agg(h, ',' ORDER BY h)) AS signature FROM f GROUP BY project")
+@query("WITH f AS (SELECT source AS project, sha256(concat_ws('|', CAST(doc_id AS VARCHAR), '2024-01-01 00:00:00', CAST(n_chars AS VARCHAR))) AS h FROM documents), s AS (SELECT project, count(*) AS n, " + ", ".join(f"sum(CAST('0x' || substr(h, {15 * k + 1}, 15) AS HUGEINT)) AS s{k}" for k in range(4)) + " FROM f GROUP BY project) SELECT project, sha256(concat_ws('-', n, s0, s1, s2, s3)) AS signature FROM s")
 def project_signature(spark, d):
     files = table(spark, d, "documents").select(F.col("source").alias("project"), F.col("doc_id").cast("string").alias("name"), F.lit("2024-01-01").cast("timestamp").alias("modified"), F.col("n_chars").alias("length"))
     return store.signature(files)
@@ -878,6 +878,16 @@ def reindexed_chunks(spark, d):
     return index.read().select("source_file", "page", "chunk_no", F.md5("chunk").alias("chunk"))
 
 
+@query("SELECT item_id, text, 'text' AS modality FROM benchmark WHERE trim(text) <> ''")
+def page_source(spark, d):
+    """S1 to S7 as a data source: benchmark texts written as files and read back."""
+    path = store.scratch(spark, "files")
+    table(spark, d, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(path)
+    pagesource.register(spark)
+    rows = spark.read.format("lectern_pages").option("path", path).load().where("modality = 'text'")
+    return rows.select(F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("bigint").alias("item_id"), F.regexp_replace("text", "\\n$", "").alias("text"), "modality")
+
+
 # --- beyond the reference -----------------------------------------------------------------------------
 
 

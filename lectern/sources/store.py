@@ -59,9 +59,11 @@ def append_absent(new: DataFrame, path: str, key: str) -> None:
 
 
 def signature(files: DataFrame) -> DataFrame:
-    """Per project a hash of its files' names, times and sizes; it changes when any of them does."""
-    one = F.sha2(F.concat_ws("|", "name", F.col("modified").cast("string"), F.col("length").cast("string")), 256)
-    return files.withColumn("h", one).groupBy("project").agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("h"))), 256).alias("signature"))
+    """Per project a hash of its files' names, times and sizes as a multiset, whatever their order; it changes when any of them does. Files are summed, so no row holds a project's files."""
+    h = F.sha2(F.concat_ws("|", "name", F.col("modified").cast("string"), F.col("length").cast("string")), 256)
+    lane = lambda k: F.conv(F.substring("h", 15 * k + 1, 15), 16, 10).cast("decimal(38,0)")
+    sums = files.withColumn("h", h).groupBy("project").agg(F.count(F.lit(1)).alias("n"), *(F.sum(lane(k)).alias(f"s{k}") for k in range(4)))
+    return sums.select("project", F.sha2(F.concat_ws("-", F.col("n").cast("string"), *(F.col(f"s{k}").cast("string") for k in range(4))), 256).alias("signature"))
 
 
 def stats(chunks: DataFrame) -> DataFrame:
