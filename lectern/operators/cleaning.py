@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lectern.functions.text import blank, clean_answer, clean_question, words
 
@@ -50,7 +50,8 @@ def removed(rows: DataFrame) -> DataFrame:
 def value_counts(rows: DataFrame, column: str) -> DataFrame:
     """Values by falling count, with their share."""
     counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n").cast("double") / F.sum("n").over(Window.partitionBy())).orderBy(F.desc("n"), column)  # a row for each value
+    total = F.broadcast(counts.agg(F.sum("n").alias("__total")))  # one row
+    return counts.crossJoin(total).withColumn("share", F.col("n").cast("double") / F.col("__total")).drop("__total").orderBy(F.desc("n"), column)
 
 
 def histogram(rows: DataFrame, value: str, most: int) -> DataFrame:

@@ -74,4 +74,5 @@ def method_summary(rows: DataFrame, methods: list[str]) -> DataFrame:
 def shares(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Each key's part of the total; keys that begin with "0." are left out."""
     sums = rows.where(~F.col(key).startswith("0.")).groupBy(key).agg(F.sum(value).alias("amount"))
-    return sums.withColumn("share", F.try_divide(F.col("amount").cast("double"), F.sum("amount").over(Window.partitionBy())))  # a row for each key
+    total = F.broadcast(sums.agg(F.sum("amount").alias("__total")))  # one row
+    return sums.crossJoin(total).withColumn("share", F.try_divide(F.col("amount").cast("double"), F.col("__total"))).drop("__total")

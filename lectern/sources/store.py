@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -52,8 +53,8 @@ def append_absent(new: DataFrame, path: str, key: str) -> None:
     """K7: rows whose key the table hasn't yet; nothing is replaced. For one writer at a time: two may both find a key absent."""
     try:
         new = new.join(new.sparkSession.read.parquet(path).select(key), key, "left_anti")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
     new.write.mode("append").parquet(path)
 
