@@ -26,12 +26,13 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lectern.llm._shared import as_bytes, body, freeing, materialize, small_batches
 
 LEAST, TOP, ONE = 3, 200, 1_000_000_000
-HEAD_TERMS, HEAD_CHARS, HEAD_LENGTH = 1 << 18, 1 << 22, 64
+HEAD_TERMS, HEAD_CHARS, HEAD_LENGTH = 1 << 20, 1 << 23, 64
 FLUSH, SLICE, PAIRS, POSTINGS = 1 << 19, 1 << 21, 1 << 20, 1 << 18
 #: Letters in lower case and all that isn't ASCII as they are, a space for the rest.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -72,43 +73,63 @@ def document_frequencies(rows: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """The automaton over distinct terms, and each language's ids of them (-1: not its own)."""
+    """The automaton over distinct terms, and each language's ids of them (-1: not its own). words: terms joined by line ends, and their ids, by language."""
 
-    def __init__(self, rows: list[tuple[str, str, int]]):
+    def __init__(self, words: dict[str, tuple[bytes, np.ndarray]], named: bool = False):
         import ahocorasick
 
-        number: dict[str, int] = {}
-        for _, term, _ in rows:
-            number.setdefault(term, len(number))
-        self.ids = {lang: np.full(len(number), -1, np.int64) for lang, _, _ in rows}
-        for lang, term, tid in rows:
-            self.ids[lang][number[term]] = tid
-        self.number, self.match = number, ahocorasick.Automaton()
-        for term, i in number.items():
-            self.match.add_word(f" {term} ", i)
-        if number:
+        self.match, places, n = ahocorasick.Automaton(), {}, 0
+        for lang, (terms, _) in words.items():
+            places[lang] = at = []
+            for term in terms.decode().split("\n") if terms else []:
+                word = f" {term} "
+                i = self.match.get(word, -1)
+                if i < 0:
+                    i, n = n, n + 1
+                    self.match.add_word(word, i)
+                at.append(i)
+        self.n, self.ids = n, {}
+        for lang, (_, tids) in words.items():
+            self.ids[lang] = np.full(n, -1, np.int64)
+            self.ids[lang][places[lang]] = tids
+        #: Only where some kept terms aren't in the automaton: each language's own.
+        self.own = {lang: set(terms.split(b"\n")) for lang, (terms, _) in words.items()} if named else {}
+        if n:
             self.match.make_automaton()
 
-    def counts(self, text: str) -> np.ndarray:
-        """Occurrences of each term; the text's terms have one space at least on either side."""
-        total, start = np.zeros(len(self.number), np.int64), 0
-        while self.number and start < len(text) - 1:
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the terms that occur, their occurrences); the text's terms have one space at least on either side."""
+        found, start = [], 0
+        while self.n and start < len(text) - 1:
             end = len(text) if len(text) - start <= SLICE else text.find(" ", start + SLICE) + 1 or len(text)
             # Slices share the space between them.
-            found = np.fromiter(map(itemgetter(1), self.match.iter(text, start, end)), np.int64)
-            total += np.bincount(found, minlength=len(total))
+            found.append(summed(np.fromiter(map(itemgetter(1), self.match.iter(text, start, end)), np.int64)))
             start = end - 1 if end < len(text) else end
-        return total
+        return merged(found)
+
+
+def summed(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(numbers, return_counts=True)
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and counts of several parts as one."""
+    if len(parts) < 2:
+        return parts[0] if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    numbers, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+    n = np.zeros(len(numbers), np.int64)
+    np.add.at(n, at, np.concatenate([c for _, c in parts]))
+    return numbers, n
 
 
 _vocabulary: list = [None, None]
 
 
-def vocabulary_of(sent) -> Vocabulary:
+def vocabulary_of(sent, named: bool) -> Vocabulary:
     """The broadcast terms' automaton; a worker holds one."""
     if _vocabulary[0] != sent.id:
         _vocabulary[:] = None, None
-        _vocabulary[:] = sent.id, Vocabulary(sent.value)
+        _vocabulary[:] = sent.id, Vocabulary(sent.value, named)
     return _vocabulary[1]
 
 
@@ -128,30 +149,30 @@ class _Sent:
 def postings(rows: DataFrame, kept: DataFrame, head_terms: int = HEAD_TERMS, head_chars: int = HEAD_CHARS) -> DataFrame:
     """lang, source, tid, n: occurrences of kept terms (lang, term, tid, df), where there are any."""
     spark = rows.sparkSession
-    some = kept.where(F.length("term") <= HEAD_LENGTH).orderBy(F.desc("df"), "tid").limit(head_terms).select("lang", "term", "tid").toArrow().to_pylist()
-    head, room = [], head_chars
-    for r in some:
-        room -= len(r["term"])
-        if room < 0:
-            break
-        head.append((r["lang"], r["term"], r["tid"]))
-    whole = kept.count() == len(head)
+    some = kept.where(F.length("term") <= HEAD_LENGTH).orderBy(F.desc("df"), "tid").limit(head_terms).select("lang", "term", "tid").toArrow()
+    some = some.slice(0, int(np.searchsorted(np.cumsum(pc.utf8_length(some["term"]).to_numpy()), head_chars, "right"))).combine_chunks()
+    head = {}
+    for lang in some["lang"].unique().to_pylist():
+        own = some.filter(pc.equal(some["lang"], lang))
+        head[lang] = b"\n".join(as_bytes(own["term"])), own["tid"].to_numpy()
+    whole = kept.count() == some.num_rows
     sent = _Sent(spark, head)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary_of(sent)
-        known: dict[tuple[str, str], np.ndarray] = {}
+        words = vocabulary_of(sent, not whole)
+        known: dict[tuple[str, str], list[tuple[np.ndarray, np.ndarray]]] = {}
         other: dict[tuple[str, str], Counter] = {}
+        size = 0
 
         def out(group: tuple[str, str], tid, term, n) -> pa.RecordBatch:
             names = [pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(n), np.int32)), pa.array([x])).cast(pa.string()) for x in group]
             return pa.RecordBatch.from_arrays([*names, tid, term, pa.array(n, pa.int64())], names=["lang", "source", "tid", "term", "n"])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for group, n in known.items():
-                ids = words.ids.get(group[0], np.full(len(n), -1))
-                at = np.flatnonzero((n > 0) & (ids >= 0))
-                yield out(group, pa.array(ids[at]), pa.nulls(len(at), pa.string()), n[at])
+            for group, parts in known.items():
+                numbers, n = merged(parts)
+                tids = words.ids[group[0]][numbers]
+                yield out(group, pa.array(tids[tids >= 0]), pa.nulls(int((tids >= 0).sum()), pa.string()), n[tids >= 0])
             for group, terms in other.items():
                 yield out(group, pa.nulls(len(terms), pa.int64()), pa.array(list(terms), pa.binary()).cast(pa.string()), list(terms.values()))
             known.clear(), other.clear()
@@ -162,15 +183,15 @@ def postings(rows: DataFrame, kept: DataFrame, head_terms: int = HEAD_TERMS, hea
                 texts.setdefault((lang, source), []).append(value.translate(PLAIN))
             for group, parts in texts.items():
                 raw = b" ".join([b"", *parts, b""])
-                n = words.counts(raw.decode())
-                known[group] = known[group] + n if group in known else n
+                if group[0] in words.ids:
+                    known.setdefault(group, []).append(words.counts(raw.decode()))
+                    size += len(known[group][-1][0])
                 if not whole:
-                    ids = words.ids.get(group[0])
-                    tally = Counter(raw.split())
-                    left = {t: c for t, c in tally.items() if ids is None or (i := words.number.get(t.decode())) is None or ids[i] < 0}
-                    other.setdefault(group, Counter()).update(left)
-            if len(known) * max(1, len(words.number)) > 16 * FLUSH or sum(map(len, other.values())) > FLUSH:
+                    own = words.own.get(group[0], ())
+                    other.setdefault(group, Counter()).update({t: c for t, c in Counter(raw.split()).items() if t not in own})
+            if size > 4 * FLUSH or sum(map(len, other.values())) > FLUSH:
                 yield from flush()
+                size = 0
         yield from flush()
 
     found = rows.mapInArrow(freeing(count), "lang string, source string, tid bigint, term string, n bigint")

@@ -204,5 +204,7 @@ def test_divergence_in_small_strips(spark, docs, monkeypatch):
 
 
 def test_automaton_meets_whole_terms():
-    v = divergence.Vocabulary([("en", "a", 0), ("en", "ab", 1), ("de", "b", 2), ("en", "b", 3)])
-    assert v.counts(" a ab  b ba a ").tolist() == [2, 1, 1] and v.ids["de"].tolist() == [-1, -1, 2]
+    import numpy as np
+
+    v = divergence.Vocabulary({"en": (b"a\nab\nb", np.array([0, 1, 3])), "de": (b"b", np.array([2]))})
+    assert [x.tolist() for x in v.counts(" a ab  b ba a ")] == [[0, 1, 2], [2, 1, 1]] and v.ids["de"].tolist() == [-1, -1, 2]
