@@ -33,7 +33,7 @@ from lectern.llm._shared import as_bytes, body, freeing, materialize, small_batc
 
 LEAST, TOP, ONE = 3, 200, 1_000_000_000
 HEAD_TERMS, HEAD_CHARS, HEAD_LENGTH = 1 << 20, 1 << 23, 64
-FLUSH, SLICE, PAIRS, POSTINGS = 1 << 19, 1 << 21, 1 << 20, 1 << 18
+FLUSH, SLICE, PAIRS, POSTINGS, GROUPS = 1 << 19, 1 << 21, 1 << 20, 1 << 18, 1 << 16
 #: Letters in lower case and all that isn't ASCII as they are, a space for the rest.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -146,9 +146,11 @@ class _Sent:
         return self.held.value
 
 
-def postings(rows: DataFrame, kept: DataFrame, head_terms: int = HEAD_TERMS, head_chars: int = HEAD_CHARS) -> DataFrame:
-    """lang, source, tid, n: occurrences of kept terms (lang, term, tid, df), where there are any."""
+def postings(rows: DataFrame, sites: DataFrame, kept: DataFrame, head_terms: int = HEAD_TERMS, head_chars: int = HEAD_CHARS) -> DataFrame:
+    """gid, tid, n: occurrences of kept terms (lang, term, tid, df) in groups (lang, source, gid), where there are any. Rows are sent with the group's number if there are at most GROUPS groups, else with its names."""
     spark = rows.sparkSession
+    few = sites.count() <= GROUPS
+    number = {(r.lang, r.source): r.gid for r in sites.collect()} if few else {}
     some = kept.where(F.length("term") <= HEAD_LENGTH).orderBy(F.desc("df"), "tid").limit(head_terms).select("lang", "term", "tid").toArrow()
     some = some.slice(0, int(np.searchsorted(np.cumsum(pc.utf8_length(some["term"]).to_numpy()), head_chars, "right"))).combine_chunks()
     head = {}
@@ -165,8 +167,11 @@ def postings(rows: DataFrame, kept: DataFrame, head_terms: int = HEAD_TERMS, hea
         size = 0
 
         def out(group: tuple[str, str], tid, term, n) -> pa.RecordBatch:
-            names = [pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(n), np.int32)), pa.array([x])).cast(pa.string()) for x in group]
-            return pa.RecordBatch.from_arrays([*names, tid, term, pa.array(n, pa.int64())], names=["lang", "source", "tid", "term", "n"])
+            if few:
+                names = [pa.array(np.full(len(n), number[group], np.int64))]
+            else:
+                names = [pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(n), np.int32)), pa.array([x])).cast(pa.string()) for x in group]
+            return pa.RecordBatch.from_arrays([*names, tid, *([] if whole else [term]), pa.array(n, pa.int64())], names=[*group_names, "tid", *([] if whole else ["term"]), "n"])
 
         def flush() -> Iterator[pa.RecordBatch]:
             for group, parts in known.items():
@@ -194,14 +199,16 @@ def postings(rows: DataFrame, kept: DataFrame, head_terms: int = HEAD_TERMS, hea
                 size = 0
         yield from flush()
 
-    found = rows.mapInArrow(freeing(count), "lang string, source string, tid bigint, term string, n bigint")
-    if whole:
-        found = found.drop("term")
-    else:
+    group_names = ["gid"] if few else ["lang", "source"]
+    found = rows.mapInArrow(freeing(count), ("gid bigint" if few else "lang string, source string") + ", tid bigint" + ", term string" * (not whole) + ", n bigint")
+    if not whole:
         found = materialize(found, "occurrences")
-        rest = found.where("tid is null").groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(kept.select("lang", "term", F.col("tid").alias("__tid")), ["lang", "term"])
-        found = found.where("tid is not null").select("lang", "source", "tid", "n").union(rest.select("lang", "source", F.col("__tid").alias("tid"), "n"))
-    return found.groupBy("lang", "source", "tid").agg(F.sum("n").alias("n"))
+        rest = found.where("tid is null").groupBy(*group_names, "term").agg(F.sum("n").alias("n"))
+        rest = rest.join(F.broadcast(sites.select("gid", "lang")), "gid") if few else rest  # at most GROUPS rows
+        rest = rest.join(kept.select("lang", "term", F.col("tid").alias("__tid")), ["lang", "term"])
+        found = found.where("tid is not null").select(*group_names, "tid", "n").union(rest.select(*group_names, F.col("__tid").alias("tid"), "n"))
+    found = found.groupBy(*group_names, "tid").agg(F.sum("n").alias("n"))
+    return found if few else found.join(sites, ["lang", "source"]).select("gid", "tid", "n")
 
 
 def met_pairs(rows: DataFrame) -> DataFrame:
@@ -255,15 +262,16 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, text: str = "text
     rows = rows_of(docs, text, lang, source)
     kept = document_frequencies(rows).where(F.col("df") >= least)
     kept = materialize(kept.select(F.monotonically_increasing_id().alias("tid"), "lang", "term", "df"), "kept")
-    found = materialize(postings(rows, kept, head_terms, head_chars), "postings")
+    sites = materialize(rows.select("lang", "source").distinct().withColumn("gid", F.monotonically_increasing_id()), "sites")
+    found = materialize(postings(rows, sites, kept, head_terms, head_chars), "postings")
     size = kept.groupBy("lang").agg(F.count("*").alias("v"))
-    own = found.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("some"))
+    own = found.groupBy("gid").agg(F.sum("n").alias("total"), F.count("*").alias("some"))
     zero = F.coalesce(F.col("v"), F.lit(0))
-    groups = rows.select("lang", "source").distinct().join(own, ["lang", "source"], "left").join(size, "lang", "left")
-    groups = groups.select(F.monotonically_increasing_id().alias("gid"), "lang", "source", F.coalesce("some", F.lit(0)).alias("some"), zero.alias("v"), (F.coalesce("total", F.lit(0)) + zero).alias("mass"))
+    groups = sites.join(own, "gid", "left").join(size, "lang", "left")
+    groups = groups.select("gid", "lang", "source", F.coalesce("some", F.lit(0)).alias("some"), zero.alias("v"), (F.coalesce("total", F.lit(0)) + zero).alias("mass"))
     groups = materialize(groups.withColumn("zero", F.when(F.col("v") > 0, share(F.lit(0).cast("bigint"), F.greatest("mass", F.lit(1)))).otherwise(1)), "groups")
 
-    slim = found.join(groups.select("lang", "source", "gid", "mass", "zero"), ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("mass")))
+    slim = found.join(groups.select("gid", "lang", "source", "mass", "zero"), "gid").withColumn("p", share(F.col("n"), F.col("mass")))
     met = met_pairs(slim)
     # Terms that one source has, summed over its distinct shares; all other sources of the language see them alike.
     shares = slim.groupBy("lang", "gid", "zero", "p").agg(F.count("*").alias("m"))

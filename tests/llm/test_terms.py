@@ -183,8 +183,10 @@ def found_divergence(df, **how):
     return [tuple(r) for r in divergence.audit(df, **how).select("lang", "source", "part", "item", "value", "rank").collect()]
 
 
-@pytest.mark.parametrize("how", [{}, {"head_terms": 5}, {"head_chars": 12}, {"head_terms": 0}])
-def test_divergence(spark, odd, how):
+@pytest.mark.parametrize("groups", [1 << 16, 0])
+@pytest.mark.parametrize("how", [{}, {"head_terms": 5}, {"head_chars": 12}])
+def test_divergence(spark, odd, monkeypatch, how, groups):
+    monkeypatch.setattr(divergence, "GROUPS", groups)
     r = random.Random(4)
     rows = [("".join(r.choice(["the ", "The,", "of_", "a ", "red1", "fox", "é", "ÀB ", "new-york ", "　", " ", "x" * 70 + " ", "q"]) for _ in range(r.randrange(60))), r.choice(["en", "de", None]), r.choice(["a", "b", "c", None, "é"])) for _ in range(120)]
     df = spark.createDataFrame(rows, "text string, lang string, source string").repartition(3)
@@ -197,7 +199,7 @@ def test_divergence(spark, odd, how):
 
 def test_divergence_in_small_strips(spark, docs, monkeypatch):
     want = sorted(found_divergence(docs))
-    for name, value in (("PAIRS", 3), ("POSTINGS", 50), ("SLICE", 40), ("FLUSH", 10)):
+    for name, value in (("PAIRS", 3), ("POSTINGS", 50), ("SLICE", 40), ("FLUSH", 10), ("GROUPS", 0)):
         monkeypatch.setattr(divergence, name, value)
     assert sorted(found_divergence(docs.limit(60), top=9)) == sorted(brute_divergence([(r.text, r.lang, r.source) for r in docs.limit(60).collect()], top=9))
     assert want
