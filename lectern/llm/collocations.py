@@ -147,11 +147,13 @@ def dense(names: DataFrame, tag: str) -> tuple[DataFrame, int]:
     """(names with ids from 1 on without gaps, how many): each row's place in its part, after the rows of the parts before; one count a part comes to the driver."""
     held = materialize(names.withColumn("__m", F.monotonically_increasing_id()), tag)
     part = F.shiftright("__m", 33)
-    starts, n = {}, 0
+    starts, n = [], 0
     for r in held.groupBy(part.alias("part")).count().orderBy("part").collect():
-        starts[r.part], n = n, n + r["count"]
-    before = F.element_at(F.create_map(*(F.lit(x) for p in starts.items() for x in p)), part) if starts else F.lit(0)
-    return held.withColumn("id", (before + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("bigint")).drop("__m"), n
+        starts.append((r.part, n))
+        n += r["count"]
+    before = F.broadcast(names.sparkSession.createDataFrame(starts, "__part bigint, __before bigint").coalesce(1))
+    rows = held.withColumn("__part", part).join(before, "__part")
+    return rows.withColumn("id", F.col("__before") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__m", "__part", "__before"), n
 
 
 def rebuilt(old: np.ndarray, slots: np.ndarray) -> bytes:
