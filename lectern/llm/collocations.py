@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lectern.llm._shared import as_bytes, body, freeing, materialize, mix, remove_table, small_batches
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-BLOCK_BYTES, FILTER_BITS, PIECE_ROWS = 8 << 20, 1 << 23, 1 << 18
+BLOCK_BYTES, FILTER_BITS, PIECE_ROWS = 4 << 20, 1 << 23, 1 << 18
 NAMES_MOST, NAMES_CHARS, NARROW = 1 << 20, 1 << 24, 1 << 31
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ENDS, BLANKS = b".,;:!?\n\v\f\r", b" \t"
@@ -77,7 +77,7 @@ def words_of(text: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum(stops - begins)]).astype(np.int64)
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(raw[kind == 0])]).dictionary_encode()
     at = words.indices.to_numpy()
-    piece = np.cumsum(kind == 2)[begins]
+    piece = np.cumsum(kind == 2, dtype=np.int32)[begins]
     opens = np.concatenate([[0], np.cumsum(piece[1:] != piece[:-1])])
     seq = np.zeros(len(at) + int(opens[-1]), np.int32)
     seq[np.arange(len(at)) + opens] = at + 1
