@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.operators.vectors import Nearest, blocks_of, matrix, ranked, squared
+from lectern.operators.vectors import CELLS, Distances, Nearest, blocks_of, matrix, ranked, squared
 
 SAMPLE, BLOCK_ROWS, MOST_BLOCKS, BINS = 20_000, 4_096, 4_096, 256
 #: Squared distances are rounded; a bound is widened by so much, so that no tie is lost.
@@ -112,12 +112,13 @@ def read_blocks(spark: SparkSession, index: PivotIndex, m: np.ndarray, q: np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, m, of = sent.value
-        best = Nearest(len(q), k)
-        for batch in batches:
-            ids, x, blocks = np.asarray(batch.column(0)), matrix(batch.column(1)), np.asarray(batch.column(2))
+        best, to = Nearest(len(q), k), Distances(m, "l2")
+        step = max(1, CELLS // len(q))
+        for tile in (b.slice(a, step) for b in batches for a in range(0, b.num_rows, step)):
+            ids, x, blocks = np.asarray(tile.column(0)), matrix(tile.column(1)), np.asarray(tile.column(2))
             for b in np.unique(blocks):
                 own = blocks == b
-                best.add(squared(m[of[int(b)]], x[own]), ids[own], of[int(b)])
+                to.offer(ids[own], x[own], (best, None), of=of[int(b)])
         yield best.rows(q)
 
     # The list filters partitions, so that other blocks' files aren't opened.

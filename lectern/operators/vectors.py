@@ -11,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 DIM, BLOCK = 64, 4096
+#: Pairs of a query and a row, or numbers of vectors, that a task works on at once; texts that a model gets at once; words that the stand-in keeps.
+CELLS, TEXTS, WORDS = 1 << 19, 512, 100_000
+#: What a distance by a matrix product may be off by, as a part of the vectors' squared lengths.
+OFF = 1e-11
 
 
 class HashingEmbedder:
@@ -21,7 +25,7 @@ class HashingEmbedder:
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         parts = [(text or "").lower().split(" ") for text in texts]
-        if len(self.seen) > 500_000:
+        if len(self.seen) > WORDS:
             self.seen.clear()
         for word in {w for p in parts for w in p} - self.seen.keys():
             self.seen[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim if word else -1
@@ -34,13 +38,13 @@ class HashingEmbedder:
 
 
 def embed(df: DataFrame, text: str, out: str = "embedding", make=HashingEmbedder) -> DataFrame:
-    """V1, V2: df with an array of doubles; the model is made once a task."""
+    """V1, V2: df with an array of doubles; the model is made once a task, and gets at most TEXTS texts at once."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` array<double>"
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
-        for batch in batches:
+        for batch in (b.slice(a, TEXTS) for b in batches for a in range(0, b.num_rows, TEXTS)):
             vectors = np.ascontiguousarray(model(batch.column(at).to_pylist()), float)
             width = vectors.shape[1] if vectors.ndim == 2 else 0
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, batch.num_rows * width + 1, width or 1, dtype=np.int32)[: batch.num_rows + 1]), pa.array(vectors.reshape(-1))) if width else pa.array([[]] * batch.num_rows, pa.list_(pa.float64()))
@@ -65,7 +69,7 @@ def blocks_of(queries: DataFrame, columns: list[str]) -> Iterator[pa.Table]:
 
 
 def scan(queries: DataFrame, vectors: DataFrame, qid: str, id_: str, make, schema: str, carry: tuple[str, ...] = (), qcarry: tuple[str, ...] = (), vector: str = "embedding") -> DataFrame:
-    """For each block of queries, make(query ids, query matrix, query columns) in every task of vectors: an object that takes the ids, matrix and columns of all its batches with add(), and gives one batch of rows at the end with result()."""
+    """For each block of queries, make(query ids, query matrix, query columns) in every task of vectors: an object that takes the ids, matrix and columns of all its rows with add(), in tiles of at most CELLS pairs, and gives one batch of rows at the end with result(). So a task's memory doesn't grow with the queries, rows or batches."""
     out = []
     # A row without a vector is near to nothing: it isn't searched, nor found.
     queries, vectors = queries.where(F.col(vector).isNotNull()), vectors.where(F.col(vector).isNotNull())
@@ -74,10 +78,10 @@ def scan(queries: DataFrame, vectors: DataFrame, qid: str, id_: str, make, schem
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             held = None
-            for batch in batches:
-                if batch.num_rows:
-                    held = held or make(*sent.value)
-                    held.add(np.asarray(batch.column(0)), matrix(batch.column(1)), [c.to_pylist() for c in batch.columns[2:]])
+            step = max(1, CELLS // len(sent.value[0]))
+            for tile in (b.slice(a, step) for b in batches for a in range(0, b.num_rows, step)):
+                held = held or make(*sent.value)
+                held.add(np.asarray(tile.column(0)), matrix(tile.column(1)), [c.to_pylist() for c in tile.columns[2:]])
             if held:
                 yield held.result()
 
@@ -88,7 +92,7 @@ def scan(queries: DataFrame, vectors: DataFrame, qid: str, id_: str, make, schem
 def squared(m: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Squared distances, by slices that bound the temporary."""
     out = np.empty((len(m), len(x)))
-    step = max(1, 4_000_000 // max(1, x.size))
+    step = max(1, CELLS // max(1, x.size))
     for a in range(0, len(m), step):
         out[a : a + step] = ((m[a : a + step, None, :] - x[None]) ** 2).sum(axis=2)
     return out
@@ -99,52 +103,99 @@ def cosines(m: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (m @ x.T) / np.maximum(np.outer(np.linalg.norm(m, axis=1), np.linalg.norm(x, axis=1)), 1e-300)
 
 
-def same_label(asked: list, own: list) -> tuple[np.ndarray, np.ndarray]:
-    """(equal, both known) for each query and row: a null is equal to nothing, nor different from anything."""
-    codes: dict = {}
-    code = lambda v: -1 if v is None else codes.setdefault(v, len(codes))
-    a, b = np.array([code(v) for v in asked], np.int64)[:, None], np.array([code(v) for v in own], np.int64)[None]
-    known = (a >= 0) & (b >= 0)
-    return known & (a == b), known
+class Labels:
+    """Which rows have a query's label: a null is equal to nothing, nor different from anything."""
 
+    def __init__(self, asked: list):
+        self.codes = {v: i for i, v in enumerate(dict.fromkeys(v for v in asked if v is not None))}
+        self.asked = self.of(asked)[:, None]
 
-def nearest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """For each row, places of the k least distances, ties by id."""
-    return np.array([np.lexsort((ids, row))[:k] for row in d]) if d.shape[1] <= 4 * k else np.array([(c := np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]))[np.lexsort((ids[c], row[c]))[:k]] for row in d])
+    def of(self, values: list) -> np.ndarray:
+        return np.array([-1 if v is None else self.codes.get(v, -2) for v in values], np.int64)
+
+    def __call__(self, own: list) -> tuple[np.ndarray, np.ndarray]:
+        """(equal, both known) for each query and row."""
+        rows = self.of(own)[None]
+        known = (self.asked != -1) & (rows != -1)
+        return known & (self.asked == rows), known
 
 
 class Nearest:
-    """The k least distances of each query over all batches so far, ties by id."""
+    """The k least distances of each query over all that was added, ties by id."""
 
     def __init__(self, n: int, k: int):
         self.k, self.d, self.ids = k, np.full((n, k), np.inf), np.zeros((n, k), np.int64)
 
-    def add(self, d: np.ndarray, ids: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
-        """d: distances of the rows' queries to the ids; infinite ones don't count."""
-        at = nearest(d, ids, self.k)
-        d, ids = np.hstack([self.d[rows], np.take_along_axis(d, at, 1)]), np.hstack([self.ids[rows], ids[at]])
-        order = np.lexsort((ids, d), axis=-1)[:, : self.k]
-        self.d[rows], self.ids[rows] = np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
+    def add(self, d: np.ndarray, ids: np.ndarray) -> None:
+        """d: distances of all queries to the ids; infinite ones don't count."""
+        at, c = np.nonzero(d <= self.d[:, -1:])
+        self.put(at, d[at, c], ids[c])
+
+    def put(self, at: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
+        """Pairs: the query at a place, and an id at a distance from it."""
+        far = self.d[at, -1]
+        some = np.flatnonzero((d < far) | (d == far) & (d < np.inf) & (ids < self.ids[at, -1]))
+        own, of = np.unique(at[some], return_inverse=True)
+        of = np.concatenate([np.repeat(np.arange(len(own)), self.k), of])
+        d, ids = np.concatenate([self.d[own].ravel(), d[some]]), np.concatenate([self.ids[own].ravel(), ids[some]])
+        order = np.lexsort((ids, d, of))
+        keep = order[np.searchsorted(of[order], np.arange(len(own)))[:, None] + np.arange(self.k)]
+        self.d[own], self.ids[own] = d[keep], ids[keep]
 
     def rows(self, q: np.ndarray, sign: float = 1.0) -> pa.RecordBatch:
         some = np.isfinite(self.d)
         return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(q[:, None], self.d.shape)[some]), pa.array(self.ids[some]), pa.array(sign * self.d[some])], names=["qid", "id", "score"])
 
 
+class Distances:
+    """Of queries to rows: squared, or cosines with their sign turned. A matrix product tells which pairs may be among the nearest; only theirs are computed exactly, and in the same way wherever a row stands, so equal vectors tie."""
+
+    def __init__(self, m: np.ndarray, metric: str):
+        self.m, self.metric, self.norm = m, metric, np.linalg.norm(m, axis=1)
+        self.side = m if metric == "l2" else self.unit(m)
+
+    def unit(self, x: np.ndarray) -> np.ndarray:
+        """Vectors over their norms, NaN where those are too small to divide by."""
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(n >= 1e-140, n, np.where(n == 0, 1.0, np.nan))
+
+    def exact(self, at: np.ndarray, x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        if self.metric == "l2":
+            return ((self.m[at] - x[c]) ** 2).sum(axis=1)
+        return -(self.m[at] * x[c]).sum(axis=1) / np.maximum(self.norm[at] * np.linalg.norm(x, axis=1)[c], 1e-300)
+
+    def offer(self, ids: np.ndarray, x: np.ndarray, *takers: tuple[Nearest, np.ndarray | None], of: np.ndarray | slice = slice(None)) -> None:
+        """Gives the rows to each taker that keeps the nearest of all queries; its mask, if any, tells which pairs of the queries at `of` count."""
+        size = lambda n: np.where(np.isfinite(n * n), n * n * (1 - OFF), np.nan)
+        step, places = max(1, CELLS // max(1, x.shape[1])), np.arange(len(self.m))[of]
+        with np.errstate(all="ignore"):
+            close = self.side[of] @ (x if self.metric == "l2" else self.unit(x)).T
+            if self.metric == "l2":
+                close -= size(np.linalg.norm(x, axis=1)) / 2
+        for best, some in takers:
+            far = best.d[of][:, -1:]
+            # Where numbers are too large or small to tell, NaN keeps the pair.
+            may = ~(close < ((size(self.norm[of])[:, None] - far) / 2 if self.metric == "l2" else -far - OFF))
+            r, c = np.divmod(np.flatnonzero(may if some is None else may & some), len(ids))
+            for a in range(0, len(r), step):
+                at, own = places[r[a : a + step]], c[a : a + step]
+                best.put(at, self.exact(at, x, own), ids[own])
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 3, qid: str = "qid", id_: str = "id", metric: str = "l2", same: str | None = None, exclude_self: bool = False) -> DataFrame:
     """V3, V5, V6, V7: qid, id, score, rank of the k nearest (least squared distance, or greatest cosine); same restricts to rows with the query's value of that column. A task sends k rows for each query, however many it read."""
 
     class Kernel:
         def __init__(self, q, m, extra):
-            self.q, self.m, self.extra, self.best = q, m, extra, Nearest(len(q), k)
+            self.q, self.to, self.best = q, Distances(m, metric), Nearest(len(q), k)
+            self.labels = Labels(extra[0]) if same else None
 
         def add(self, ids, x, cols):
-            d = squared(self.m, x) if metric == "l2" else -cosines(self.m, x)
-            if same:
-                d = np.where(same_label(self.extra[0], cols[0])[0], d, np.inf)
+            some = self.labels(cols[0])[0] if same else None
             if exclude_self:
-                d = np.where(self.q[:, None] == ids[None], np.inf, d)
-            self.best.add(d, ids)
+                other = self.q[:, None] != ids[None]
+                some = other if some is None else some & other
+            self.to.offer(ids, x, (self.best, some))
 
         def result(self):
             return self.best.rows(self.q, 1.0 if metric == "l2" else -1.0)
@@ -164,14 +215,12 @@ def extremes(queries: DataFrame, vectors: DataFrame, qid: str, id_: str, label:
 
     class Kernel:
         def __init__(self, q, m, extra):
-            self.q, self.m, self.extra, self.best = q, m, extra, [Nearest(len(q), 1) for _ in range(2)]
+            self.q, self.to, self.labels, self.best = q, Distances(m, "cosine"), Labels(extra[0]), [Nearest(len(q), 1) for _ in range(2)]
 
         def add(self, ids, x, cols):
-            equal, known = same_label(self.extra[0], cols[0])
+            equal, known = self.labels(cols[0])
             other = self.q[:, None] != ids[None]
-            d = -cosines(self.m, x)
-            for held, some in zip(self.best, (equal, known & ~equal), strict=True):
-                held.add(np.where(some & other, d, np.inf), ids)
+            self.to.offer(ids, x, *zip(self.best, (equal & other, known & ~equal & other), strict=True))
 
         def result(self):
             arrays = [pa.array(self.q)]

@@ -1,6 +1,7 @@
 """The pivot index against the flat search, and the flat search's labels, norms and rows per task."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -99,3 +100,55 @@ def test_a_task_sends_k_rows_for_a_query(spark):
         assert rows == 2 * 3 * q.count()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_task_works_in_tiles(spark):
+    """A kernel gets at most CELLS pairs at once, whatever the batches (it got whole ones: 4,096 queries by 10,000 rows)."""
+    v = table(spark, [(i, [float(i % 7), float(i % 11)], i % 3) for i in range(3000)]).coalesce(1)
+    q = v.withColumn("qid", F.col("id"))
+
+    class Kernel:
+        def __init__(self, q, m, extra):
+            self.n, self.most = len(q), 0
+
+        def add(self, ids, x, cols):
+            self.most = max(self.most, self.n * len(ids))
+
+        def result(self):
+            return pa.RecordBatch.from_arrays([pa.array([self.most])], names=["most"])
+
+    most = [r.most for r in vectors.scan(q, v, "qid", "id", Kernel, "most bigint").collect()]
+    assert most and max(most) <= vectors.CELLS
+
+
+def test_a_model_gets_few_texts(spark):
+    class Counting(vectors.HashingEmbedder):
+        def __call__(self, texts):
+            assert len(texts) <= vectors.TEXTS
+            return super().__call__(texts)
+
+    rows = vectors.embed(spark.range(3000).coalesce(1).selectExpr("id", "concat('w', id) as t"), "t", make=Counting)
+    model = vectors.HashingEmbedder()
+    assert all(np.array_equal(r.embedding, model([r.t])[0]) for r in rows.collect())
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_search_is_brute_force_with_ties(spark, metric):
+    """Copies of a vector tie wherever they stand; also of vectors too large or too small to square."""
+    r = np.random.default_rng(5)
+    base = r.normal(size=(40, 13)) * 10.0 ** r.choice([-170, -3, 0, 0, 0, 3], size=(40, 1))
+    if metric == "l2":
+        base[3] = base[4] = 1e160
+    base[0] = 0
+    rows = [(int(i), base[j].tolist(), int(j % 4)) for i, j in enumerate(r.permutation(np.repeat(np.arange(40), 31)))]
+    v = table(spark, rows).repartition(3)
+    q = v.where("id % 9 = 0").withColumn("qid", F.col("id"))
+    x = np.array([row[1] for row in rows])
+    with np.errstate(all="ignore"):
+        norm = np.linalg.norm(x, axis=1)
+        far = lambda i: ((x[i] - x) ** 2).sum(axis=1) if metric == "l2" else -(x[i] * x).sum(axis=1) / np.maximum(norm[i] * norm, 1e-300)
+        want = {i: [int(j) for j in np.lexsort((np.arange(len(x)), far(i))) if np.isfinite(far(i)[j])][:7] for i in range(0, len(x), 9)}
+    got = {}
+    for row in vectors.knn(q, v, 7, metric=metric).orderBy("qid", "rank").collect():
+        got.setdefault(row.qid, []).append(row.id)
+    assert got == {i: w for i, w in want.items() if w}
