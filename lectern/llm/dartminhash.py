@@ -17,8 +17,8 @@ THRESHOLD, over 64-bit shingles). Where a bucket's nodes are still of several co
 go to an exact join: two sets that reach THRESHOLD share one of their rarest
 strips, the smaller among 1/9 of its own and the larger among 1/5. So each pair
 that shares a bucket is of one component or was found unlike. Classes are the
-connected components of the links, found by least-label propagation with pointer
-jumping over written tables. Texts travel only if they share a bucket: a bounded bit
+connected components of the links, found by hooking nodes to their least neighbours, following
+the hooks and contracting the links, over written tables. Texts travel only if they share a bucket: a bounded bit
 table of their digests, a filter that lets some others through, is broadcast first.
 
 Result: a row for each document with class_id (the least doc_id of its class),
@@ -297,8 +297,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return strip_sets(some.join(wanted, "h"))
 
 
-def links(nodes: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Checked links (a, b), a < b, between nodes (id, h, bands)."""
+def links(nodes: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Checked links (a, b), a < b, between nodes (id, h, bands), and id and label of all ids in them."""
     entries = nodes.where("bands is not null").select("id", F.posexplode("bands").alias("band", "key"))
     met = materialize(ends_of_buckets(entries), "buckets")
     pair = lambda c: F.struct(F.least("id", c).alias("a"), F.greatest("id", c).alias("b"))
@@ -309,26 +309,56 @@ def links(nodes: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> Da
     more = most_linked(met, ends.where("near")).join(ends, ["a", "b"], "left_anti")
     known = materialize(ends.unionByName(similar(more, sets, threshold)), "links")
     near = known.where("near").select("a", "b")
-    left = materialize(mixed(met, components(near)), "mixed")
+    label = components(near)
+    left = materialize(mixed(met, label), "mixed")
     rest = rare_pairs(sets.join(left, "id"), threshold).join(known, ["a", "b"], "left_anti")
-    return near.unionByName(similar(rest, sets, threshold).where("near").select("a", "b"))
+    late = materialize(similar(rest, sets, threshold).where("near").select("a", "b"), "links")
+    # What is known of the components stays: only links between them are left to follow.
+    fresh = late.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(label, "id", "left_anti").select("id", F.col("id").alias("label"))
+    label = relabelled(label.unionByName(fresh), components(contracted(late, label)))
+    return near.unionByName(late), label
+
+
+def ended(hooks: DataFrame) -> DataFrame:
+    """id and label, the end of the hooks (id, label) that lead on from id; every label is an id, too."""
+    while True:
+        on = hooks.select(F.col("id").alias("label"), F.col("label").alias("further"))
+        step = materialize(hooks.join(on, "label").select("id", F.col("further").alias("label"), (F.col("further") != F.col("label")).alias("moved")), "hooks")
+        moved = step.where("moved").limit(1).count()
+        hooks = step.select("id", "label")
+        if not moved:
+            return hooks
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id and label (the least id of its component), of all ids in edges."""
-    both = materialize(both_ways(edges), "edges")
-    label = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label")), "labels")
+    """id and label (the least id of its component), of all ids in edges.
+
+    Each round hooks every node to its least neighbour and puts the ends of the hooks in place of the nodes. A node that
+    is left has taken in another at least, and edges within one are gone: so an edge is joined in a few rounds, however long a component's paths are.
+    """
+    label = None
     while True:
-        reach = both.join(label.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("seen"))
-        step = label.join(reach, "id").select("id", F.least("label", "seen").alias("new"), F.col("label").alias("old"))
-        jump = label.select(F.col("id").alias("new"), F.col("label").alias("further"))
-        step = materialize(step.join(jump, "new", "left").select("id", F.least("new", F.coalesce("further", "new")).alias("label"), "old"), "labels")
-        changed = step.where("label <> old").limit(1).count()
-        label = step.select("id", "label")
-        if not changed:
+        hooks = ended(materialize(both_ways(edges).groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label")), "hooks"))
+        label = hooks if label is None else relabelled(label, hooks)
+        edges = materialize(contracted(edges, hooks), "edges")
+        if not edges.limit(1).count():
             return label
 
 
+def relabelled(label: DataFrame, by: DataFrame) -> DataFrame:
+    """label (id, label) after its labels have got labels of their own; those that have none stay."""
+    new = by.select(F.col("id").alias("label"), F.col("label").alias("new"))
+    return materialize(label.join(new, "label", "left").select("id", F.coalesce("new", "label").alias("label")), "labels")
+
+
+def contracted(edges: DataFrame, label: DataFrame) -> DataFrame:
+    """The edges between labels; an id without one stands for itself."""
+    for end in ("a", "b"):
+        own = label.select(F.col("id").alias(end), F.col("label").alias("new"))
+        edges = edges.join(own, end, "left").withColumn(end, F.coalesce("new", end)).drop("new")
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def told(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """For each row of docs: its id, its text's digest h, the class's number and name, n_copies and n_links."""
     keys = materialize(band_keys(docs), "bands")
@@ -336,9 +366,9 @@ def told(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # Numbers in the order of the least ids, as an original mostly comes before its copies and then is the end of most of
     # their buckets; written once, so they stay.
     nodes = materialize(nodes.orderBy(F.col("least").asc_nulls_last(), "h").withColumn("node", F.monotonically_increasing_id()), "nodes")
-    edges = materialize(links(nodes.select("h", F.col("node").alias("id"), "bands"), docs, threshold), "edges")
+    edges, label = links(nodes.select("h", F.col("node").alias("id"), "bands"), docs, threshold)
     degree = edges.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = materialize(components(edges).join(degree, "id").join(nodes.select(F.col("node").alias("id"), "least"), "id"), "linked")
+    linked = materialize(label.join(degree, "id").join(nodes.select(F.col("node").alias("id"), "least"), "id"), "linked")
     named = linked.groupBy("label").agg(F.min("least").alias("name"))
     linked = linked.join(named, "label").select(F.col("id").alias("node"), "label", "name", "n_links")
     texts = nodes.select("h", "node", "least", "n_copies").join(linked, "node", "left")

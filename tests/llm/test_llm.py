@@ -797,3 +797,20 @@ def test_equal_rows_are_drawn_apart(spark, monkeypatch, most):
     single = [r for r in out if r.i != 7]
     again = {r.i: r.sampled for r in mixing.mix_documents(df.repartition(7), {"language": {"en": 0.5, "de": 0.5}}).select(F.col("row.doc_id").alias("i"), "sampled").collect() if r.i != 7}
     assert {r.i: r.sampled for r in single} == again
+
+
+def test_components_join_a_link_in_few_rounds(spark, monkeypatch):
+    """Long paths, a star and a clique: each round is left with fewer links (all were joined in each of many rounds)."""
+    r = np.random.default_rng(3)
+    name = r.permutation(1000).tolist()
+    edges = {(name[i], name[i + 1]) for i in range(399)} | {(name[400], name[i]) for i in range(401, 600)}
+    edges |= {(name[i], name[j]) for i in range(600, 620) for j in range(600, i)} | {(name[i], name[i + 1]) for i in range(700, 900, 2)}
+    edges = sorted((min(e), max(e)) for e in edges)
+    parts = [range(400), range(400, 600), range(600, 620), *(range(i, i + 2) for i in range(700, 900, 2))]
+    want = {name[i]: min(name[j] for j in p) for p in parts for i in p}
+    rows, write = [], dartminhash.materialize
+    monkeypatch.setattr(dartminhash, "materialize", lambda df, tag: (out := write(df, tag), rows.append(out.count()) if tag == "edges" else None)[0])
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    assert {x.id: x.label for x in dartminhash.components(df).collect()} == want
+    assert rows[-1] == 0 and all(2 * y <= x for x, y in zip([len(edges), *rows], rows)), rows
+    assert dartminhash.components(df.limit(0)).count() == 0
