@@ -317,19 +317,23 @@ def narrowed(column: np.ndarray) -> np.ndarray:
     return column.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= least and most <= np.iinfo(t).max))
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """Columns, the first as differences, in the least width, byte by byte and compressed: sorted columns shrink most."""
+@lru_cache(1)
+def codec() -> tuple:
+    """A worker's compressor and decompressor: their work space costs more to make than a small blob to pack."""
     import zstandard
 
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns, the first as differences, in the least width, byte by byte and compressed: sorted columns shrink most."""
     columns = [narrowed(c) for c in (np.diff(columns[0], prepend=0), *columns[1:])]
     head = f"{len(columns[0])} {' '.join(c.dtype.str for c in columns)}\n".encode()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(c.view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns))
+    return codec()[0].compress(head + b"".join(c.view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    import zstandard
-
-    head, _, raw = zstandard.ZstdDecompressor().decompress(data).partition(b"\n")
+    head, _, raw = codec()[1].decompress(data).partition(b"\n")
     n, *kinds = head.decode().split(" ")
     n, at, out = int(n), 0, []
     for kind in map(np.dtype, kinds):

@@ -814,3 +814,15 @@ def test_components_join_a_link_in_few_rounds(spark, monkeypatch):
     assert {x.id: x.label for x in dartminhash.components(df).collect()} == want
     assert rows[-1] == 0 and all(2 * y <= x for x, y in zip([len(edges), *rows], rows)), rows
     assert dartminhash.components(df.limit(0)).count() == 0
+
+
+def test_packing_makes_one_codec(monkeypatch):
+    import zstandard
+
+    made, one = [], zstandard.ZstdCompressor
+    pitmanyor.codec.cache_clear()
+    monkeypatch.setattr(zstandard, "ZstdCompressor", lambda **k: made.append(k) or one(**k))
+    columns = np.arange(0, 900, 3), np.arange(300) % 7, np.linspace(0, 1, 300)
+    for _ in range(3):
+        assert all(np.array_equal(x, y) for x, y in zip(columns, pitmanyor.unpack(pitmanyor.pack(*columns)), strict=True))
+    assert len(made) == 1
