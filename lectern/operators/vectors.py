@@ -37,6 +37,11 @@ class HashingEmbedder:
         return np.divide(out, norm, out=out, where=norm > 0)
 
 
+def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most TEXTS rows."""
+    return (b.slice(a, TEXTS) for b in batches for a in range(0, b.num_rows, TEXTS))
+
+
 def embed(df: DataFrame, text: str, out: str = "embedding", make=HashingEmbedder) -> DataFrame:
     """V1, V2: df with an array of doubles; the model is made once a task, and gets at most TEXTS texts at once."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` array<double>"
@@ -44,7 +49,7 @@ def embed(df: DataFrame, text: str, out: str = "embedding", make=HashingEmbedder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
-        for batch in (b.slice(a, TEXTS) for b in batches for a in range(0, b.num_rows, TEXTS)):
+        for batch in few(batches):
             vectors = np.ascontiguousarray(model(batch.column(at).to_pylist()), float)
             width = vectors.shape[1] if vectors.ndim == 2 else 0
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, batch.num_rows * width + 1, width or 1, dtype=np.int32)[: batch.num_rows + 1]), pa.array(vectors.reshape(-1))) if width else pa.array([[]] * batch.num_rows, pa.list_(pa.float64()))

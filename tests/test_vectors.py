@@ -6,7 +6,7 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from lectern.operators import pivots, vectors
+from lectern.operators import generation, pivots, vectors
 
 
 def table(spark, rows, extra="label int"):
@@ -152,3 +152,38 @@ def test_search_is_brute_force_with_ties(spark, metric):
     for row in vectors.knn(q, v, 7, metric=metric).orderBy("qid", "rank").collect():
         got.setdefault(row.qid, []).append(row.id)
     assert got == {i: w for i, w in want.items() if w}
+
+
+def batches_of(step, n, **columns):
+    """Rows of each batch that a step gives for one batch of n rows, called as a task calls it."""
+
+    class Rows:
+        schema, columns = (), ()
+
+        def mapInArrow(self, run, schema):
+            return [b.num_rows for b in run(iter([self.batch]))]
+
+    rows = Rows()
+    rows.batch, rows.columns = pa.RecordBatch.from_pydict({c: [v] * n for c, v in columns.items()}), list(columns)
+    return step(rows)
+
+
+def test_a_generator_holds_few_rows():
+    """Contexts and answers of at most TEXTS rows at once (a whole batch's were held)."""
+    n = 3 * vectors.TEXTS + 1
+    for step in (generation.generate, lambda df: generation.token_context(df, "question", "context", lambda: Chars())):
+        sizes = batches_of(step, n, question="a b", context=["a b. c d."] if step is not generation.generate else "a b. c d.")
+        assert sum(sizes) == n and max(sizes) <= vectors.TEXTS, sizes
+
+
+class Chars:
+    """A tokenizer of characters."""
+
+    encode, decode = staticmethod(list), staticmethod("".join)
+
+
+def test_nulls_reach_a_model_as_empty_texts(spark):
+    rows = spark.createDataFrame([(1, None, "x"), (2, "q", None), (3, "q", "x")], "qid int, question string, context string")
+    out = generation.generate(rows, make=lambda: lambda q, c: f"<{q}|{c}>")
+    assert {r.qid: r.answer for r in out.collect()} == {1: "<|x>", 2: "<q|>", 3: "<q|x>"}
+    assert out.columns == ["qid", "question", "context", "answer"]
