@@ -187,3 +187,28 @@ def test_nulls_reach_a_model_as_empty_texts(spark):
     out = generation.generate(rows, make=lambda: lambda q, c: f"<{q}|{c}>")
     assert {r.qid: r.answer for r in out.collect()} == {1: "<|x>", 2: "<q|>", 3: "<q|x>"}
     assert out.columns == ["qid", "question", "context", "answer"]
+
+
+def test_searches_by_label_work_in_tiles(spark, monkeypatch):
+    """The kernels of extremes and of knn within a label get at most 2^19 pairs at once."""
+    scan = vectors.scan
+
+    def checked(queries, rows, qid, id_, make, *rest, **named):
+        class Checked:
+            def __init__(self, q, *more):
+                self.n, self.of = len(q), make(q, *more)
+
+            def add(self, ids, *more):
+                assert self.n * len(ids) <= 1 << 19
+                self.of.add(ids, *more)
+
+            def result(self):
+                return self.of.result()
+
+        return scan(queries, rows, qid, id_, Checked, *rest, **named)
+
+    monkeypatch.setattr(vectors, "scan", checked)
+    v = table(spark, [(i, [float(i % 7 + 1), float(i % 11)], i % 3) for i in range(3000)]).coalesce(1)
+    q = v.withColumn("qid", F.col("id"))
+    assert vectors.extremes(q, v, "qid", "id", "label").count() == 3000
+    assert vectors.knn(q, v, 2, same="label", exclude_self=True).count() == 6000
