@@ -57,15 +57,17 @@ def window_count(n: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.ceil((n - overlap) / (size - overlap)).cast("int")))
 
 
-def windows(df: DataFrame, clean: str = "clean", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+def windows(df: DataFrame, clean: str = "clean", size: int = SIZE, overlap: int = OVERLAP, only: str | None = None) -> DataFrame:
     """C4: df without `clean` and with chunk_no, chunk, n_tokens: a row for each window of the clean text's tokens.
 
+    only: a column of numbers, which goes; then a row for that window alone, if the text has it.
     Empty and null texts give null for their numbers, which explode drops: a filter would be pushed down and clean each text twice.
     """
-    keep = [c for c in df.columns if c != clean]
+    keep = [c for c in df.columns if c not in (clean, only)]
     df = df.withColumn("__t", F.split(F.nullif(clean, F.lit("")), " "))
     n = window_count(F.size("__t"), size, overlap)
-    df = df.select(*keep, "__t", F.explode(F.when(F.col("__t").isNotNull(), F.sequence(F.lit(0), n - 1))).alias("chunk_no"))
+    numbers = F.sequence(F.lit(0), n - 1) if only is None else F.when(F.col(only).between(0, n - 1), F.array(F.col(only)))
+    df = df.select(*keep, "__t", F.explode(F.when(F.col("__t").isNotNull(), numbers)).alias("chunk_no"))
     piece = F.slice("__t", F.col("chunk_no") * (size - overlap) + 1, size)
     return df.withColumn("__p", piece).select(*keep, "chunk_no", F.array_join("__p", " ").alias("chunk"), F.size("__p").alias("n_tokens"))
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.functions.text import normalise_probe, words
-from lectern.operators.vectors import knn
+from lectern.operators.vectors import few, knn
 
 WINDOW, BLOCK = 15, 4096
 
@@ -83,7 +83,7 @@ def occurrences(texts: DataFrame, anchors: DataFrame, id_: str, text: str, ancho
                 tree.add_word(a, a)
             if by:
                 tree.make_automaton()
-            for batch in batches:
+            for batch in few(batches):
                 hits = []
                 for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if by and t:
@@ -136,7 +136,8 @@ def differing(left: DataFrame, right: DataFrame, key: str, bits: int = 12) -> Da
 
     a, b = side(left), side(right)
     for by in ("__range", "__part"):
-        some = apart(a, b, by)
+        # At most 2^bits ranges are broadcast: where none differs, the rows aren't read again.
+        some = F.broadcast(apart(a, b, by)) if by == "__range" else apart(a, b, by)
         a, b = a.join(some, by, "left_semi"), b.join(some, by, "left_semi")
     rows = a.withColumn("__of", F.lit(1)).union(b.withColumn("__of", F.lit(-1)))
     each = rows.groupBy("__key", "__whole").agg(F.sum("__of").alias("d"), F.bool_or(F.col("__of") > 0).alias("l"), F.bool_or(F.col("__of") < 0).alias("r"))
@@ -162,14 +163,14 @@ def rollup(rows: DataFrame) -> DataFrame:
 def self_retrieval(targets: DataFrame, index: DataFrame, embedder, k: int = 5) -> DataFrame:
     """H8: each target chunk (qid, position, source_file, page, chunk, answer) sought by its whole text, by fifteen words of its middle and by the fifteen that hold most of the answer; a row for each with first_distance, same_chunk, hit_at_1 and first_correct_rank.
 
-    index: position, source_file, page, chunk, embedding; embedder(df, text) adds the embedding.
+    index: position, source_file, page, chunk, embedding; embedder(df, text) adds the embedding. An index without embeddings is embedded where it is searched, by vectors' own model.
     """
     w = words(F.col("chunk"))
     t = best_window(targets.withColumn("w", w).withColumn("a", words(normalise_probe(F.col("answer")))).withColumn("lower", F.transform("w", F.lower)), "lower", "a", "window")
     kinds = {"full_text": F.col("chunk"), "substring_midchunk": mid_slice(F.col("w")), "substring_answer_window": F.col("window")}
     asked = t.select("qid", "position", "source_file", "page", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(n).alias("kind"), x.alias("query")) for i, (n, x) in enumerate(kinds.items())))).alias("x"))
     asked = asked.select((F.col("qid") * len(kinds) + F.col("x.i")).alias("ask"), "qid", F.col("position").alias("own"), F.col("source_file").alias("own_file"), F.col("page").alias("own_page"), F.col("x.kind").alias("kind"), F.col("x.query").alias("query"))
-    top = knn(embedder(asked.select("ask", "query"), "query"), index, k, "ask", "position").withColumnRenamed("qid", "ask")
+    top = knn(embedder(asked.select("ask", "query"), "query"), index, k, "ask", "position", text=None if "embedding" in index.columns else "chunk").withColumnRenamed("qid", "ask")
     top = top.join(index.select(F.col("position").alias("id"), "source_file", "page"), "id").join(asked.drop("query"), "ask")
     right = F.col("source_file").eqNullSafe(F.col("own_file")) & F.col("page").eqNullSafe(F.col("own_page"))
     return top.groupBy("qid", "kind").agg(

@@ -27,7 +27,7 @@ class HashingEmbedder:
         parts = [(text or "").lower().split(" ") for text in texts]
         if len(self.seen) > WORDS:
             self.seen.clear()
-        for word in {w for p in parts for w in p} - self.seen.keys():
+        for word in set().union(*parts) - self.seen.keys():
             self.seen[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim if word else -1
         n = np.fromiter(map(len, parts), np.int64, len(parts))
         at = np.fromiter((self.seen[w] for p in parts for w in p), np.int64, int(n.sum()))
@@ -73,24 +73,28 @@ def blocks_of(queries: DataFrame, columns: list[str]) -> Iterator[pa.Table]:
         yield table.slice(start, BLOCK).combine_chunks()
 
 
-def scan(queries: DataFrame, vectors: DataFrame, qid: str, id_: str, make, schema: str, carry: tuple[str, ...] = (), qcarry: tuple[str, ...] = (), vector: str = "embedding") -> DataFrame:
-    """For each block of queries, make(query ids, query matrix, query columns) in every task of vectors: an object that takes the ids, matrix and columns of all its rows with add(), in tiles of at most CELLS pairs, and gives one batch of rows at the end with result(). So a task's memory doesn't grow with the queries, rows or batches."""
+def scan(queries: DataFrame, vectors: DataFrame, qid: str, id_: str, make, schema: str, carry: tuple[str, ...] = (), qcarry: tuple[str, ...] = (), vector: str = "embedding", text: str | None = None, model=None) -> DataFrame:
+    """For each block of queries, make(query ids, query matrix, query columns) in every task of vectors: an object that takes the ids, matrix and columns of all its rows with add(), in tiles of at most CELLS pairs, and gives one batch of rows at the end with result(). So a task's memory doesn't grow with the queries, rows or batches.
+
+    With text, the rows have no vectors yet: a model, made once a task, embeds that column's texts tile by tile, at most TEXTS at once, where they are searched.
+    """
     out = []
     # A row without a vector is near to nothing: it isn't searched, nor found.
-    queries, vectors = queries.where(F.col(vector).isNotNull()), vectors.where(F.col(vector).isNotNull())
+    queries, vectors = queries.where(F.col(vector).isNotNull()), vectors if text else vectors.where(F.col(vector).isNotNull())
     for table in blocks_of(queries.withColumnRenamed(qid, "__q") if qid != "__q" else queries, ["__q", vector, *qcarry]):
         sent = vectors.sparkSession.sparkContext.broadcast((table["__q"].to_numpy(), matrix(table[vector].combine_chunks()), [table[c].to_pylist() for c in qcarry]))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            held = None
-            step = max(1, CELLS // len(sent.value[0]))
+            held, embedder = None, model() if text else None
+            step = min(max(1, CELLS // len(sent.value[0])), TEXTS if text else CELLS)
             for tile in (b.slice(a, step) for b in batches for a in range(0, b.num_rows, step)):
                 held = held or make(*sent.value)
-                held.add(np.asarray(tile.column(0)), matrix(tile.column(1)), [c.to_pylist() for c in tile.columns[2:]])
+                x = np.ascontiguousarray(embedder(tile.column(1).to_pylist()), float) if text else matrix(tile.column(1))
+                held.add(np.asarray(tile.column(0)), x, [c.to_pylist() for c in tile.columns[2:]])
             if held:
                 yield held.result()
 
-        out.append(vectors.select(id_, vector, *carry).mapInArrow(run, schema))
+        out.append(vectors.select(id_, text or vector, *carry).mapInArrow(run, schema))
     return reduce(DataFrame.unionAll, out) if out else vectors.sparkSession.createDataFrame([], schema)
 
 
@@ -187,8 +191,8 @@ class Distances:
                 best.put(at, self.exact(at, x, own), ids[own])
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int = 3, qid: str = "qid", id_: str = "id", metric: str = "l2", same: str | None = None, exclude_self: bool = False) -> DataFrame:
-    """V3, V5, V6, V7: qid, id, score, rank of the k nearest (least squared distance, or greatest cosine); same restricts to rows with the query's value of that column. A task sends k rows for each query, however many it read."""
+def knn(queries: DataFrame, vectors: DataFrame, k: int = 3, qid: str = "qid", id_: str = "id", metric: str = "l2", same: str | None = None, exclude_self: bool = False, text: str | None = None, model=HashingEmbedder) -> DataFrame:
+    """V3, V5, V6, V7: qid, id, score, rank of the k nearest (least squared distance, or greatest cosine); same restricts to rows with the query's value of that column. A task sends k rows for each query, however many it read. With text, the model embeds that column of the rows where they are searched, so neither their texts nor their vectors come back."""
 
     class Kernel:
         def __init__(self, q, m, extra):
@@ -205,7 +209,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 3, qid: str = "qid", id
         def result(self):
             return self.best.rows(self.q, 1.0 if metric == "l2" else -1.0)
 
-    part = scan(queries, vectors, qid, id_, Kernel, "qid bigint, id bigint, score double", (same,) if same else (), (same,) if same else ())
+    part = scan(queries, vectors, qid, id_, Kernel, "qid bigint, id bigint, score double", (same,) if same else (), (same,) if same else (), text=text, model=model)
     return ranked(part, k, metric)
 
 

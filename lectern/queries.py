@@ -45,11 +45,13 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def pages(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, source_file, page, text."""
+def pages(spark: SparkSession, d: str, found: DataFrame | None = None) -> DataFrame:
+    """doc_id, source_file, page, text. With found, a small table that has doc_id: only its pages, with its other columns."""
     docs = relational.spread(table(spark, d, "documents"), "doc_id").select("doc_id", "source", "text")
     first = docs.groupBy(F.col("source").alias("of")).agg(F.min("doc_id").alias("first"))
-    return docs.join(first, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", F.col("source").alias("source_file"), (F.col("doc_id") - F.col("first") + 1).alias("page"), "text")
+    more = [] if found is None else [c for c in found.columns if c != "doc_id"]
+    docs = docs if found is None else docs.join(F.broadcast(found), "doc_id")
+    return docs.join(first, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", F.col("source").alias("source_file"), (F.col("doc_id") - F.col("first") + 1).alias("page"), "text", *more)
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -58,6 +60,20 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("position", F.col("doc_id") * PLACES + F.col("chunk_no"))
 
 
+def with_chunks(spark: SparkSession, d: str, top: DataFrame) -> DataFrame:
+    """top, a few rows for each question whose id is a chunk's position, with source_file, page, chunk_no and chunk: only their documents are cleaned, and only their windows cut."""
+    found = top.withColumns({"doc_id": F.shiftright("id", PLACES.bit_length() - 1), "__no": F.col("id").bitwiseAND(F.lit(PLACES - 1)).cast("int")})
+    rows = pages(spark, d, found).withColumn("clean", fn.collapse(F.col("text")))
+    return chunking.windows(rows.drop("text"), only="__no").select(*top.columns, "source_file", "page", "chunk_no", "chunk")
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """df computed once, as a table in the store's folder."""
+    path = store.scratch(df.sparkSession, tag)
+    store.save(df, path)
+    return store.load(df.sparkSession, path)
+
+
 def questions(spark: SparkSession, d: str) -> DataFrame:
     """User turns with the turn that follows: conv_id, turn, question, answer."""
     c = table(spark, d, "conversations")
@@ -237,10 +253,8 @@ def hash_embed(spark, d):
 
 
 def top_chunks(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
-    index = vectors.embed(chunks(spark, d), "chunk")
     asked = vectors.embed(table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), fn.collapse(F.col("text")).alias("question")), "question")
-    top = vectors.knn(asked, index, k, "qid", "position", metric="l2")
-    return top.join(chunks(spark, d).select(F.col("position").alias("id"), "source_file", "page", "chunk_no", "chunk"), "id")
+    return with_chunks(spark, d, vectors.knn(asked, chunks(spark, d), k, "qid", "position", metric="l2", text="chunk"))
 
 
 @query()
@@ -380,7 +394,7 @@ def single_summary(spark, d):
 def expected(spark: SparkSession, d: str) -> DataFrame:
     """item_id, doc_id, source_file, page of the documents that contain a benchmark text."""
     docs = pages(spark, d)
-    found = groundtruth.occurrences(docs, table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
+    found = groundtruth.occurrences(relational.spread(table(spark, d, "documents"), "doc_id"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
     return found.select(F.col("anchor_id").alias("item_id"), F.col("row_id").alias("doc_id")).join(docs.select("doc_id", "source_file", "page"), "doc_id")
 
 
@@ -679,29 +693,35 @@ def first_rows(spark, d):
 @query(f"WITH {CH}, {EX}, t AS (SELECT item_id AS qid, position, contains({N3_SQL.format('chunk')}, {N3_SQL.format('anchor')}) AS holds FROM ex JOIN ch ON ch.source_file = ex.source_file AND ch.page = ex.page) SELECT qid, arg_min(position, [CASE WHEN holds THEN 0 ELSE 1 END, position]) AS position, bool_or(holds) AS contains_answer FROM t GROUP BY qid")
 def target_chunks(spark, d):
     """H5."""
-    asked = expected(spark, d).join(table(spark, d, "benchmark").select("item_id", F.col("text").alias("answer")), "item_id").select(F.col("item_id").alias("qid"), "source_file", "page", "answer")
-    return groundtruth.targets(asked, chunks(spark, d), ["source_file", "page"]).drop("chunk")
+    return wanted(spark, d, expected(spark, d), chunks(spark, d)).drop("chunk")
+
+
+def wanted(spark: SparkSession, d: str, places: DataFrame, every: DataFrame) -> DataFrame:
+    """H5 among all chunks, from the rows of expected()."""
+    asked = places.join(table(spark, d, "benchmark").select("item_id", F.col("text").alias("answer")), "item_id").select(F.col("item_id").alias("qid"), "source_file", "page", "answer")
+    return groundtruth.targets(asked, every, ["source_file", "page"])
 
 
-def sought(spark: SparkSession, d: str) -> DataFrame:
-    every = chunks(spark, d)
+def sought(spark: SparkSession, d: str, every: DataFrame) -> DataFrame:
+    """H8 over all chunks, which are a stored table: they are read several times. So are what is expected and sought, small tables of their own."""
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("answer"))
-    found = target_chunks(spark, d).select("qid", "position").join(every, "position").join(asked, "qid")
-    return groundtruth.self_retrieval(found.select("qid", "position", "source_file", "page", "chunk", "answer"), vectors.embed(every, "chunk"), vectors.embed)
+    targets = kept(wanted(spark, d, kept(expected(spark, d), "expected"), every).select("qid", "position"), "targets")
+    found = targets.join(every, "position").join(asked, "qid").select("qid", "position", "source_file", "page", "chunk", "answer")
+    return groundtruth.self_retrieval(kept(found, "sought"), every, vectors.embed)
 
 
 @query()
 def self_retrieval(spark, d):
     """H8; a test holds it against brute force."""
-    return sought(spark, d)
+    return sought(spark, d, kept(chunks(spark, d), "chunks"))
 
 
 @query()
 def retrieval_verdict(spark, d):
     """H8: hits by kind of query, and whether all is in order: the stored index is held against the one it was made from."""
-    path, rows = store.scratch(spark, "chunks"), chunks(spark, d)
-    store.save(rows, path)
-    return groundtruth.verdict(sought(spark, d), groundtruth.differing(rows, store.load(spark, path), "position"))
+    rows = chunks(spark, d)
+    stored = kept(rows, "chunks")
+    return groundtruth.verdict(sought(spark, d, stored), groundtruth.differing(rows, stored, "position"))
 
 
 @query("SELECT source, min(doc_id) AS first_position FROM documents GROUP BY 1")

@@ -296,6 +296,16 @@ def test_self_retrieval_against_brute_force(spark):
     assert v.targets == 12 and v.full_text == 12 and v.clean
 
 
+def test_self_retrieval_over_texts(spark):
+    """An index without embeddings is embedded where it is searched, and the rows are the same."""
+    texts = [" ".join(f"w{(i * 41 + k * (i + 5)) % 97}" for k in range(50)) for i in range(30)]
+    index = spark.createDataFrame([(i, f"f{i % 3}", i, t) for i, t in enumerate(texts)], "position bigint, source_file string, page bigint, chunk string")
+    asked = index.selectExpr("position as qid", "position", "source_file", "page", "chunk", "substring(chunk, 20, 40) as answer")
+    want = groundtruth.self_retrieval(asked, vectors.embed(index, "chunk"), vectors.embed)
+    got = groundtruth.self_retrieval(asked, index, vectors.embed)
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str) and got.count() == 90
+
+
 def test_token_windows_by_a_vocabulary(spark, tmp_path):
     from tokenizers import Tokenizer, models, pre_tokenizers
 

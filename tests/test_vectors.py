@@ -6,7 +6,8 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from lectern.operators import generation, pivots, vectors
+from lectern import queries
+from lectern.operators import generation, groundtruth, pivots, vectors
 
 
 def table(spark, rows, extra="label int"):
@@ -176,6 +177,52 @@ def test_a_generator_holds_few_rows():
         assert sum(sizes) == n and max(sizes) <= vectors.TEXTS, sizes
 
 
+def test_texts_are_embedded_where_they_are_searched(spark):
+    """Texts and vectors came back from one worker a task and went to a second."""
+
+    class Counting(vectors.HashingEmbedder):
+        def __call__(self, texts):
+            assert len(texts) <= vectors.TEXTS
+            return super().__call__(texts)
+
+    texts = [None if i % 50 == 0 else " ".join(f"w{(i * 7 + k * k) % 31}" for k in range(i % 9)) for i in range(2000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, t string").coalesce(1)
+    q = vectors.embed(df.where("id % 97 = 0").withColumnRenamed("id", "qid"), "t")
+    for metric in ("l2", "cosine"):
+        want = sorted(vectors.knn(q, vectors.embed(df, "t"), 4, metric=metric).collect())
+        assert sorted(vectors.knn(q, df, 4, metric=metric, text="t", model=Counting).collect()) == want and len(want) == 4 * q.count()
+    assert queries.top_chunks(spark, DATA)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_chunks_of_hits_are_those_of_all(spark):
+    """Only the documents that were hit are cleaned; ids without a chunk find nothing, as in a join with all chunks."""
+    every = queries.chunks(spark, DATA)
+    ids = [r.position for r in every.select("position").collect()]
+    some = [*ids[::17], ids[0], ids[-1] + 1, (max(ids) // queries.PLACES + 1) * queries.PLACES, -queries.PLACES, None]
+    top = spark.createDataFrame([(n, i, n % 5) for n, i in enumerate(some)], "qid bigint, id bigint, rank int")
+    want = top.join(every.select(F.col("position").alias("id"), "source_file", "page", "chunk_no", "chunk"), "id").select("qid", "id", "rank", "source_file", "page", "chunk_no", "chunk")
+    got = queries.with_chunks(spark, DATA, top)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == len(ids[::17]) + 1
+
+
+def test_occurrences_hold_few_texts(spark):
+    """Texts of at most TEXTS rows at once (a whole batch's, up to 10,000 documents, were held)."""
+    n = 3 * vectors.TEXTS + 1
+
+    class Rows:
+        sparkSession = spark  # noqa: N815
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return [b.num_rows for b in run(iter([pa.RecordBatch.from_pydict({"id": list(range(n)), "t": ["a needle here"] * n})]))]
+
+    sizes = groundtruth.occurrences(Rows(), spark.createDataFrame([(1, "needle")], "anchor_id bigint, anchor string"), "id", "t", "anchor_id", "anchor")
+    assert sum(sizes) == n and max(sizes) <= vectors.TEXTS, sizes
+
+
 class Chars:
     """A tokenizer of characters."""
 
